@@ -121,7 +121,7 @@ _WORD = r"[\p{L}\p{N}_]"
 _NO_WORD_BEFORE = r"(?<![\p{L}\p{N}_])"
 _NO_WORD_AFTER = r"(?![\p{L}\p{N}_])"
 _ANY_BOUNDARY = rf"(?:{_NO_WORD_BEFORE}(?={_WORD})|(?<={_WORD}){_NO_WORD_AFTER})"
-_SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # The same white space as plain characters, for trimming like str.strip().
 WHITESPACE = "".join(
