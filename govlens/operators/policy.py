@@ -346,37 +346,29 @@ def redact_and_pass(exchanges: DataFrame) -> DataFrame:
 
 
 def redact_and_pass_audit(handled: DataFrame, model: str = MODEL) -> DataFrame:
-    """Audit rows of ``redact_and_pass``: flagged personal data and blocked responses, nothing else."""
-    def rows(where: Column, kind: str, state: str, text: str, metadata: Column, redacted: Column) -> DataFrame:
-        return handled.filter(where).select(
-            "request_id",
-            "timestamp",
-            F.lit(SUPPORT_AGENT).alias("agent_id"),
-            "user_id",
-            F.lit(SUPPORT_DEPARTMENT).alias("department"),
-            "session_id",
+    """Audit rows of ``redact_and_pass``: flagged personal data and blocked responses, nothing else.
+
+    Both rows of a turn come out of one pass over ``handled``.
+    """
+    def row(kind: str, state: str, text: str, metadata: Column, redacted: Column) -> Column:
+        return F.struct(
             F.lit(kind).alias("guardrail_type"),
             F.lit(state).alias("status"),
             F.length(text).cast("long").alias("prompt_length"),
             F.lit(kind == "pii_detection").alias("has_pii"),
-            F.lit(0.0).alias("processing_time_ms"),
-            F.lit(model).alias("model_used"),
             metadata.alias("metadata"),
-            F.col("user_message").alias("original_prompt"),
             redacted.alias("redacted_prompt"),
         )
 
     preview = F.substring("agent_response", 1, AUDIT_PREVIEW)
-    flagged = rows(
-        F.col("pii.has_pii"),
+    flagged = row(
         "pii_detection",
         "flagged",
         "user_message",
         F.to_json(F.struct(F.col("input_pii_detected").alias("pii_types"))),
         F.col("pii.redacted_text"),
     )
-    blocked = rows(
-        F.col("was_output_blocked"),
+    blocked = row(
         "sensitive_request",
         "blocked",
         "agent_response",
@@ -389,7 +381,29 @@ def redact_and_pass_audit(handled: DataFrame, model: str = MODEL) -> DataFrame:
         ),
         preview,
     )
-    return flagged.unionByName(blocked)
+    events = F.array(F.when(F.col("pii.has_pii"), flagged), F.when(F.col("was_output_blocked"), blocked))
+    return (
+        handled.filter(F.col("pii.has_pii") | F.col("was_output_blocked"))
+        .withColumn("e", F.explode(events))
+        .filter(F.col("e").isNotNull())
+        .select(
+            "request_id",
+            "timestamp",
+            F.lit(SUPPORT_AGENT).alias("agent_id"),
+            "user_id",
+            F.lit(SUPPORT_DEPARTMENT).alias("department"),
+            "session_id",
+            "e.guardrail_type",
+            "e.status",
+            "e.prompt_length",
+            "e.has_pii",
+            F.lit(0.0).alias("processing_time_ms"),
+            F.lit(model).alias("model_used"),
+            "e.metadata",
+            F.col("user_message").alias("original_prompt"),
+            "e.redacted_prompt",
+        )
+    )
 
 
 def _message_pair(df: DataFrame, user: Column, assistant: Column) -> DataFrame:
