@@ -137,7 +137,7 @@ def nest_messages(
     entry = F.struct(*order, F.struct(*[F.col(src).alias(dst) for dst, src in fields.items()]).alias("_entry"))
 
     def gather(df: DataFrame, keys: list[str]) -> DataFrame:
-        rows = F.array_sort(F.collect_list(entry))
+        rows = F.sort_array(F.collect_list(entry))
         return df.groupBy(*keys).agg(rows.alias("_rows"))
 
     columns = list(dict.fromkeys(["session_id", *order, *fields.values()]))
@@ -156,7 +156,10 @@ def nest_messages(
     placed = running_total(
         rows.join(long_ones, "session_id", "left_semi"),
         ["session_id"],
-        {"_turn": F.col("turn_number"), "_minute": F.date_trunc("minute", "timestamp")},
+        {
+            "_turn": F.coalesce("turn_number", F.lit(-1)),
+            "_minute": F.coalesce(F.unix_seconds(F.date_trunc("minute", "timestamp")), F.lit(-(2**62))),
+        },
         order,
         F.lit(1),
         "_position",

@@ -31,7 +31,7 @@ def register_agents(registrations: DataFrame, as_of: datetime | str | None = Non
 
 def latest_agents(registry: DataFrame) -> DataFrame:
     """The newest row per agent. The registry is append-only; run this first to keep joins from fanning out."""
-    return first_per_key(registry, "agent_id", F.desc("updated_at"), F.desc("created_at"))
+    return first_per_key(registry, "agent_id", F.desc("updated_at"), F.desc("created_at"), F.asc("agent_name"))
 
 
 def agent_registry(registry: DataFrame) -> DataFrame:

@@ -249,12 +249,8 @@ def top_agents_per_department(audit: DataFrame, as_of: AsOf = None, days: int =
     counts = period(audit, as_of, days).groupBy(department("unknown"), "agent_id").agg(requests())
     window = Window.partitionBy("department").orderBy(F.desc("total_requests"), "agent_id")
     ranked = counts.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= top)
-    entries = F.array_sort(F.collect_list(F.struct("rank", "agent_id", "total_requests")))
-    return ranked.groupBy("department").agg(
-        F.transform(entries, lambda e: F.struct(e["agent_id"].alias("agent_id"), e["total_requests"].alias("total_requests"))).alias(
-            "top_agents"
-        )
-    )
+    entries = F.sort_array(F.collect_list(F.struct("rank", F.struct("agent_id", "total_requests").alias("agent"))))
+    return ranked.groupBy("department").agg(F.transform(entries, lambda e: e["agent"]).alias("top_agents"))
 
 
 def risk_band(rate_column: str = "pii_rate") -> Column:
