@@ -55,7 +55,7 @@ def first_per_key(df: DataFrame, key: str | list[str], *order: Column) -> DataFr
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def fits_broadcast(df: DataFrame) -> bool:

@@ -199,16 +199,15 @@ def mask_original(rows: DataFrame) -> DataFrame:
     return rows.withColumn("original_prompt", F.coalesce("redacted_prompt", "original_prompt"))
 
 
-def input_check_result(checked: DataFrame) -> DataFrame:
-    """The client view of ``check_input`` results; the last PII result counts."""
-    pii = F.element_at(F.filter("results", lambda r: r["guardrail_type"] == "pii_detection"), -1)["details"]
-    seen = F.from_json(pii, "has_pii boolean, pii_types array<string>")
-    return checked.withColumn("_pii", seen).select(
+def input_check_result(decided: DataFrame) -> DataFrame:
+    """The client view of decided requests (see ``decide``). PII counts only where it was asked for."""
+    asked = F.array_contains("guardrails", "pii_detection")
+    return decided.select(
         "request_id",
         (F.col("overall_status") == "passed").alias("passed"),
         (F.col("overall_status") == "blocked").alias("blocked"),
-        F.coalesce("_pii.has_pii", F.lit(False)).alias("has_pii"),
-        F.coalesce("_pii.pii_types", strings()).alias("pii_types"),
+        (asked & F.col("pii.has_pii")).alias("has_pii"),
+        F.when(asked, F.col("pii.pii_types")).otherwise(strings()).alias("pii_types"),
         F.coalesce(F.nullif("safe_prompt", F.lit("")), F.col("original_prompt")).alias("safe_prompt"),
         "original_prompt",
     )

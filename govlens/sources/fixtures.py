@@ -151,25 +151,25 @@ def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{expression} AS `{name}`" for name, expression in columns.items()])
 
 
 def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(raw(spark, sf_dir, "events"), AUDIT_LOGS)
+    return derive(raw(spark, sf_dir, "events"), AUDIT_LOGS)
 
 
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(raw(spark, sf_dir, "supplier").filter(AGENTS_FILTER), AGENTS)
+    return derive(raw(spark, sf_dir, "supplier").filter(AGENTS_FILTER), AGENTS)
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(raw(spark, sf_dir, "orders"), FEEDBACK)
+    return derive(raw(spark, sf_dir, "orders"), FEEDBACK)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User and assistant messages before they get a turn number."""
-    return _derive(raw(spark, sf_dir, "conversations").filter("role <> 'system'"), MESSAGES)
+    return derive(raw(spark, sf_dir, "conversations").filter("role <> 'system'"), MESSAGES)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +177,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(raw(spark, sf_dir, "conversations").select("conv_id").distinct(), CONVERSATIONS)
+    return derive(raw(spark, sf_dir, "conversations").select("conv_id").distinct(), CONVERSATIONS)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +192,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def created_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(raw(spark, sf_dir, "customer").filter(KEYS_FILTER), API_KEYS)
+    return derive(raw(spark, sf_dir, "customer").filter(KEYS_FILTER), API_KEYS)
 
 
 def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,36 +210,36 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(raw(spark, sf_dir, "events"), ACCESS)
+    return derive(raw(spark, sf_dir, "events"), ACCESS)
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(raw(spark, sf_dir, "documents"), PROMPTS)
+    return derive(raw(spark, sf_dir, "documents"), PROMPTS)
 
 
 def stream(spark: SparkSession, sf_dir: str, table: str, columns: dict[str, str] | None = None) -> DataFrame:
     """One of the driver's tables as a file stream, with the same derived columns as in batch."""
     schema = raw(spark, sf_dir, table).schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
-    return arriving if columns is None else _derive(arriving, columns)
+    return arriving if columns is None else derive(arriving, columns)
 
 
-def _cte(name: str, columns: dict[str, str], source: str) -> str:
+def cte(name: str, columns: dict[str, str], source: str) -> str:
     chosen = ", ".join(f'{expression} AS "{name}"' for name, expression in columns.items())
     return f"{name} AS (SELECT {chosen} FROM {source})"
 
 
 # The same tables as DuckDB common table expressions.
 DUCKDB = {
-    "audit_logs": _cte("audit_logs", AUDIT_LOGS, "events"),
-    "agents": _cte("agents", AGENTS, f"supplier WHERE {AGENTS_FILTER}"),
-    "feedback": _cte("feedback", FEEDBACK, "orders"),
-    "turns": _cte("turns", MESSAGES, "conversations WHERE role <> 'system'"),
+    "audit_logs": cte("audit_logs", AUDIT_LOGS, "events"),
+    "agents": cte("agents", AGENTS, f"supplier WHERE {AGENTS_FILTER}"),
+    "feedback": cte("feedback", FEEDBACK, "orders"),
+    "turns": cte("turns", MESSAGES, "conversations WHERE role <> 'system'"),
     "messages": (
         "messages AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) "
         "OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS turn_number FROM turns)"
     ),
-    "session_starts": _cte("session_starts", CONVERSATIONS, "(SELECT DISTINCT conv_id FROM conversations)"),
+    "session_starts": cte("session_starts", CONVERSATIONS, "(SELECT DISTINCT conv_id FROM conversations)"),
     "sessions": (
         "sessions AS (SELECT s.*, coalesce(c.message_count, 0) AS message_count, "
         "coalesce(c.total_pii_incidents, 0) AS total_pii_incidents, coalesce(c.total_blocked, 0) AS total_blocked "
@@ -247,9 +247,9 @@ DUCKDB = {
         "count(*) FILTER (has_pii) AS total_pii_incidents, count(*) FILTER (was_blocked) AS total_blocked "
         "FROM turns GROUP BY session_id) c ON s.session_id = c.session_id)"
     ),
-    "created_keys": _cte("created_keys", API_KEYS, f"customer WHERE {KEYS_FILTER}"),
-    "access_log": _cte("access_log", ACCESS, "events"),
-    "prompts": _cte("prompts", PROMPTS, "documents"),
+    "created_keys": cte("created_keys", API_KEYS, f"customer WHERE {KEYS_FILTER}"),
+    "access_log": cte("access_log", ACCESS, "events"),
+    "prompts": cte("prompts", PROMPTS, "documents"),
 }
 
 
