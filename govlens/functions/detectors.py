@@ -2,7 +2,9 @@
 
 Each detector comes in two steps: *flags* (one boolean per pattern, the expensive part) and a *verdict* struct built
 from flag columns. ``operators.guardrails.detect`` puts the two steps into separate projections, so that every
-regex runs once per row however often its flag is used.
+regex runs once per row however often its flag is used. The flag functions expect text without NULLs (``detect``
+reads NULL as the empty text, which no pattern matches): expressions that cannot be NULL compile to half the code, and
+the whole stage stays small enough for the JVM to compile it.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from govlens.functions import patterns as P
-from govlens.functions.columns import is_true, labels_where, strings
+from govlens.functions.columns import labels_where, strings
 
 PII_TYPES = [kind for kind, _, _ in P.PII_PATTERNS]
 SENSITIVE_TYPES = [kind for kind, _ in P.SENSITIVE_PATTERNS]
@@ -25,9 +27,8 @@ def _any(flags: list[Column]) -> Column:
     return reduce(or_, flags)
 
 
-def _has(text: Column, literal: str | tuple[str, ...]) -> Column:
-    parts = (literal,) if isinstance(literal, str) else literal
-    return reduce(and_, [text.contains(part) for part in parts])
+def _has(text: Column, *literals: str) -> Column:
+    return reduce(and_, [text.contains(literal) for literal in literals])
 
 
 def pii_flags(text: Column) -> dict[str, Column]:
@@ -36,7 +37,7 @@ def pii_flags(text: Column) -> dict[str, Column]:
     flags = {}
     for kind, pattern, _ in P.PII_PATTERNS:
         gate = text.contains("@") if kind == "email" else digits
-        flags[kind] = is_true(gate & text.rlike(P.java_regex(pattern)))
+        flags[kind] = gate & text.rlike(P.java_regex(pattern))
     return flags
 
 
@@ -67,10 +68,8 @@ def pii_verdict(text: Column, flags: dict[str, Column]) -> Column:
 def sensitive_flags(lowered: Column) -> dict[str, Column]:
     """One flag per kind of sensitive data that the lower-cased text asks for."""
     return {
-        kind: is_true(
-            _any([_has(lowered, literal) for literal in P.SENSITIVE_LITERALS[kind]])
-            & _any([lowered.rlike(P.java_regex(pattern)) for pattern in group])
-        )
+        kind: _any([_has(lowered, literal) for literal in P.SENSITIVE_LITERALS[kind]])
+        & _any([lowered.rlike(P.java_regex(pattern)) for pattern in group])
         for kind, group in P.SENSITIVE_PATTERNS
     }
 
@@ -91,9 +90,7 @@ def sensitive_verdict(flags: dict[str, Column]) -> Column:
 def injection_flags(lowered: Column) -> dict[str, Column]:
     """One flag per injection pattern, keyed by the pattern's text."""
     return {
-        pattern: is_true(
-            _any([_has(lowered, literal) for literal in literals]) & lowered.rlike(P.java_regex(pattern))
-        )
+        pattern: _has(lowered, *literals) & lowered.rlike(P.java_regex(pattern))
         for (pattern, _), literals in zip(P.INJECTION_PATTERNS, P.INJECTION_LITERALS, strict=True)
     }
 
@@ -116,7 +113,7 @@ def injection_verdict(flags: dict[str, Column]) -> Column:
 
 def toxicity_flag(lowered: Column) -> Column:
     """Whether the lower-cased text contains a toxic keyword, also inside a longer word."""
-    return is_true(_any([lowered.contains(word) for word in P.TOXIC_KEYWORDS]))
+    return _any([lowered.contains(word) for word in P.TOXIC_KEYWORDS])
 
 
 def toxicity_verdict(flag: Column) -> Column:

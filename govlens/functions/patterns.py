@@ -95,7 +95,7 @@ NO_MATCH = {
 SENSITIVE_MATCH_PREFIX = "Detected request for: "
 
 # Literals of which at least one occurs in every text a pattern matches. They let the detectors skip the regex on
-# texts that cannot match; an entry may be a tuple, of which all must occur.
+# texts that cannot match. Of an injection pattern's literals all must occur.
 SENSITIVE_LITERALS = {
     "ssn": ["ssn", "social security"],
     "credit_card": ["card", "cvv", "expir"],
@@ -103,17 +103,17 @@ SENSITIVE_LITERALS = {
     "password": ["password", "pin", "passcode"],
 }
 INJECTION_LITERALS = [
-    [("ignore", "instruction")],
-    [("you", "now")],
+    ["ignore"],
+    ["you", "now"],
     ["pretend"],
-    [("act", "as")],
-    [("developer", "mode")],
+    ["act", "as"],
+    ["developer"],
     ["dan"],
-    [("anything", "now")],
+    ["anything"],
     ["jailbreak"],
     ["bypass"],
-    [("reveal", "prompt")],
-    [("what", "instructions")],
+    ["reveal"],
+    ["what", "instructions"],
 ]
 
 # Character classes of Python's ``re`` for str patterns, in Java notation.

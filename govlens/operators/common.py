@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from govlens.session import scratch_dir
+
 # Pieces a hot key is spread over when a dimension is too large to broadcast.
 SALTS = 32
 
@@ -64,19 +66,40 @@ def fits_broadcast(df: DataFrame) -> bool:
     return 0 <= estimated_bytes(df) <= limit
 
 
-def join_dimension(facts: DataFrame, dimension: DataFrame, key: str, salt_by: list[str]) -> DataFrame:
-    """LEFT JOIN facts with a dimension that has one row per ``key``.
+def _salted(rows: DataFrame, small: DataFrame, salt_by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Spread rows over salts by a hash of ``salt_by``, and copy the small side once per salt.
+
+    The salt depends on the row alone, so a recomputed task gives the same rows.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted, copies
+
+
+def join_dimension(
+    facts: DataFrame, dimension: DataFrame, key: str, salt_by: list[str], how: str = "left"
+) -> DataFrame:
+    """Join facts with a dimension, for keys that may hold a large share of the facts.
 
-    The dimension is broadcast when its estimate fits the session's threshold. Beyond that, both sides are spread
-    over (key, salt): facts by a hash of ``salt_by``, the dimension by one copy per salt. A key with a third of all
-    facts then meets its dimension row in ``SALTS`` tasks instead of one. The salt depends on the row alone, so a
-    recomputed task gives the same rows.
+    ``how`` is left, inner, left_semi or left_anti. The dimension is broadcast when its estimate fits the session's
+    threshold. Beyond that the join runs on (key, salt): a key with a third of all facts meets its dimension row in
+    ``SALTS`` tasks instead of one.
     """
     if fits_broadcast(dimension):
-        return facts.join(F.broadcast(dimension), key, "left")
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int"))
-    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+        return facts.join(F.broadcast(dimension), key, how)
+    salted, copies = _salted(facts, dimension, salt_by)
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a small intermediate result to the shared scratch folder and read it back.
+
+    Its size is then known from its files, so Spark decides on a broadcast by the real size, and an executor that is
+    lost later does not bring the work back.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running_total(

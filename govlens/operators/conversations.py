@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from govlens import schemas as S
 from govlens.functions.columns import json_or_null
-from govlens.operators.common import last_days, moment, only, running_total
+from govlens.operators.common import join_dimension, last_days, moment, only, running_total, stored
 from govlens.operators.hygiene import apply_defaults, check_range
 
 # Messages per nested row. A longer session comes in several rows, numbered by ``part``.
@@ -129,32 +129,39 @@ def nest_messages(
     """LEFT JOIN sessions with their messages as an ordered array; ``fields`` maps output to input names.
 
     Sessions with up to ``part_size`` messages give one row, part 0. Longer ones give one row per ``part_size``
-    messages, so no array and no task grows with a session. The long sessions are found from a count of the session
-    column alone; their message positions come from ``running_total`` over (turn, minute) ranges. When there are
-    none, Spark drops that branch at run time.
+    messages, so no array and no task grows with a session.
+
+    A count over the session column alone finds the long sessions first; that list is stored, and small unless most
+    sessions are long. Usually it is empty and the messages are shuffled once, by session. Otherwise the messages of
+    long sessions are kept out of that shuffle: their positions come from ``running_total`` over (turn, minute)
+    ranges, and they are gathered by (session, part).
     """
     order = ["turn_number", "timestamp", "message_id"]
+    columns = list(dict.fromkeys(["session_id", *order, *fields.values()]))
+    rows = messages.select(*columns)
     entry = F.struct(*order, F.struct(*[F.col(src).alias(dst) for dst, src in fields.items()]).alias("_entry"))
+    empty = F.array().cast(f"array<{_entry_type(messages, fields)}>")
 
     def gather(df: DataFrame, keys: list[str]) -> DataFrame:
-        rows = F.sort_array(F.collect_list(entry))
-        return df.groupBy(*keys).agg(rows.alias("_rows"))
-
-    columns = list(dict.fromkeys(["session_id", *order, *fields.values()]))
-    rows = messages.select(*columns)
-    long_ones = (
-        messages.groupBy("session_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > part_size)
-        .select("session_id")
-    )
-    short = (
-        sessions.join(long_ones, "session_id", "left_anti")
-        .join(gather(rows.join(long_ones, "session_id", "left_anti"), ["session_id"]), "session_id", "left")
-        .withColumn("part", F.lit(0).cast("long"))
+        ordered = F.sort_array(F.collect_list(entry))
+        return df.groupBy(*keys).agg(F.transform(ordered, lambda row: row["_entry"]).alias("messages"))
+
+    def attach(to: DataFrame, short_rows: DataFrame) -> DataFrame:
+        nested = to.join(gather(short_rows, ["session_id"]), "session_id", "left")
+        return nested.withColumns({"part": F.lit(0).cast("long"), "messages": F.coalesce("messages", empty)})
+
+    counts = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
+    long_ones = stored(counts.filter(F.col("_n") > part_size).select("session_id"), "long_sessions")
+    if long_ones.isEmpty():
+        return attach(sessions, rows)
+
+    by_message = ["session_id", *order]
+    short = attach(
+        sessions.join(long_ones, "session_id", "left_anti"),
+        join_dimension(rows, long_ones, "session_id", by_message, "left_anti"),
     )
     placed = running_total(
-        rows.join(long_ones, "session_id", "left_semi"),
+        join_dimension(rows, long_ones, "session_id", by_message, "left_semi"),
         ["session_id"],
         {
             "_turn": F.coalesce("turn_number", F.lit(-1)),
@@ -164,14 +171,12 @@ def nest_messages(
         F.lit(1),
         "_position",
     )
-    parts = placed.withColumn("part", F.floor((F.col("_position") - 1) / F.lit(part_size)))
-    long_rows = sessions.join(gather(parts, ["session_id", "part"]), "session_id").select(*short.columns)
-    empty = F.array().cast(f"array<{_entry_type(messages, fields)}>")
-    return (
-        short.unionByName(long_rows)
-        .withColumn("messages", F.coalesce(F.transform("_rows", lambda r: r["_entry"]), empty))
-        .drop("_rows")
+    parts = gather(
+        placed.withColumn("part", F.floor((F.col("_position") - 1) / F.lit(part_size))), ["session_id", "part"]
     )
+    their_sessions = sessions.join(long_ones, "session_id", "left_semi")
+    long_rows = join_dimension(parts, their_sessions, "session_id", ["session_id", "part"], "inner")
+    return short.unionByName(long_rows)
 
 
 def _entry_type(messages: DataFrame, fields: dict[str, str]) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlens.functions import detectors as D
+from govlens.functions.columns import is_true
 
 # Verdict column per guardrail type.
 VERDICT = {
@@ -54,10 +55,10 @@ def detect(
     One narrow stage: the text is lower-cased once, every pattern is a flag column, and the verdicts read flags only.
     """
     kinds = list(VERDICT) if kinds is None else kinds
-    source = F.col(text)
-    out = df
+    source = F.col("_text")
+    out = df.withColumn("_text", F.coalesce(text, F.lit("")))
     if wanted is not None:
-        out = out.withColumns({f"_want_{k}": F.array_contains(wanted, k) for k in kinds})
+        out = out.withColumns({f"_want_{k}": is_true(F.array_contains(wanted, k)) for k in kinds})
     if any(k != "pii_detection" for k in kinds):
         out = out.withColumn("_lowered", F.lower(source))
     flag_names: dict[str, dict[str, str]] = {}
@@ -68,7 +69,7 @@ def detect(
             name = f"_{VERDICT[kind]}_{i}"
             flag_names[kind][label] = name
             if wanted is not None:
-                flag = F.coalesce(F.col(f"_want_{kind}"), F.lit(False)) & flag
+                flag = F.col(f"_want_{kind}") & flag
             flag_columns[name] = flag
     out = out.withColumns(flag_columns)
     verdicts = {
@@ -76,9 +77,9 @@ def detect(
         for kind in kinds
     }
     for name, build in (custom or {}).items():
-        verdicts[name] = build(source)
+        verdicts[name] = build(F.col(text))
     out = out.withColumns(verdicts)
-    helpers = ["_lowered", *flag_columns, *[f"_want_{k}" for k in kinds]]
+    helpers = ["_text", "_lowered", *flag_columns, *[f"_want_{k}" for k in kinds]]
     return out.drop(*helpers)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from govlens.functions.columns import json_strings
 from govlens.operators.common import last_days, period
+from govlens.operators.hygiene import check_range
 
 AsOf = datetime | str | None
 
@@ -177,21 +178,29 @@ def latency_percentiles(audit: DataFrame, as_of: AsOf = None, days: int = 30, ac
 
 
 def recent_pii_incidents(audit: DataFrame, top: int = 100) -> DataFrame:
-    """The latest rows with personal data; the text columns are read for the chosen rows' preview only."""
-    found = F.from_json("metadata", "pii_types array<string>")["pii_types"]
+    """The latest rows with personal data.
+
+    The rows are chosen on their narrow columns first. That list of at most ``top`` keys is broadcast back to the
+    table, so the long text columns are read for the days of the chosen rows only.
+    """
+    # Written as a comparison: Spark prunes partitions at run time only when the other side has a comparison filter.
+    found = audit.filter(F.col("has_pii").eqNullSafe(True))
+    key = ["event_date", "timestamp", "request_id"] if "event_date" in audit.columns else ["timestamp", "request_id"]
+    latest = [F.desc("timestamp"), F.asc("request_id")]
+    newest = found.select(*key).orderBy(*latest).limit(check_range("top", top, 1, 10_000))
     return (
-        audit.filter(F.col("has_pii"))
+        found.join(F.broadcast(newest.distinct()), key, "left_semi")
         .select(
             "timestamp",
             "request_id",
             "agent_id",
             "user_id",
             "department",
-            found.alias("pii_types"),
+            F.from_json("metadata", "pii_types array<string>")["pii_types"].alias("pii_types"),
             F.substring("original_prompt", 1, 100).alias("prompt_preview"),
             "redacted_prompt",
         )
-        .orderBy(F.desc("timestamp"), "request_id")
+        .orderBy(*latest)
         .limit(top)
     )
 

@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Of a repeated key in a JSON object the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Stateful streams keep their state in RocksDB: it need not fit in the executor heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -22,7 +24,9 @@ RUNTIME_SETTINGS = {
 }
 
 
-def local_session(cores: str = "8", app: str = "govlens", memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: str = "8", app: str = "govlens", memory: str = "8g", shared_dir: str | None = None
+) -> SparkSession:
     """A local session for tests and benchmarks. On a cluster, use the session the cluster gives you."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -31,6 +35,8 @@ def local_session(cores: str = "8", app: str = "govlens", memory: str = "8g") ->
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
     )
+    if shared_dir is not None:
+        builder = builder.config("spark.checkpoint.dir", shared_dir)
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
