@@ -41,25 +41,22 @@ def pii_flags(text: Column) -> dict[str, Column]:
     return flags
 
 
-def redact(text: Column, flags: dict[str, Column]) -> Column:
-    """Replace what the flagged types match, one type after the other on the already redacted text.
+def redact(text: Column, kind: str, flag: Column) -> Column:
+    """Replace what one personal-data type matches, where its flag is set."""
+    pattern, replacement = next((p, r) for k, p, r in P.PII_PATTERNS if k == kind)
+    return F.when(flag, F.regexp_replace(text, F.lit(P.java_regex(pattern)), F.lit(replacement))).otherwise(text)
 
-    An unflagged type replaces its matches by themselves (``$0``), which keeps the expression linear in size.
-    """
-    out = text
-    for kind, pattern, replacement in P.PII_PATTERNS:
-        by = F.when(flags[kind], F.lit(replacement)).otherwise(F.lit("$0"))
-        out = F.regexp_replace(out, F.lit(P.java_regex(pattern)), by)
-    return out
 
+def pii_verdict(flags: dict[str, Column], redacted: Column) -> Column:
+    """struct<has_pii, pii_types, redacted_text, details, confidence>; redacted_text is NULL on clean text.
 
-def pii_verdict(text: Column, flags: dict[str, Column]) -> Column:
-    """struct<has_pii, pii_types, redacted_text, details, confidence>; redacted_text is NULL on clean text."""
+    ``redacted`` is the text after ``redact`` for every type in turn.
+    """
     found = _any(list(flags.values()))
     return F.struct(
         found.alias("has_pii"),
         labels_where(flags.items()).alias("pii_types"),
-        F.when(found, redact(text, flags)).alias("redacted_text"),
+        F.when(found, redacted).alias("redacted_text"),
         F.when(found, F.lit(P.RULE_MATCH["pii"])).otherwise(F.lit(P.NO_MATCH["pii"])).alias("details"),
         F.when(found, F.lit(P.PII_CONFIDENCE)).otherwise(F.lit(0.0)).alias("confidence"),
     )

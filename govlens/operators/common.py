@@ -44,6 +44,16 @@ def only(df: DataFrame, **equal: str | None) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Spread rows over all cores by a hash of ``by`` when the input has fewer partitions than there are cores.
+
+    Meant for few unsplittable files before work that is heavy per row, such as text scanning. Large inputs have more
+    partitions than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
+
 def first_per_key(df: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
     """The first row per key in the given order.
 

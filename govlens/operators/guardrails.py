@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlens.functions import detectors as D
+from govlens.functions import patterns as P
 from govlens.functions.columns import is_true
 
 # Verdict column per guardrail type.
@@ -29,9 +30,9 @@ def _flags(kind: str, text: Column, lowered: Column) -> dict[str, Column]:
     return {"keyword": D.toxicity_flag(lowered)}
 
 
-def _verdict(kind: str, text: Column, flags: dict[str, Column]) -> Column:
+def _verdict(kind: str, flags: dict[str, Column]) -> Column:
     if kind == "pii_detection":
-        return D.pii_verdict(text, flags)
+        return D.pii_verdict(flags, F.col("_redacted"))
     if kind == "sensitive_request":
         return D.sensitive_verdict(flags)
     if kind == "prompt_injection":
@@ -72,14 +73,19 @@ def detect(
                 flag = F.col(f"_want_{kind}") & flag
             flag_columns[name] = flag
     out = out.withColumns(flag_columns)
+    if "pii_detection" in kinds:
+        # One step per type, each on the text that the step before left.
+        out = out.withColumn("_redacted", source)
+        for label, name in flag_names["pii_detection"].items():
+            out = out.withColumn("_redacted", D.redact(F.col("_redacted"), label, F.col(name)))
     verdicts = {
-        VERDICT[kind]: _verdict(kind, source, {label: F.col(name) for label, name in flag_names[kind].items()})
+        VERDICT[kind]: _verdict(kind, {label: F.col(name) for label, name in flag_names[kind].items()})
         for kind in kinds
     }
     for name, build in (custom or {}).items():
         verdicts[name] = build(F.col(text))
     out = out.withColumns(verdicts)
-    helpers = ["_text", "_lowered", *flag_columns, *[f"_want_{k}" for k in kinds]]
+    helpers = ["_text", "_lowered", "_redacted", *flag_columns, *[f"_want_{k}" for k in kinds]]
     return out.drop(*helpers)
 
 
@@ -101,3 +107,17 @@ def detect_injection(df: DataFrame, text: str = "prompt") -> DataFrame:
 def detect_toxicity(df: DataFrame, text: str = "prompt") -> DataFrame:
     """Toxic wording: adds ``toxicity``."""
     return detect(df, text, ["toxicity"])
+
+
+def pattern_counts(df: DataFrame, text: str = "prompt") -> DataFrame:
+    """On how many texts each injection pattern occurs: (pattern, type, hits), patterns without a hit left out.
+
+    One counter per pattern in a single pass; nothing is exploded before the aggregation.
+    """
+    kinds = dict(P.INJECTION_PATTERNS)
+    lowered = df.select(F.lower(F.coalesce(text, F.lit(""))).alias("_lowered"))
+    counters = [
+        F.struct(F.lit(p).alias("pattern"), F.lit(kinds[p]).alias("type"), F.count_if(flag).alias("hits"))
+        for p, flag in D.injection_flags(F.col("_lowered")).items()
+    ]
+    return lowered.agg(F.array(*counters).alias("c")).select(F.inline("c")).filter(F.col("hits") > 0)

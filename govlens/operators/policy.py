@@ -301,9 +301,11 @@ def pair_turns(messages: DataFrame, order: str = "seq") -> DataFrame:
     """User messages with the assistant reply that directly follows, one row per turn.
 
     A turn number covers one user message and what follows it, so the window runs over (session, turn) and a long
-    session spreads over many groups.
+    session spreads over many groups. Only the first two messages of a turn matter; Spark drops the others before the
+    shuffle (window group limit), so a turn with very many replies does not travel whole.
     """
     window = Window.partitionBy("session_id", "turn_number").orderBy(order)
+    messages = messages.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= 2).drop("_rank")
     follows = F.lead("role").over(window) == "assistant"
     paired = messages.withColumns(
         {

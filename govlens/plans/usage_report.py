@@ -71,7 +71,8 @@ def usage_sections(audit: DataFrame, as_of: AsOf = None, days: int = 7) -> DataF
 def usage_analytics(audit: DataFrame, as_of: AsOf = None, days: int = 7, top_agents: int = 10) -> DataFrame:
     """The usage report as one record: period, totals, departments, busiest agents, checks per guardrail.
 
-    The arrays hold the rows of ``usage_sections``: one per department and guardrail type, and the top agents.
+    The arrays hold the rows of ``usage_sections``: one per department and guardrail type, and the top agents. Where
+    departments are not a short list of names, read ``usage_sections`` instead: it is the same report as rows.
     """
     sections = usage_sections(audit, as_of, days)
     window = Window.partitionBy("section").orderBy(F.desc("total_requests"), "key")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from govlens.operators.common import spread
 from govlens.operators.conversations import conversation_stats, turn_numbers
 from govlens.session import configure
 
@@ -214,7 +215,8 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(raw(spark, sf_dir, "documents"), PROMPTS)
+    """Documents as prompts. The table is one file with one row group, so its rows are spread over the cores."""
+    return spread(derive(raw(spark, sf_dir, "documents"), PROMPTS), "request_id")
 
 
 def stream(spark: SparkSession, sf_dir: str, table: str, columns: dict[str, str] | None = None) -> DataFrame:

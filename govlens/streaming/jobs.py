@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from govlens.operators.access import classify_access
+from govlens.operators.common import spread
 from govlens.plans.screening import screen
 from govlens.sources.tables import EVENT_DATE, path_of, with_event_date
 
@@ -62,10 +63,10 @@ def run_screening(requests: DataFrame, root: str, checkpoint: str) -> StreamingQ
     """Screen arriving prompts into the audit table below ``root``; incomplete requests go to ``dead_letters``.
 
     Each batch owns its partitions (event_date, batch_id) and replaces them when it is repeated after a failure, so
-    every request is written once. No state, no shuffle.
+    every request is written once. No state; rows move between tasks only when a batch has fewer partitions than cores.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows, rejected = screen(batch)
+        rows, rejected = screen(spread(batch, "request_id", "timestamp"))
         tag = F.lit(batch_id).cast("long")
         _replace(
             with_event_date(rows, "audit_logs").withColumn("batch_id", tag),

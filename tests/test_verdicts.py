@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from govlens.operators import verdicts as V
+from govlens.operators.guardrails import VERDICT
+from govlens.operators.policy import decide
 
 FENCE = "```"
 
@@ -132,3 +134,28 @@ def test_answers_can_be_generated_by_json_dumps(spark):
     answer = json.dumps({"has_pii": True, "pii_types": ["café"], "confidence": 0.25, "details": "x \"y\""})
     found = pii(spark, answer)
     assert (found.pii_types, found.confidence, found.details) == (["café"], 0.25, 'x "y"')
+
+
+def test_decisions_on_ingested_verdicts(spark):
+    """Four stored answers per request, then the same policy as on rule verdicts."""
+    requests = spark.createDataFrame(
+        [("a", "fine text"), ("b", "mail a@b.com")], "request_id string, prompt string"
+    ).withColumn("guardrails", F.array(*[F.lit(k) for k in VERDICT]))
+    answers = {
+        V.ingest_pii: [("a", '{"has_pii": true, "redacted_text": ""}'), ("b", "oops")],
+        V.ingest_toxicity: [("a", '{"is_toxic": true, "toxicity_score": 0.7}'), ("b", "{}")],
+        V.ingest_injection: [("a", '{"is_injection": true, "injection_score": 0.69}'), ("b", "{}")],
+        V.ingest_sensitive: [("a", "{}"), ("b", "{}")],
+    }
+    out = requests
+    for ingest, rows in answers.items():
+        out = ingest(out, spark.createDataFrame(rows, "request_id string, answer string"))
+    found = {r.request_id: r for r in decide(out.withColumn("agent_id", F.lit("x"))).collect()}
+    assert {x.guardrail_type: x.status for x in found["a"].results} == {
+        "pii_detection": "blocked",
+        "sensitive_request": "passed",
+        "toxicity": "blocked",
+        "prompt_injection": "flagged",
+    }
+    assert found["a"].safe_prompt == "fine text"
+    assert found["b"].overall_status == "blocked" and found["b"].safe_prompt == "mail [REDACTED_EMAIL]"

@@ -23,10 +23,7 @@ def _register_pii(kind: str, pattern: str, replacement: str) -> None:
     def run(spark, sf_dir):
         source = F.col("prompt")
         flagged = texts(spark, sf_dir).withColumn("hit", D.pii_flags(source)[kind])
-        none = {other: F.lit(False) for other in D.PII_TYPES}
-        return flagged.select(
-            "request_id", "hit", D.redact(source, {**none, kind: F.col("hit")}).alias("redacted")
-        )
+        return flagged.select("request_id", "hit", D.redact(source, kind, F.col("hit")).alias("redacted"))
 
 
 for _kind, _pattern, _replacement in P.PII_PATTERNS:
@@ -95,9 +92,7 @@ def detect_sensitive_request(spark, sf_dir):
 )
 def injection_patterns(spark, sf_dir):
     """Which patterns occur, and on how many texts."""
-    kinds = F.create_map(*[F.lit(v) for pair in P.INJECTION_PATTERNS for v in pair])
-    found = G.detect_injection(texts(spark, sf_dir)).select(F.explode("injection.suspicious_patterns").alias("pattern"))
-    return found.groupBy("pattern").agg(F.count(F.lit(1)).alias("hits")).withColumn("type", kinds[F.col("pattern")])
+    return G.pattern_counts(texts(spark, sf_dir))
 
 
 @query(
