@@ -1,70 +1,83 @@
-"""The usage report and the dashboard data: several analytics from one pass over the audit table."""
+"""The usage report and the dashboard data: several analytics in one result."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from govlens.operators import usage as U
 from govlens.operators.common import days_before, moment, period
 from govlens.operators.hygiene import check_range
 from govlens.operators.registry import agents_with_stats
-from govlens.operators.usage import department, department_leaderboard
 
 AsOf = datetime | str | None
 
+MEASURES = {
+    "total_requests": "long",
+    "unique_users": "long",
+    "unique_agents": "long",
+    "pii_incidents": "long",
+    "blocked_requests": "long",
+    "passed_requests": "long",
+    "avg_response_time_ms": "double",
+}
 
-def usage_sections(audit: DataFrame, as_of: AsOf = None, days: int = 7) -> DataFrame:
+
+def usage_sections(audit: DataFrame, as_of: AsOf = None, days: int = 7, top_agents: int = 10) -> DataFrame:
     """The four usage reports in one table: section (overall, department, agent, guardrail), key and measures.
 
-    The slice is read once and reduced to one row per (department, agent, user, guardrail), the finest grain that
-    any section counts; grouping sets then give all sections from those rows.
+    A measure that a section does not report is NULL. The sections are separate aggregations over the same narrow
+    columns, run side by side: sharing one finer pre-aggregation (department, agent, user, guardrail) was slower,
+    because it hardly reduces the rows when users are many.
     """
     check_range("days", days, 1, 90)
-    grain = (
-        period(audit, as_of, days)
-        .groupBy(department("unknown"), "agent_id", "user_id", "guardrail_type")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if("has_pii").alias("n_pii"),
-            F.count_if(F.col("status") == "blocked").alias("n_blocked"),
-            F.count_if(F.col("status") == "passed").alias("n_passed"),
-            F.sum("processing_time_ms").alias("ms"),
-            F.count("processing_time_ms").alias("n_ms"),
+
+    def rows(section: str, report: DataFrame, key: Column, **measures: str) -> DataFrame:
+        chosen = [
+            (F.col(measures[name]) if name in measures else F.lit(None)).cast(kind).alias(name)
+            for name, kind in MEASURES.items()
+        ]
+        return report.select(F.lit(section).alias("section"), key.cast("string").alias("key"), *chosen)
+
+    same = lambda *names: {name: name for name in names}
+    return (
+        rows(
+            "overall",
+            U.usage_overall(audit, as_of, days),
+            F.lit(None),
+            pii_incidents="pii_detected_count",
+            blocked_requests="blocked_count",
+            passed_requests="passed_count",
+            **same("total_requests", "unique_users", "unique_agents"),
+        )
+        .unionByName(
+            rows(
+                "department",
+                U.usage_by_department(audit, as_of, days),
+                F.col("department"),
+                unique_users="total_users",
+                unique_agents="total_agents",
+                **same("total_requests", "pii_incidents", "blocked_requests", "avg_response_time_ms"),
+            )
+        )
+        .unionByName(
+            rows(
+                "agent",
+                U.usage_by_agent(audit, as_of, days, top_agents),
+                F.col("agent_id"),
+                **same("total_requests", "unique_users", "pii_incidents", "avg_response_time_ms"),
+            )
+        )
+        .unionByName(
+            rows(
+                "guardrail",
+                U.usage_by_guardrail(audit, as_of, days),
+                F.col("guardrail_type"),
+                total_requests="count",
+            )
         )
-        .withColumn("agent", F.col("agent_id"))
-    )
-    sets = grain.groupingSets(
-        [[], ["department"], ["agent"], ["guardrail_type"]], "department", "agent", "guardrail_type"
-    ).agg(
-        F.grouping("department").alias("_no_department"),
-        F.grouping("agent").alias("_no_agent"),
-        F.grouping("guardrail_type").alias("_no_guardrail"),
-        F.sum("n").alias("total_requests"),
-        F.count_distinct("user_id").alias("unique_users"),
-        F.count_distinct("agent_id").alias("unique_agents"),
-        F.sum("n_pii").alias("pii_incidents"),
-        F.sum("n_blocked").alias("blocked_requests"),
-        F.sum("n_passed").alias("passed_requests"),
-        F.coalesce(F.try_divide(F.sum("ms"), F.sum("n_ms")), F.lit(0.0)).alias("avg_response_time_ms"),
-    )
-    section = (
-        F.when(F.col("_no_department") == 0, "department")
-        .when(F.col("_no_agent") == 0, "agent")
-        .when(F.col("_no_guardrail") == 0, "guardrail")
-        .otherwise("overall")
-    )
-    return sets.select(
-        section.alias("section"),
-        F.coalesce("department", "agent", "guardrail_type").alias("key"),
-        "total_requests",
-        "unique_users",
-        "unique_agents",
-        "pii_incidents",
-        "blocked_requests",
-        "passed_requests",
-        "avg_response_time_ms",
     )
 
 
@@ -74,20 +87,17 @@ def usage_analytics(audit: DataFrame, as_of: AsOf = None, days: int = 7, top_age
     The arrays hold the rows of ``usage_sections``: one per department and guardrail type, and the top agents. Where
     departments are not a short list of names, read ``usage_sections`` instead: it is the same report as rows.
     """
-    sections = usage_sections(audit, as_of, days)
-    window = Window.partitionBy("section").orderBy(F.desc("total_requests"), "key")
-    ranked = sections.withColumn("rank", F.row_number().over(window)).filter(
-        (F.col("section") != "agent") | (F.col("rank") <= top_agents)
-    )
+    sections = usage_sections(audit, as_of, days, top_agents)
 
-    def total(measure: str, name: str):
+    def total(measure: str, name: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("section") == "overall", F.col(measure))), F.lit(0)).alias(name)
 
-    def entries(section: str, *fields):
-        row = F.when(F.col("section") == section, F.struct("rank", F.struct(*fields).alias("entry")))
+    def entries(section: str, *fields: Column | str) -> Column:
+        order = (-F.col("total_requests")).alias("order")
+        row = F.when(F.col("section") == section, F.struct(order, "key", F.struct(*fields).alias("entry")))
         return F.transform(F.sort_array(F.collect_list(row)), lambda r: r["entry"])
 
-    return ranked.agg(
+    return sections.agg(
         total("total_requests", "total_requests"),
         total("unique_users", "unique_users"),
         total("unique_agents", "unique_agents"),
@@ -145,7 +155,7 @@ def dashboard_data(registry: DataFrame, audit: DataFrame, as_of: AsOf = None, da
     """Everything the dashboard shows."""
     return {
         "analytics": usage_analytics(audit, as_of, days),
-        "leaderboard": department_leaderboard(audit, as_of),
+        "leaderboard": U.department_leaderboard(audit, as_of),
         "agents": agents_with_stats(registry, audit),
         "summary": dashboard_summary(registry, audit, as_of, days),
     }

@@ -75,11 +75,18 @@ def usage_by_guardrail(spark, sf_dir):
     return U.usage_by_guardrail(X.audit_logs(spark, sf_dir), AS_OF, 7)
 
 
-def _section(name: str, key: str, group: str) -> str:
-    return f"""SELECT '{name}' AS section, {key} AS key, count(*) AS total_requests,
-  count(DISTINCT user_id) AS unique_users, count(DISTINCT agent_id) AS unique_agents, {PII} AS pii_incidents,
-  count(*) FILTER (status = 'blocked') AS blocked_requests, count(*) FILTER (status = 'passed') AS passed_requests,
-  round(coalesce(avg(processing_time_ms), 0), 6) AS avg_response_time_ms FROM slice {group}"""
+def _section(name: str, key: str, reported: set[str], tail: str) -> str:
+    measures = {
+        "total_requests": "count(*)",
+        "unique_users": "count(DISTINCT user_id)",
+        "unique_agents": "count(DISTINCT agent_id)",
+        "pii_incidents": PII,
+        "blocked_requests": "count(*) FILTER (status = 'blocked')",
+        "passed_requests": "count(*) FILTER (status = 'passed')",
+        "avg_response_time_ms": "round(coalesce(avg(processing_time_ms), 0), 6)",
+    }
+    chosen = ", ".join(f"{sql if m in reported else 'NULL'} AS {m}" for m, sql in measures.items())
+    return f"(SELECT '{name}' AS section, {key} AS key, {chosen} FROM slice {tail})"
 
 
 SECTIONS = (
@@ -87,10 +94,31 @@ SECTIONS = (
     + f", slice AS (SELECT * FROM audit_logs WHERE {within(7)}), sections AS ("
     + " UNION ALL ".join(
         [
-            _section("overall", "NULL::VARCHAR", ""),
-            _section("department", "coalesce(department, 'unknown')", "GROUP BY 2"),
-            _section("agent", "agent_id", "GROUP BY 2"),
-            _section("guardrail", "guardrail_type", "GROUP BY 2"),
+            _section(
+                "overall",
+                "NULL::VARCHAR",
+                {
+                    "total_requests", "unique_users", "unique_agents", "pii_incidents", "blocked_requests",
+                    "passed_requests",
+                },
+                "",
+            ),
+            _section(
+                "department",
+                "coalesce(department, 'unknown')",
+                {
+                    "total_requests", "unique_users", "unique_agents", "pii_incidents", "blocked_requests",
+                    "avg_response_time_ms",
+                },
+                "GROUP BY 2",
+            ),
+            _section(
+                "agent",
+                "agent_id",
+                {"total_requests", "unique_users", "pii_incidents", "avg_response_time_ms"},
+                "GROUP BY 2 ORDER BY total_requests DESC, key LIMIT 10",
+            ),
+            _section("guardrail", "guardrail_type", {"total_requests"}, "GROUP BY 2"),
         ]
     )
     + ") "
