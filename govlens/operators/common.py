@@ -37,9 +37,9 @@ def period(df: DataFrame, as_of: datetime | str | None, days: int, on: str = "ti
 
 
 def only(df: DataFrame, **equal: str | None) -> DataFrame:
-    """Keep rows whose columns equal the given values; None means no condition."""
+    """Keep rows whose columns equal the given values; None and the empty text mean no condition."""
     for name, value in equal.items():
-        if value is not None:
+        if value:
             df = df.filter(F.col(name) == F.lit(value))
     return df
 
@@ -71,7 +71,9 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the estimate is within the session's broadcast threshold."""
+    """Whether the estimate is within the session's broadcast threshold; False where it cannot be read."""
+    if not hasattr(df, "_jdf"):
+        return False
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return 0 <= estimated_bytes(df) <= limit
 

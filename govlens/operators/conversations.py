@@ -58,7 +58,7 @@ def conversation_rows(starts: DataFrame, as_of: datetime | str | None = None) ->
     )
     return filled.withColumns(
         {
-            "session_id": F.coalesce("session_id", generated),
+            "session_id": F.coalesce(F.nullif("session_id", F.lit("")), generated),
             "ended_at": F.lit(None).cast("timestamp"),
             "message_count": F.lit(0).cast("long"),
             "total_pii_incidents": F.lit(0).cast("long"),
@@ -228,9 +228,9 @@ def training_export(
 ) -> DataFrame:
     """The latest completed conversations as training examples.
 
-    At most ``limit`` sessions are chosen, and that bounded list is broadcast to the messages: the message table is
-    filtered where it is read and only the chosen sessions' rows are shuffled. ``only_with_feedback`` applies after
-    the limit.
+    At most ``limit`` sessions are chosen. That bounded list is stored, so that every later step sees the same choice,
+    and broadcast to the messages: the message table is filtered where it is read and only the chosen sessions' rows
+    are shuffled. ``only_with_feedback`` applies after the limit.
     """
     check_range("days", days, 1, 365)
     check_range("min_messages", min_messages, 1, 1000)
@@ -240,18 +240,20 @@ def training_export(
     )
     if not include_pii:
         qualifying = qualifying.filter(F.col("total_pii_incidents") == 0)
-    chosen = qualifying.orderBy(F.desc("started_at"), "session_id").limit(limit)
     stats = F.struct(
         "message_count",
         F.col("total_pii_incidents").alias("pii_incidents"),
         F.col("total_blocked").alias("blocked_count"),
     )
-    sessions = chosen.select("session_id", "agent_id", "department", stats.alias("stats"))
-    theirs = messages.join(F.broadcast(chosen.select("session_id").distinct()), "session_id", "left_semi")
+    chosen = qualifying.orderBy(F.desc("started_at"), "session_id").limit(limit)
+    sessions = stored(chosen.select("session_id", "agent_id", "department", stats.alias("stats")), "export_sessions")
+
+    def of_sessions() -> DataFrame:
+        return messages.join(F.broadcast(sessions.select("session_id").distinct()), "session_id", "left_semi")
+
     if only_with_feedback:
-        rated = theirs.filter(F.length("feedback_rating") > 0).select("session_id").distinct()
-        sessions = sessions.join(rated, "session_id", "left_semi")
-        theirs = theirs.join(rated, "session_id", "left_semi")
-    return nest_messages(sessions, theirs, EXPORT_FIELDS, part_size).select(
+        rated = of_sessions().filter(F.length("feedback_rating") > 0).select("session_id").distinct()
+        sessions = stored(sessions.join(rated, "session_id", "left_semi"), "rated_sessions")
+    return nest_messages(sessions, of_sessions(), EXPORT_FIELDS, part_size).select(
         "session_id", "agent_id", "department", "part", "messages", "stats"
     )

@@ -9,6 +9,7 @@ from govlens.functions.columns import labels_where, strings
 from govlens.operators.hygiene import apply_defaults
 from govlens.operators.policy import audit_rows, score
 from govlens.operators.usage import department_leaderboard, pii_type_breakdown
+from govlens.sources.tables import EVENT_DATE, append
 
 ALL_GUARDRAILS = ["pii_detection", "sensitive_request", "toxicity", "prompt_injection"]
 REQUEST_FIELDS = ["request_id", "timestamp", "agent_id", "prompt"]
@@ -28,6 +29,21 @@ def screen(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return audit_rows(score(complete)), checked.filter(F.size("violations") > 0)
 
 
+def screen_to_table(requests: DataFrame, root: str, rebalance: bool = True) -> None:
+    """Screen prompts into the audit table below ``root``; incomplete requests go to ``dead_letters``.
+
+    With ``rebalance`` the requests are brought together by day before they are scored: a prompt is shuffled once,
+    and not once per audit row. Leave it out when the input is laid out by day already.
+    """
+    by_day = requests.withColumn(EVENT_DATE, F.to_date("timestamp")).hint("rebalance", EVENT_DATE)
+    rows, _ = screen(by_day if rebalance else requests)
+    append(rows, root, "audit_logs", rebalance=False)
+    _, rejected = screen(requests)
+    rejected.select("request_id", "timestamp", "agent_id", "violations").write.mode("append").parquet(
+        f"{root.rstrip('/')}/dead_letters"
+    )
+
+
 def screened_departments(requests: DataFrame, as_of: str) -> DataFrame:
     """Screen prompts and rank departments by PII rate. One scan and one narrow stage before the aggregation."""
     rows, _ = screen(requests)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from govlens.operators.hygiene import dead_letters, split_valid
 from govlens.schemas import TABLES, Table
 
 EVENT_DATE = "event_date"
@@ -75,6 +76,13 @@ def append(df: DataFrame, root: str, name: str, rebalance: bool = True) -> None:
     rows.write.mode("append").partitionBy(EVENT_DATE).parquet(path_of(root, name))
 
 
+def append_audit(rows: DataFrame, root: str) -> None:
+    """Append audit rows; rows that lack required fields or break a constraint are kept as dead letters instead."""
+    good, rejected = split_valid(rows, "audit_logs")
+    append(good, root, "audit_logs")
+    dead_letters(rejected).write.mode("append").parquet(f"{root.rstrip('/')}/dead_letters")
+
+
 def replace_days(df: DataFrame, root: str, name: str) -> None:
     """Write rows and replace the days they fall on, so that a repeated run does not add them twice."""
     rows = with_event_date(df, name).hint("rebalance", EVENT_DATE)

@@ -9,6 +9,7 @@ from govlens.operators import conversations as M
 from govlens.operators import feedback as FB
 from govlens.operators import hygiene as H
 from govlens.operators import registry as R
+from govlens.plans.training import export_training_data
 from govlens.session import scratch_dir
 from govlens.sources import fixtures as X
 from govlens.sources import tables
@@ -102,6 +103,26 @@ def required_quarantine(spark, sf_dir):
     return letters.withColumn("at", second("timestamp")).drop("timestamp")
 
 
+@query(
+    "append_with_dead_letters",
+    DIRTY_SQL
+    + """SELECT 'stored' AS sink, count(*) AS n, count(DISTINCT request_id) AS n_requests FROM checked
+WHERE violations = '' UNION ALL SELECT 'dead_letters', count(*), count(DISTINCT request_id) FROM checked
+WHERE violations <> ''""",
+)
+def append_with_dead_letters(spark, sf_dir):
+    """Every row ends up in one of the two sinks."""
+    root = scratch_dir(spark, "dead_letters")
+    tables.append_audit(X.derive(X.raw(spark, sf_dir, "events"), DIRTY), root)
+    stored = tables.read_table(spark, root, "audit_logs").select(F.lit("stored").alias("sink"), "request_id")
+    letters = spark.read.parquet(f"{root}/dead_letters").select(F.lit("dead_letters").alias("sink"), "request_id")
+    return (
+        stored.unionByName(letters)
+        .groupBy("sink")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("request_id").alias("n_requests"))
+    )
+
+
 @query(
     "accepted_rows",
     DIRTY_SQL
@@ -214,10 +235,16 @@ def conversation_rows(spark, sf_dir):
     return rows.drop("ended_at")
 
 
+EXPORT_SCHEMA = (
+    "session_id string, agent_id string, department string, part long, "
+    "messages array<struct<role:string, content:string, feedback:string>>, "
+    "stats struct<message_count:long, pii_incidents:long, blocked_count:long>"
+)
+
+
 @query("training_export_jsonl", export_sql(False))
 def training_export_jsonl(spark, sf_dir):
     """Export to JSON lines and read them back."""
     path = scratch_dir(spark, "training_export")
-    exported = M.training_export(X.conversations(spark, sf_dir), X.messages(spark, sf_dir), X.AS_OF)
-    tables.export_jsonl(exported, path, {"days": 30, "include_pii": False, "min_messages": 2})
-    return shown_export(spark.read.schema(exported.schema).json(f"{path}/conversations"))
+    export_training_data(X.conversations(spark, sf_dir), X.messages(spark, sf_dir), path, X.AS_OF)
+    return shown_export(spark.read.schema(EXPORT_SCHEMA).json(f"{path}/conversations"))

@@ -35,23 +35,34 @@ _SCORED = ", ".join(
 )
 
 
-@query(
-    "stream_guardrails",
-    f"WITH {_SCORED} "
-    + " UNION ALL ".join(
-        f"SELECT request_id, {sql_day('\"timestamp\"')} AS event_date, '{k}' AS guardrail_type, s_{k} AS status, "
-        f"{'has_pii' if k == 'pii_detection' else 'false'} AS has_pii, "
-        f"{'redacted_text' if k == 'pii_detection' else 'NULL::VARCHAR'} AS redacted_prompt FROM judged"
-        for k in AUDIT_KINDS
-    ),
+SCREENED_SQL = f"WITH {_SCORED} " + " UNION ALL ".join(
+    f"SELECT request_id, {sql_day('\"timestamp\"')} AS event_date, '{k}' AS guardrail_type, s_{k} AS status, "
+    f"{'has_pii' if k == 'pii_detection' else 'false'} AS has_pii, "
+    f"{'redacted_text' if k == 'pii_detection' else 'NULL::VARCHAR'} AS redacted_prompt FROM judged"
+    for k in AUDIT_KINDS
 )
+
+
+def _stored_audit(spark, root):
+    return tables.read_table(spark, root, "audit_logs").select(
+        "request_id", day("event_date").alias("event_date"), "guardrail_type", "status", "has_pii", "redacted_prompt"
+    )
+
+
+@query("screen_to_table", SCREENED_SQL)
+def screen_to_table(spark, sf_dir):
+    """The batch twin of the screening stream."""
+    root = scratch_dir(spark, "screen_to_table")
+    screening.screen_to_table(screening.ask_for(X.prompts(spark, sf_dir), screening.ALL_GUARDRAILS), root)
+    return _stored_audit(spark, root)
+
+
+@query("stream_guardrails", SCREENED_SQL)
 def stream_guardrails(spark, sf_dir):
     root = scratch_dir(spark, "stream_guardrails")
     arriving = screening.ask_for(X.stream(spark, sf_dir, "documents", X.PROMPTS), screening.ALL_GUARDRAILS)
     _finish(jobs.run_screening(arriving, root, f"{root}/checkpoint"))
-    return tables.read_table(spark, root, "audit_logs").select(
-        "request_id", day("event_date").alias("event_date"), "guardrail_type", "status", "has_pii", "redacted_prompt"
-    )
+    return _stored_audit(spark, root)
 
 
 @query(
