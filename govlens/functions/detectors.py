@@ -36,15 +36,21 @@ def pii_flags(text: Column) -> dict[str, Column]:
     digits = text.rlike(P.DIGIT_GATE)
     flags = {}
     for kind, pattern, _ in P.PII_PATTERNS:
-        gate = text.contains("@") if kind == "email" else digits
-        flags[kind] = gate & text.rlike(P.java_regex(pattern))
+        if kind == "email":
+            flags[kind] = text.contains("@") & text.rlike(P.EMAIL_JAVA)
+        else:
+            flags[kind] = digits & text.rlike(P.java_regex(pattern))
     return flags
 
 
 def redact(text: Column, kind: str, flag: Column) -> Column:
     """Replace what one personal-data type matches, where its flag is set."""
     pattern, replacement = next((p, r) for k, p, r in P.PII_PATTERNS if k == kind)
-    return F.when(flag, F.regexp_replace(text, F.lit(P.java_regex(pattern)), F.lit(replacement))).otherwise(text)
+    if kind == "email":
+        replaced = F.regexp_replace(text, F.lit(P.EMAIL_JAVA), F.lit(f"$1{replacement}"))
+    else:
+        replaced = F.regexp_replace(text, F.lit(P.java_regex(pattern)), F.lit(replacement))
+    return F.when(flag, replaced).otherwise(text)
 
 
 def pii_verdict(flags: dict[str, Column], redacted: Column) -> Column:

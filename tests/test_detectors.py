@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
+import string
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -209,6 +212,30 @@ def test_equals_python_re(spark, texts):
         assert by_spark(row) == by_re(row.prompt), repr(row.prompt)
 
 
+ADDRESS_PIECES = st.sampled_from(
+    ["a", "Z", "é", "_", ".", "%", "+", "-", "@", "@b.co", "@b.co_", "@x.com|", "|", " ", "1", "²", "́", "a@b.com",
+     "..", "%c@d.org", "@a.b.c", "@-.de"]
+)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(ADDRESS_PIECES, max_size=12).map("".join), min_size=150, max_size=250))
+def test_linear_email_pattern_equals_python_re(spark, texts):
+    for row in verdicts(spark, texts):
+        assert by_spark(row) == by_re(row.prompt), repr(row.prompt)
+
+
+def test_long_runs_do_not_stall(spark):
+    """A megabyte of encoded data beside an address; rescanning it from every boundary took minutes."""
+    draw = random.Random(1)
+    data = "".join(draw.choices(string.ascii_letters + string.digits + "-_", k=1_000_000))
+    start = time.monotonic()
+    rows = verdicts(spark, [data + " a@b.com", "a." * 500_000 + " a@b.com", "a@b.co" * 100_000 + " "])
+    assert [r.pii.has_pii for r in rows] == [True, True, True]
+    assert rows[0].pii.redacted_text == data + " [REDACTED_EMAIL]"
+    assert time.monotonic() - start < 20
+
+
 def test_documents_equal_python_re(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("text", "prompt")
     for row in detect(rows).collect():
