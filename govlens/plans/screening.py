@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from govlens.functions.columns import labels_where, strings
 from govlens.operators.hygiene import apply_defaults
 from govlens.operators.policy import audit_rows, score
 from govlens.operators.usage import department_leaderboard, pii_type_breakdown
-from govlens.sources.tables import EVENT_DATE, append
+from govlens.sources.tables import EVENT_DATE, append, dead_letter_path, write_batch
 
 ALL_GUARDRAILS = ["pii_detection", "sensitive_request", "toxicity", "prompt_injection"]
 REQUEST_FIELDS = ["request_id", "timestamp", "agent_id", "prompt"]
@@ -29,19 +31,24 @@ def screen(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return audit_rows(score(complete)), checked.filter(F.size("violations") > 0)
 
 
-def screen_to_table(requests: DataFrame, root: str, rebalance: bool = True) -> None:
-    """Screen prompts into the audit table below ``root``; incomplete requests go to ``dead_letters``.
+def rejected_summary(rejected: DataFrame) -> DataFrame:
+    """What is kept of an incomplete request."""
+    return rejected.select("request_id", "timestamp", "agent_id", "violations")
+
+
+def screen_to_table(requests: DataFrame, root: str, batch_id: str | None = None, rebalance: bool = True) -> None:
+    """Screen prompts into the audit table below ``root``; incomplete requests go to its dead letters.
 
-    With ``rebalance`` the requests are brought together by day before they are scored: a prompt is shuffled once,
-    and not once per audit row. Leave it out when the input is laid out by day already.
+    A repeated run with the same ``batch_id`` replaces its rows. With ``rebalance`` the requests are brought together
+    by day before they are scored: a prompt is shuffled once, and not once per audit row. Leave it out when the input
+    is laid out by day already.
     """
+    batch_id = batch_id or uuid.uuid4().hex
     by_day = requests.withColumn(EVENT_DATE, F.to_date("timestamp")).hint("rebalance", EVENT_DATE)
     rows, _ = screen(by_day if rebalance else requests)
-    append(rows, root, "audit_logs", rebalance=False)
+    append(rows, root, "audit_logs", batch_id, rebalance=False)
     _, rejected = screen(requests)
-    rejected.select("request_id", "timestamp", "agent_id", "violations").write.mode("append").parquet(
-        f"{root.rstrip('/')}/dead_letters"
-    )
+    write_batch(rejected_summary(rejected), dead_letter_path(root, "requests"), batch_id)
 
 
 def screened_departments(requests: DataFrame, as_of: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -13,6 +14,7 @@ from govlens.operators.hygiene import dead_letters, split_valid
 from govlens.schemas import TABLES, Table
 
 EVENT_DATE = "event_date"
+BATCH_ID = "batch_id"
 
 
 def path_of(root: str, name: str) -> str:
@@ -20,10 +22,16 @@ def path_of(root: str, name: str) -> str:
 
 
 def stored_schema(table: Table) -> T.StructType:
-    """The table's columns plus its partition column."""
+    """The table's columns plus its partition columns."""
     if table.event_time is None:
         return table.schema
-    return T.StructType([*table.schema.fields, T.StructField(EVENT_DATE, T.DateType(), True)])
+    return T.StructType(
+        [
+            *table.schema.fields,
+            T.StructField(EVENT_DATE, T.DateType(), True),
+            T.StructField(BATCH_ID, T.StringType(), True),
+        ]
+    )
 
 
 def create_tables(spark: SparkSession, root: str, database: str = "default") -> list[str]:
@@ -33,7 +41,7 @@ def create_tables(spark: SparkSession, root: str, database: str = "default") ->
             f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}"
             for f in stored_schema(table).fields
         )
-        partitioned = f"PARTITIONED BY ({EVENT_DATE})" if table.event_time else ""
+        partitioned = f"PARTITIONED BY ({EVENT_DATE}, {BATCH_ID})" if table.event_time else ""
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {database}.{table.name} ({columns}) USING parquet {partitioned} "
             f"LOCATION '{path_of(root, table.name)}'"
@@ -60,12 +68,26 @@ def with_event_date(df: DataFrame, name: str) -> DataFrame:
     return out if table.event_time is None else out.withColumn(EVENT_DATE, F.to_date(table.event_time))
 
 
-def append(df: DataFrame, root: str, name: str, rebalance: bool = True) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: str, by: list[str] | None = None) -> None:
+    """Write rows into partitions (by ..., batch_id) and replace what the same batch wrote there before."""
+    (
+        df.withColumn(BATCH_ID, F.lit(batch_id))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*(by or []), BATCH_ID)
+        .parquet(path)
+    )
+
+
+def append(
+    df: DataFrame, root: str, name: str, batch_id: str | None = None, rebalance: bool = True
+) -> None:
     """Append rows to a table.
 
-    With ``rebalance`` the rows of a day are brought together before the write, so that a day is few large files
-    instead of one small file per task; the rebalance hint lets Spark split a day that is far larger than others
-    over several tasks. Leave it out when the input is already laid out by day.
+    A fact table is partitioned by day and batch. Give a ``batch_id`` to make the write repeatable: a second run of
+    the same batch replaces its rows. With ``rebalance`` the rows of a day are brought together before the write, so
+    that a day is few large files instead of one small file per task; the rebalance hint lets Spark split a day that
+    is far larger than others over several tasks. Leave it out when the input is already laid out by day.
     """
     rows = with_event_date(df, name)
     if TABLES[name].event_time is None:
@@ -73,25 +95,19 @@ def append(df: DataFrame, root: str, name: str, rebalance: bool = True) -> None:
         return
     if rebalance:
         rows = rows.hint("rebalance", EVENT_DATE)
-    rows.write.mode("append").partitionBy(EVENT_DATE).parquet(path_of(root, name))
+    write_batch(rows, path_of(root, name), batch_id or uuid.uuid4().hex, [EVENT_DATE])
 
 
-def append_audit(rows: DataFrame, root: str) -> None:
+def append_audit(rows: DataFrame, root: str, batch_id: str | None = None) -> None:
     """Append audit rows; rows that lack required fields or break a constraint are kept as dead letters instead."""
+    batch_id = batch_id or uuid.uuid4().hex
     good, rejected = split_valid(rows, "audit_logs")
-    append(good, root, "audit_logs")
-    dead_letters(rejected).write.mode("append").parquet(f"{root.rstrip('/')}/dead_letters")
+    append(good, root, "audit_logs", batch_id)
+    write_batch(dead_letters(rejected), dead_letter_path(root, "audit_logs"), batch_id)
 
 
-def replace_days(df: DataFrame, root: str, name: str) -> None:
-    """Write rows and replace the days they fall on, so that a repeated run does not add them twice."""
-    rows = with_event_date(df, name).hint("rebalance", EVENT_DATE)
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(EVENT_DATE)
-        .parquet(path_of(root, name))
-    )
+def dead_letter_path(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/dead_letters/{name}"
 
 
 def export_jsonl(conversations: DataFrame, path: str, params: dict) -> dict:

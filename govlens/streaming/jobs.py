@@ -8,8 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from govlens.operators.access import classify_access
 from govlens.operators.common import spread
-from govlens.plans.screening import screen
-from govlens.sources.tables import EVENT_DATE, path_of, with_event_date
+from govlens.plans.screening import rejected_summary, screen
+from govlens.sources.tables import append, dead_letter_path, write_batch
 
 
 def daily_counts(audit: DataFrame, late: str = "1 day") -> DataFrame:
@@ -59,22 +59,17 @@ def key_usage(access: DataFrame, keys: DataFrame) -> DataFrame:
     return valid.groupBy("key_id").agg(F.max("ts").alias("last_used_at"))
 
 
-def run_screening(requests: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Screen arriving prompts into the audit table below ``root``; incomplete requests go to ``dead_letters``.
+def run_screening(requests: DataFrame, root: str, checkpoint: str, name: str = "screening") -> StreamingQuery:
+    """Screen arriving prompts into the audit table below ``root``; incomplete requests go to its dead letters.
 
-    Each batch owns its partitions (event_date, batch_id) and replaces them when it is repeated after a failure, so
-    every request is written once. No state; rows move between tasks only when a batch has fewer partitions than cores.
+    Each micro-batch is one batch of the table, named after the stream (``name`` must be unique among the streams
+    that write to the table). A batch that is repeated after a failure replaces its rows, so every request is written
+    once. No state; rows move between tasks only when a batch has fewer partitions than cores.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         rows, rejected = screen(spread(batch, "request_id", "timestamp"))
-        tag = F.lit(batch_id).cast("long")
-        _replace(
-            with_event_date(rows, "audit_logs").withColumn("batch_id", tag),
-            path_of(root, "audit_logs"),
-            [EVENT_DATE, "batch_id"],
-        )
-        summary = rejected.select("request_id", "timestamp", "agent_id", "violations").withColumn("batch_id", tag)
-        _replace(summary, f"{root}/dead_letters", ["batch_id"])
+        append(rows, root, "audit_logs", f"{name}-{number}", rebalance=False)
+        write_batch(rejected_summary(rejected), dead_letter_path(root, "requests"), f"{name}-{number}")
 
     return (
         requests.writeStream.foreachBatch(write)
@@ -98,8 +93,8 @@ def run_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def run_update(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write the groups each batch changed; the newest batch of a group holds its current values."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        _replace(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), path, ["batch_id"])
+    def write(batch: DataFrame, number: int) -> None:
+        write_batch(batch.withColumn("version", F.lit(number).cast("long")), path, str(number))
 
     return (
         rows.writeStream.foreachBatch(write)
@@ -112,14 +107,5 @@ def run_update(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def current(changes: DataFrame, key: str, values: list[str]) -> DataFrame:
     """The newest state per key from the files of ``run_update``."""
-    newest = F.max(F.struct("batch_id", *values)).alias("_newest")
+    newest = F.max(F.struct("version", *values)).alias("_newest")
     return changes.groupBy(key).agg(newest).select(key, *[f"_newest.{v}" for v in values])
-
-
-def _replace(df: DataFrame, path: str, partitions: list[str]) -> None:
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(path)
-    )

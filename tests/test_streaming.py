@@ -44,17 +44,16 @@ def test_screening_stream_equals_batch_and_restarts_once(spark):
     batch = audit_rows(score(spark.createDataFrame(flat, REQUEST)))
     columns = ["request_id", "guardrail_type", "status", "has_pii", "redacted_prompt", "metadata"]
     assert sorted(map(tuple, stored.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
-    letters = spark.read.parquet(f"{root}/dead_letters").collect()
+    letters = spark.read.parquet(tables.dead_letter_path(root, "requests")).collect()
     assert sorted(r.violations for r in letters) == [["missing:prompt"]] * 3 + [["missing:request_id"]] * 3
 
 
 def test_repeated_batch_replaces_its_rows(spark):
     """What a restart after a failed commit does: the same batch id is written again."""
     path = scratch_dir(spark, "repeat")
-    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long").withColumn("batch_id", F.lit(4))
-    for _ in range(2):
-        jobs._replace(rows, path, ["batch_id"])
-    jobs._replace(rows.withColumn("batch_id", F.lit(5)), path, ["batch_id"])
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    for batch in ("4", "4", "5"):
+        tables.write_batch(rows, path, batch)
     assert spark.read.parquet(path).count() == 4
 
 
@@ -107,7 +106,7 @@ def test_session_counters_over_batches_equal_batch(spark, sf_dir):
     jobs.run_update(jobs.session_counters(arriving), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     values = ["message_count", "total_pii_incidents", "total_blocked"]
     changes = spark.read.parquet(f"{root}/out")
-    assert changes.select("batch_id").distinct().count() > 1
+    assert changes.select("version").distinct().count() > 1
     got = jobs.current(changes, "session_id", values)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, C.session_counters(rows).collect()))
 

@@ -12,10 +12,11 @@ from govlens import schemas as S
 from govlens.operators import hygiene as H
 from govlens.operators import usage as U
 from govlens.operators.conversations import training_export
-from govlens.plans.screening import screen
+from govlens.plans.screening import screen, screen_to_table
 from govlens.session import scratch_dir
 from govlens.sources import fixtures as X
 from govlens.sources import tables
+from govlens.streaming import jobs
 
 
 def test_append_partitions_by_day_and_reads_back(spark, sf_dir):
@@ -23,7 +24,7 @@ def test_append_partitions_by_day_and_reads_back(spark, sf_dir):
     rows = X.audit_logs(spark, sf_dir)
     tables.append(rows, root, "audit_logs")
     stored = tables.read_table(spark, root, "audit_logs")
-    assert stored.columns == [*S.AUDIT_LOGS.schema.fieldNames(), "event_date"]
+    assert stored.columns == [*S.AUDIT_LOGS.schema.fieldNames(), "event_date", "batch_id"]
     assert stored.count() == rows.count()
     assert stored.filter(F.to_date("timestamp") != F.col("event_date")).count() == 0
 
@@ -57,13 +58,35 @@ def test_missing_table_is_empty(spark):
         assert tables.read_table(spark, scratch_dir(spark, "none"), name).count() == 0
 
 
-def test_replace_days_is_repeatable(spark, sf_dir):
-    root = scratch_dir(spark, "replace")
+def test_repeated_batch_replaces_its_rows(spark, sf_dir):
+    root = scratch_dir(spark, "repeat")
     rows = X.feedback(spark, sf_dir)
-    tables.replace_days(rows, root, "feedback")
-    one_day = rows.filter(F.to_date("timestamp") == F.lit("2024-01-05").cast("date"))
-    tables.replace_days(one_day, root, "feedback")
-    assert tables.read_table(spark, root, "feedback").count() == rows.count()
+    for batch in ("monday", "tuesday", "monday"):
+        tables.append(rows, root, "feedback", batch)
+    assert tables.read_table(spark, root, "feedback").count() == 2 * rows.count()
+
+
+def test_unpartitioned_table_appends(spark, sf_dir):
+    root = scratch_dir(spark, "agents")
+    agents = X.agents(spark, sf_dir)
+    tables.append(agents, root, "agents")
+    tables.append(agents, root, "agents")
+    assert tables.read_table(spark, root, "agents").count() == 2 * agents.count()
+
+
+def test_batch_and_stream_share_the_audit_table(spark):
+    """Both writers use the same layout, so one read sees all rows."""
+    schema = "request_id string, timestamp timestamp, agent_id string, prompt string, guardrails array<string>"
+    rows = spark.createDataFrame(
+        [(f"r{i}", datetime(2024, 1, 1 + i % 3), "a", f"u{i}@b.com", ["pii_detection"]) for i in range(9)], schema
+    )
+    root, feed = scratch_dir(spark, "shared"), scratch_dir(spark, "feed")
+    rows.write.parquet(feed)
+    for _ in range(2):
+        screen_to_table(rows, root, "load-1")
+        arriving = spark.readStream.schema(schema).parquet(feed)
+        jobs.run_screening(arriving, root, f"{root}/checkpoint").awaitTermination()
+    assert tables.read_table(spark, root, "audit_logs").count() == 18
 
 
 def test_create_tables_in_the_catalog(spark):

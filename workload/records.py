@@ -46,11 +46,12 @@ def read_tables(spark, sf_dir):
   CAST(2 * sum(CAST(has_pii AS INTEGER)) AS BIGINT) AS n_pii FROM audit_logs GROUP BY 1""",
 )
 def append_audit(spark, sf_dir):
-    """Two appends add up."""
+    """Two batches add up; a repeated batch does not."""
     root = scratch_dir(spark, "append_audit")
     rows = X.audit_logs(spark, sf_dir)
-    tables.append(rows, root, "audit_logs")
-    tables.append(rows, root, "audit_logs", rebalance=False)
+    tables.append(rows, root, "audit_logs", "load-1")
+    tables.append(rows, root, "audit_logs", "load-2", rebalance=False)
+    tables.append(rows, root, "audit_logs", "load-1", rebalance=False)
     return (
         tables.read_table(spark, root, "audit_logs")
         .groupBy(day("event_date").alias("event_date"))
@@ -115,7 +116,7 @@ def append_with_dead_letters(spark, sf_dir):
     root = scratch_dir(spark, "dead_letters")
     tables.append_audit(X.derive(X.raw(spark, sf_dir, "events"), DIRTY), root)
     stored = tables.read_table(spark, root, "audit_logs").select(F.lit("stored").alias("sink"), "request_id")
-    letters = spark.read.parquet(f"{root}/dead_letters").select(F.lit("dead_letters").alias("sink"), "request_id")
+    letters = spark.read.parquet(tables.dead_letter_path(root, "audit_logs")).select(F.lit("dead_letters").alias("sink"), "request_id")
     return (
         stored.unionByName(letters)
         .groupBy("sink")
