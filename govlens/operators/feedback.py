@@ -12,6 +12,9 @@ from govlens.operators.common import last_days, moment, only
 from govlens.operators.hygiene import apply_defaults, check_range
 from govlens.schemas import FEEDBACK
 
+# Fixed value: the note on an agent without feedback.
+NO_FEEDBACK = "No feedback found for this agent"
+
 
 def feedback_rows(submissions: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
     """Feedback rows. The id is a hash of the content, so a repeated run gives the same ids."""
@@ -52,6 +55,21 @@ def feedback_summary(
     )
 
 
+def feedback_of_agents(
+    registry: DataFrame, feedback: DataFrame, as_of: datetime | str | None = None, days: int = 30
+) -> DataFrame:
+    """The summary for every registered agent; agents without feedback have zero counts and a message."""
+    summary = feedback_summary(feedback, as_of, days)
+    counts = [c for c in summary.columns if c not in ("agent_id", "helpful_rate")]
+    return (
+        registry.select("agent_id")
+        .distinct()
+        .join(summary, "agent_id", "left")
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+        .withColumn("message", F.when(F.col("total_feedback") == 0, F.lit(NO_FEEDBACK)))
+    )
+
+
 def recent_suggestions(feedback: DataFrame, agent_id: str | None = None, limit: int = 20) -> DataFrame:
     """The latest feedback with a suggestion."""
     check_range("limit", limit, 1, 100)

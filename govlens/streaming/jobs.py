@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from govlens.operators.access import classify_access
 from govlens.operators.common import spread
@@ -43,13 +43,25 @@ def deduplicated(audit: DataFrame, late: str = "1 day") -> DataFrame:
     return audit.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["request_id", "guardrail_type"])
 
 
-def activity_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions of a user by inactivity: a pause longer than ``gap`` ends one."""
+def activity_sessions(
+    events: DataFrame, key: str = "user_id", gap: str = "30 minutes", late: str = "1 hour"
+) -> DataFrame:
+    """Periods of activity of a user (or another ``key``): a pause longer than ``gap`` ends one."""
     return (
         events.withWatermark("timestamp", late)
-        .groupBy(F.session_window("timestamp", gap).alias("session"), "user_id")
+        .groupBy(F.session_window("timestamp", gap).alias("session"), key)
         .agg(F.count(F.lit(1)).alias("n_events"))
-        .select("user_id", F.col("session.start").alias("started_at"), F.col("session.end").alias("ends_at"), "n_events")
+        .select(key, F.col("session.start").alias("started_at"), F.col("session.end").alias("ends_at"), "n_events")
+    )
+
+
+def abandonments(messages: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """End events (session_id, status, ended_at) of conversations that fell silent, for ``end_conversations``.
+
+    A conversation that resumes and falls silent again ends again later; the latest end counts there.
+    """
+    return activity_sessions(messages, "session_id", gap, late).select(
+        "session_id", F.lit("abandoned").alias("status"), F.col("ends_at").alias("ended_at")
     )
 
 
@@ -59,7 +71,15 @@ def key_usage(access: DataFrame, keys: DataFrame) -> DataFrame:
     return valid.groupBy("key_id").agg(F.max("ts").alias("last_used_at"))
 
 
-def run_screening(requests: DataFrame, root: str, checkpoint: str, name: str = "screening") -> StreamingQuery:
+def _start(writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Start a query: over what is available now, or, with ``every``, again and again at that interval."""
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def run_screening(
+    requests: DataFrame, root: str, checkpoint: str, name: str = "screening", every: str | None = None
+) -> StreamingQuery:
     """Screen arriving prompts into the audit table below ``root``; incomplete requests go to its dead letters.
 
     Each micro-batch is one batch of the table, named after the stream (``name`` must be unique among the streams
@@ -71,38 +91,20 @@ def run_screening(requests: DataFrame, root: str, checkpoint: str, name: str = "
         append(rows, root, "audit_logs", f"{name}-{number}", rebalance=False)
         write_batch(rejected_summary(rejected), dead_letter_path(root, "requests"), f"{name}-{number}")
 
-    return (
-        requests.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(requests.writeStream.foreachBatch(write), checkpoint, every)
 
 
-def run_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def run_append(rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append finished rows to Parquet files (exactly once)."""
-    return (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(rows.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint, every)
 
 
-def run_update(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def run_update(rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Write the groups each batch changed; the newest batch of a group holds its current values."""
     def write(batch: DataFrame, number: int) -> None:
         write_batch(batch.withColumn("version", F.lit(number).cast("long")), path, str(number))
 
-    return (
-        rows.writeStream.foreachBatch(write)
-        .outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(rows.writeStream.foreachBatch(write).outputMode("update"), checkpoint, every)
 
 
 def current(changes: DataFrame, key: str, values: list[str]) -> DataFrame:

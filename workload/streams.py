@@ -82,6 +82,22 @@ def stream_daily_counts(spark, sf_dir):
     return spark.read.schema(counts.schema).parquet(f"{root}/out").withColumn("date", day("date"))
 
 
+@query(
+    "stream_daily_counts_current",
+    AUDIT
+    + f"""SELECT {sql_day('"timestamp"')} AS date, count(*) AS total_requests,
+  count(*) FILTER (status = 'blocked') AS blocked_requests, count(*) FILTER (status = 'passed') AS passed_requests,
+  count(*) FILTER (has_pii) AS pii_incidents FROM audit_logs GROUP BY 1""",
+)
+def stream_daily_counts_current(spark, sf_dir):
+    """All days, the open ones with what has arrived."""
+    root = scratch_dir(spark, "stream_daily_counts_current")
+    counts = jobs.daily_counts(X.stream(spark, sf_dir, "events", X.AUDIT_LOGS))
+    _finish(jobs.run_update(counts, f"{root}/out", f"{root}/checkpoint"))
+    values = ["total_requests", "blocked_requests", "passed_requests", "pii_incidents"]
+    return jobs.current(spark.read.parquet(f"{root}/out"), "date", values).withColumn("date", day("date"))
+
+
 @query(
     "stream_conversation_stats",
     X.duckdb_with("turns")
@@ -130,6 +146,22 @@ def stream_sessions(spark, sf_dir):
     )
 
 
+@query(
+    "stream_abandoned",
+    X.duckdb_with("turns")
+    + f"""SELECT session_id, 'abandoned' AS status, {sql_second("t + INTERVAL 30 MINUTE")} AS ended_at
+FROM (SELECT session_id, max("timestamp") AS t FROM turns GROUP BY 1)
+WHERE t + INTERVAL 30 MINUTE <= (SELECT max("timestamp") FROM turns) - INTERVAL 1 HOUR""",
+)
+def stream_abandoned(spark, sf_dir):
+    """Conversations that fell silent; messages of one conversation are a minute apart here."""
+    root = scratch_dir(spark, "stream_abandoned")
+    arriving = X.derive(X.stream(spark, sf_dir, "conversations").filter("role <> 'system'"), X.MESSAGES)
+    ends = jobs.abandonments(arriving)
+    _finish(jobs.run_append(ends, f"{root}/out", f"{root}/checkpoint"))
+    return spark.read.schema(ends.schema).parquet(f"{root}/out").withColumn("ended_at", second("ended_at"))
+
+
 @query(
     "stream_key_usage",
     X.duckdb_with("created_keys", "access_log")

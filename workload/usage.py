@@ -414,6 +414,20 @@ def feedback_summary(spark, sf_dir):
     return FB.feedback_summary(X.feedback(spark, sf_dir), AS_OF)
 
 
+@query(
+    "feedback_of_agents",
+    X.duckdb_with("agents", "feedback")
+    + f"""SELECT g.agent_id, count(f.agent_id) AS total_feedback,
+  count(*) FILTER (f.rating = 'helpful') AS helpful_count,
+  CASE WHEN count(f.agent_id) = 0 THEN '{FB.NO_FEEDBACK}' END AS message
+FROM (SELECT DISTINCT agent_id FROM agents) g LEFT JOIN (SELECT * FROM feedback WHERE {since(30)}) f
+  ON g.agent_id = f.agent_id GROUP BY 1""",
+)
+def feedback_of_agents(spark, sf_dir):
+    out = FB.feedback_of_agents(X.agents(spark, sf_dir), X.feedback(spark, sf_dir), AS_OF)
+    return out.select("agent_id", "total_feedback", "helpful_count", "message")
+
+
 @query(
     "recent_suggestions",
     FEEDBACK
