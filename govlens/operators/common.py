@@ -45,11 +45,14 @@ def only(df: DataFrame, **equal: str | None) -> DataFrame:
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Spread rows over all cores by a hash of ``by`` when the input has fewer partitions than there are cores.
+    """Spread scanned rows over all cores by a hash of ``by`` when the scan has fewer partitions than there are cores.
 
     Meant for few unsplittable files before work that is heavy per row, such as text scanning. Large inputs have more
-    partitions than cores and pass unchanged.
+    partitions than cores and pass unchanged, and so does a plan that shuffles already: counting its partitions would
+    run it.
     """
+    if hasattr(df, "_jdf") and df._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
 

@@ -84,13 +84,14 @@ def agent_keys(spark, sf_dir):
 
 @query(
     "revoke_keys",
-    KEYS
+    X.duckdb_with("audit_logs", "created_keys")
     + """SELECT k.key_id, k.is_active AND r.key_id IS NULL AS is_active FROM created_keys k LEFT JOIN
-  (SELECT DISTINCT concat('key-', user_id) AS key_id FROM events WHERE event_type = 'error' AND user_id % 4 = 0) r
+  (SELECT DISTINCT replace(user_id, 'user-', 'key-') AS key_id FROM audit_logs
+   WHERE status = 'blocked' AND guardrail_type = 'output_guardrail' AND user_id IS NOT NULL) r
   ON k.key_id = r.key_id""",
 )
 def revoke_keys(spark, sf_dir):
-    """Keys named by an error event of a fourth of the users are revoked."""
-    errors = X.raw(spark, sf_dir, "events").filter("event_type = 'error' AND user_id % 4 = 0")
-    revoked = errors.selectExpr("concat('key-', user_id) AS key_id")
+    """Keys of users who received a blocked response are revoked."""
+    blocked = X.audit_logs(spark, sf_dir).filter("status = 'blocked' AND guardrail_type = 'output_guardrail'")
+    revoked = blocked.selectExpr("replace(user_id, 'user-', 'key-') AS key_id").dropna()
     return A.revoke_keys(X.api_keys(spark, sf_dir), revoked).select("key_id", "is_active")

@@ -127,26 +127,23 @@ def training_export_with_feedback(spark, sf_dir):
     )
 
 
-# End events: every third conversation ends, every ninth twice; the later event counts.
-ENDS = (
-    "SELECT concat('sess-', conv_id) AS session_id, 'error' AS status, "
-    "TIMESTAMP '2024-01-30 00:00:00' AS ended_at FROM c WHERE conv_id % 9 = 0 UNION ALL "
-    "SELECT concat('sess-', conv_id), CASE WHEN conv_id % 2 = 0 THEN 'abandoned' END, "
-    "TIMESTAMP '2024-01-30 12:00:00' FROM c WHERE conv_id % 3 = 0"
-)
+# End events: a conversation may end after each assistant message; the latest such event counts.
+END_STATUS = "CASE WHEN was_blocked THEN 'error' WHEN feedback_rating IS NULL THEN 'abandoned' END"
 
 
 @query(
     "end_conversations",
     ALL.rstrip()
-    + """, ended AS (SELECT DISTINCT concat('sess-', conv_id) AS session_id,
-  CASE WHEN conv_id % 2 = 0 THEN 'abandoned' ELSE 'completed' END AS status FROM conversations WHERE conv_id % 3 = 0)
-SELECT s.session_id, coalesce(e.status, s.status) AS status,
-  CASE WHEN e.session_id IS NOT NULL THEN '2024-01-30 12:00:00' END AS ended_at
-FROM sessions s LEFT JOIN ended e ON s.session_id = e.session_id""",
+    + f""", ends AS (SELECT session_id, coalesce({END_STATUS}, 'completed') AS status, "timestamp" AS ended_at,
+  row_number() OVER (PARTITION BY session_id ORDER BY "timestamp" DESC) AS r FROM turns WHERE role = 'assistant')
+SELECT s.session_id, coalesce(e.status, s.status) AS status, {sql_second("e.ended_at")} AS ended_at
+FROM sessions s LEFT JOIN ends e ON s.session_id = e.session_id AND e.r = 1""",
 )
 def end_conversations(spark, sf_dir):
-    ids = X.raw(spark, sf_dir, "conversations").select("conv_id").distinct()
-    ends = spark.sql(ENDS.replace("FROM c ", "FROM {c} "), c=ids)
+    ends = (
+        X.turns(spark, sf_dir)
+        .filter("role = 'assistant'")
+        .selectExpr("session_id", f"{END_STATUS} AS status", "timestamp AS ended_at")
+    )
     out = C.end_conversations(X.conversations(spark, sf_dir), ends)
     return out.select("session_id", "status", second("ended_at").alias("ended_at"))

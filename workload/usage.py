@@ -308,11 +308,10 @@ def top_agents_per_department(spark, sf_dir):
     + f"""SELECT department, pii_rate, CASE WHEN pii_rate > 50 THEN 'red' WHEN pii_rate > 20 THEN 'yellow'
   ELSE 'green' END AS risk_band, round(pii_rate, 1) AS rate_shown FROM
   (SELECT coalesce(department, 'unknown') AS department, {RATE} AS pii_rate FROM audit_logs
-   WHERE {since(30)} AND guardrail_type = 'pii_detection' GROUP BY 1)""",
+   WHERE {since(30)} GROUP BY 1)""",
 )
 def pii_risk_band(spark, sf_dir):
-    checks = X.audit_logs(spark, sf_dir).filter(F.col("guardrail_type") == "pii_detection")
-    rates = U.department_leaderboard(checks, AS_OF).select("department", "pii_rate")
+    rates = U.department_leaderboard(X.audit_logs(spark, sf_dir), AS_OF).select("department", "pii_rate")
     return U.pii_risk_bands(rates)
 
 
