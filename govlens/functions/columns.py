@@ -17,7 +17,8 @@ def strings(*values: str) -> Column:
 
 def labels_where(flags: Iterable[tuple[str, Column]]) -> Column:
     """The labels whose flag is true, in the given order."""
-    return F.array_compact(F.array(*[F.when(flag, F.lit(label)) for label, flag in flags]))
+    labels = F.array(*[F.when(flag, F.lit(label)) for label, flag in flags])
+    return F.array_compact(labels.cast("array<string>"))
 
 
 def is_true(flag: Column) -> Column:

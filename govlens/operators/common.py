@@ -74,8 +74,11 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the estimate is within the session's broadcast threshold; False where it cannot be read."""
-    if not hasattr(df, "_jdf"):
+    """Whether the size estimate is within the session's broadcast threshold.
+
+    False where the estimate cannot be read, and where rows are generated: the optimizer does not count those.
+    """
+    if not hasattr(df, "_jdf") or "Generate " in df._jdf.queryExecution().optimizedPlan().toString():
         return False
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return 0 <= estimated_bytes(df) <= limit
@@ -124,7 +127,8 @@ def running_total(
 
     ``buckets`` cut each key's rows into ranges that follow ``order`` (bucket columns compare like the order columns
     do). Rows are ranked inside their bucket only; what lies before a bucket comes from per-bucket sums, which are
-    narrow. No task ever holds or scans the rows of a whole hot key. Rows must have a non-NULL key and order.
+    narrow. No task ever holds or scans the rows of a whole hot key. Rows without a key or an order are kept; their
+    sum starts anew.
     """
     names = list(buckets)
     cut = df.withColumns(buckets).withColumn("_amount", F.coalesce(amount.cast("long"), F.lit(0)))
@@ -135,7 +139,7 @@ def running_total(
         Window.partitionBy(*key, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        cut.join(offsets, [*key, *names])
-        .withColumn(out, F.col("_before") + F.sum("_amount").over(inside))
+        cut.join(offsets, [*key, *names], "left")
+        .withColumn(out, F.coalesce("_before", F.lit(0)) + F.sum("_amount").over(inside))
         .drop("_amount", "_before", *names)
     )

@@ -60,6 +60,16 @@ def test_running_total_treats_null_amounts_as_zero(spark):
     assert [r.t for r in out] == [i // 2 + 1 for i in range(100)]
 
 
+def test_rows_without_session_or_position_are_kept(spark):
+    rows = spark.createDataFrame(
+        [(None, 1, "user"), (None, None, "user"), ("s", None, "user"), ("s", 5, "user"), ("s", 5_000, "user")],
+        "session_id string, seq long, role string",
+    )
+    found = C.turn_numbers(rows).collect()
+    assert len(found) == 5
+    assert {r.seq: r.turn_number for r in found if r.session_id and r.seq} == {5: 2, 5_000: 3}
+
+
 @pytest.fixture(scope="module")
 def sessions(spark, history):
     df, _ = history
