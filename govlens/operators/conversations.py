@@ -225,12 +225,16 @@ def training_export(
     min_messages: int = 2,
     limit: int = EXPORT_LIMIT,
     part_size: int = PART_SIZE,
+    session_ratings: DataFrame | None = None,
 ) -> DataFrame:
     """The latest completed conversations as training examples.
 
     At most ``limit`` sessions are chosen. That bounded list is stored, so that every later step sees the same choice,
     and broadcast to the messages: the message table is filtered where it is read and only the chosen sessions' rows
-    are shuffled. ``only_with_feedback`` applies after the limit.
+    are shuffled.
+
+    ``only_with_feedback`` applies after the limit. A session has feedback when one of its messages has a rating, or
+    when ``session_ratings`` (session_id, rating; see ``feedback_to_session``) lists it.
     """
     check_range("days", days, 1, 365)
     check_range("min_messages", min_messages, 1, 1000)
@@ -248,12 +252,15 @@ def training_export(
     chosen = qualifying.orderBy(F.desc("started_at"), "session_id").limit(limit)
     sessions = stored(chosen.select("session_id", "agent_id", "department", stats.alias("stats")), "export_sessions")
 
-    def of_sessions() -> DataFrame:
-        return messages.join(F.broadcast(sessions.select("session_id").distinct()), "session_id", "left_semi")
+    def of_sessions(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(sessions.select("session_id").distinct()), "session_id", "left_semi")
 
     if only_with_feedback:
-        rated = of_sessions().filter(F.length("feedback_rating") > 0).select("session_id").distinct()
-        sessions = stored(sessions.join(rated, "session_id", "left_semi"), "rated_sessions")
-    return nest_messages(sessions, of_sessions(), EXPORT_FIELDS, part_size).select(
+        rated = of_sessions(messages).filter(F.length("feedback_rating") > 0).select("session_id")
+        if session_ratings is not None:
+            listed = of_sessions(session_ratings).filter(F.length("rating") > 0).select("session_id")
+            rated = rated.unionByName(listed)
+        sessions = stored(sessions.join(rated.distinct(), "session_id", "left_semi"), "rated_sessions")
+    return nest_messages(sessions, of_sessions(messages), EXPORT_FIELDS, part_size).select(
         "session_id", "agent_id", "department", "part", "messages", "stats"
     )

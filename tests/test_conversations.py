@@ -143,6 +143,9 @@ def test_export_limit_comes_before_the_feedback_filter(spark):
     assert {r.session_id: len(r.messages) for r in latest.collect()} == {"s9": 0, "s8": 2, "s7": 2}
     rated = C.training_export(starts, messages, X.AS_OF, limit=3, only_with_feedback=True)
     assert [r.session_id for r in rated.collect()] == ["s8"]
+    ratings = spark.createDataFrame([("s7", "helpful"), ("s1", "helpful"), ("s9", None)], "session_id string, rating string")
+    linked = C.training_export(starts, messages, X.AS_OF, limit=3, only_with_feedback=True, session_ratings=ratings)
+    assert {r.session_id for r in linked.collect()} == {"s8", "s7"}
     with pytest.raises(ValueError, match="min_messages"):
         C.training_export(starts, messages, X.AS_OF, min_messages=0)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from govlens.operators import conversations as C
+from govlens.operators.feedback import feedback_to_session
 from govlens.sources import fixtures as X
 from workload.registry import query, second, sql_second
 
@@ -127,6 +128,29 @@ def training_export_with_feedback(spark, sf_dir):
     )
 
 
+@query(
+    "training_export_with_session_feedback",
+    X.duckdb_with("turns", "messages", "session_starts", "sessions", "audit_logs", "feedback").rstrip()
+    + f""", rated AS (SELECT DISTINCT a.session_id FROM audit_logs a JOIN feedback f ON a.request_id = f.request_id
+  UNION SELECT session_id FROM messages WHERE length(feedback_rating) > 0),
+chosen AS (SELECT * FROM sessions WHERE started_at >= TIMESTAMP '{X.AS_OF}' - INTERVAL 30 DAY
+  AND message_count >= 2 AND status = 'completed' AND total_pii_incidents = 0
+  ORDER BY started_at DESC, session_id LIMIT 1000)
+SELECT session_id, agent_id, message_count FROM chosen WHERE session_id IN (SELECT session_id FROM rated)""",
+)
+def training_export_with_session_feedback(spark, sf_dir):
+    """Feedback reaches sessions over the audit rows of the rated requests."""
+    ratings = feedback_to_session(X.feedback(spark, sf_dir), X.audit_logs(spark, sf_dir))
+    out = C.training_export(
+        X.conversations(spark, sf_dir),
+        X.messages(spark, sf_dir),
+        X.AS_OF,
+        only_with_feedback=True,
+        session_ratings=ratings,
+    )
+    return out.select("session_id", "agent_id", "stats.message_count")
+
+
 # End events: a conversation may end after each assistant message; the latest such event counts.
 END_STATUS = "CASE WHEN was_blocked THEN 'error' WHEN feedback_rating IS NULL THEN 'abandoned' END"
 
