@@ -9,13 +9,14 @@ task holds more at 1000 times the data. A key that every text holds costs one en
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text per chunk and per shard.
@@ -72,12 +73,15 @@ def asked_table(shards: list[int], chunk: int, keys: list[bytes], more: list[byt
 
 
 def answered(
-    asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], more: np.dtype | None = None
+    asked: DataFrame,
+    reply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
+    more: np.dtype | None = None,
+    keys: np.dtype | type = U64,
 ) -> DataFrame:
     """Merge each shard. ``reply(keys, more, chunk)`` gets the entries of all chunks and returns one item for each."""
 
     def one(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
+        sent = [np.frombuffer(x, keys) for x in table.column("keys").to_pylist()]
         beside = [np.frombuffer(x, more) for x in table.column("more").to_pylist()] if more is not None else []
         chunks = table.column("_chunk").to_numpy()
         lengths = np.array([len(x) for x in sent])
@@ -109,7 +113,15 @@ def answers(table: pa.Table, dtype: np.dtype | type) -> np.ndarray:
     return np.frombuffer(b"".join(replies[i] for i in order), dtype)
 
 
-def words_of(texts: pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, list[str], np.ndarray]:
+def pieces(batches: Iterator[pa.RecordBatch], size: int = TEXT_PER_CHUNK) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``size`` bytes each; a row is never cut."""
+    for batch in batches:
+        step = max(1, min(batch.num_rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
+
+
+def words_of(texts: pa.ChunkedArray | pa.Array, lower: bool = False) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Words as numbers, the distinct words, and where each text's words start (one more entry than texts).
 
     A word is a longest run of characters other than space and \\x09-\\x0D. A null text has no words.
@@ -154,3 +166,19 @@ class Rolling:
         """Hash of words[start:end] for each pair."""
         with np.errstate(over="ignore"):
             return mixed((self.sums[end] - self.sums[start]) * self.back[start])
+
+
+class Shared:
+    """A value of bounded size for all tasks, broadcast with its class, which the executors need not have installed."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent}
+
+    @property
+    def value(self):
+        if "found" not in self.__dict__:
+            self.__dict__["found"] = cloudpickle.loads(self.sent.value)
+        return self.__dict__["found"]

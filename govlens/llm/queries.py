@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlens.llm import substrings
+from govlens.llm import decontaminate, jaccard, mixing, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "item_id", "item_words", "covered_words", F.size("tiles").alias("n_tiles"), "coverage"
+    )
+
+
+@query
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mixing.rates(table(spark, sf_dir, "documents"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return rated.select("doc_id", "size", "source_size", "target", taken)
+
+
+ORACLES["op5_source_mixing"] = """
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+    CAST('0x' || substr(md5(concat_ws('|', '0', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))), 1, 13)
+      AS BIGINT) / 4503599627370496.0 AS draw
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS weight
+  FROM sized GROUP BY source),
+running AS (
+  SELECT *,
+    CAST((SELECT sum(source_size) FROM sources) - 3 * coalesce(sum(source_size) OVER before, 0) AS DOUBLE) AS rest,
+    CAST((SELECT sum(weight) FROM sources) - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS open,
+    row_number() OVER (ORDER BY source_size / weight, source ASC NULLS LAST) AS place
+  FROM sources
+  WINDOW before AS (ORDER BY source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+stop AS (
+  SELECT place AS first_place, rest AS first_rest, open AS first_open FROM running
+  WHERE NOT CAST(3 * source_size AS DOUBLE) * open <= weight * rest ORDER BY place LIMIT 1),
+targets AS (
+  SELECT source, source_size,
+    CASE WHEN first_place IS NULL OR place < first_place THEN CAST(3 * source_size AS DOUBLE)
+         ELSE weight * first_rest / first_open END AS target
+  FROM running LEFT JOIN stop ON TRUE)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM (
+  SELECT doc_id, size, source_size, target, draw,
+    CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+"""
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
