@@ -1,38 +1,72 @@
-"""The corpus pipeline: documents through the filters of govlens.llm, in stages that are written and read again."""
+"""The corpus pipeline: documents through the operators of govlens.llm, in stages that are written and read again."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from govlens.llm import substrings
-from govlens.session import scratch_dir
+from govlens.llm import decontaminate, jaccard, mixing, substrings, toxicity
+from govlens.operators.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5. The model learns from all labelled documents."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model, carry=docs.columns, least=0.5).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingles of five words and a similarity of 0.8, the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays, too. Rows without doc_id cannot be told apart and stay.
+    """
+    found = jaccard.jaccard_components(docs, size=5, percent=80)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
+    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 35 words and more that occur at several places."""
-    found = substrings.repeated_passages(docs, carry=["lang", "source", "n_chars"])
-    text = "CASE WHEN n_removed = 0 THEN text ELSE kept_text END"
-    size = "CASE WHEN n_removed = 0 THEN n_chars ELSE CAST(char_length(kept_text) AS {}) END"
-    return found.selectExpr(
-        "doc_id", f"{text} AS text", "lang", "source", f"{size.format(dict(docs.dtypes)['n_chars'])} AS n_chars"
-    )
+    """Documents without passages of 35 words and more that occur at several places; the rest of a text stays."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = substrings.repeated_passages(docs, carry=others)
+    cut = found.withColumn("text", F.expr("CASE WHEN n_removed = 0 THEN text ELSE kept_text END"))
+    if "n_chars" in others:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(size))
+    return cut.select(*docs.columns)
+
+
+def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not hold most of a benchmark item."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, with the number of the copy."""
+    return mixing.mixed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("substring_dedup", without_repeats)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("jaccard_join", one_of_each_group),
+    ("substring_dedup", without_repeats),
+    ("decontamination", without_test_items),
+    ("source_mixing", mixed_sources),
+]
 
-# Trained models, connected components and passages of word hashes have no SQL form.
+# Trained models, components of similar texts and tilings have no SQL form.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents; each stage is written to the shared folder and read by the next."""
+    """All stages on the documents; each is written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = scratch_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlens.llm import decontaminate, jaccard, mixing, substrings
+from govlens.llm import decontaminate, jaccard, mixing, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``divisor``: decides what is held out of training. A null id counts as ''."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
+
+
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.repeated_passages(table(spark, sf_dir, "documents"))
@@ -81,3 +86,11 @@ FROM (
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), training=~held_out)
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted)

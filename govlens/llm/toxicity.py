@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlens.llm import chunks as C
+from govlens.operators.common import stored
 
 # Character n-grams share this many vectors of this length.
 BUCKETS = 1 << 17
-DIMENSIONS = 8
-GRAMS = (3, 4, 5)
+DIMENSIONS = 4
+GRAMS = (3, 4, 5, 6)
 # A text is judged by passages of so many words, each starting half a passage after the one before.
-PASSAGE_WORDS = 16
+PASSAGE_WORDS = 8
 # The training sample: labelled rows of each class, and passages of each row.
 ROWS_PER_CLASS = 2_000
 PASSAGES_PER_ROW = 64
@@ -52,9 +53,10 @@ def passages(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Per bucket what it adds to the log odds of a passage, and the log odds of an empty one."""
+    """Per bucket what it adds to the log odds of a passage, and what calibration makes of a text's highest odds."""
 
     weights: np.ndarray
+    slope: float
     bias: float
 
     def word_scores(self, words: list[str]) -> np.ndarray:
@@ -62,18 +64,23 @@ class Model:
         n = np.maximum(1, np.bincount(owner, minlength=len(words)))
         return np.bincount(owner, self.weights[bucket], minlength=len(words)) / n
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        """Probability of label 1: the highest of a text's passages; 0 for a text without words."""
+    def highest(self, texts: pa.Array) -> np.ndarray:
+        """Log odds of a text's most toxic passage, without the layer's constant; -inf without words."""
         ids, words, starts = C.words_of(texts, lower=True)
         sums = np.concatenate([[0.0], np.cumsum(self.word_scores(words)[ids])])
-        out = np.zeros(len(starts) - 1)
+        out = np.full(len(starts) - 1, -np.inf)
         for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
             if b > a:
                 first, end = passages(b - a)
-                best = ((sums[a + end] - sums[a + first]) / (end - first)).max() + self.bias
-                out[i] = 1 / (1 + np.exp(-np.clip(best, -500, 500)))
+                out[i] = ((sums[a + end] - sums[a + first]) / (end - first)).max()
         return out
 
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Probability of label 1; 0 for a text without words."""
+        best = self.highest(texts)
+        odds = np.clip(self.slope * np.where(np.isinf(best), 0, best) + self.bias, -500, 500)
+        return np.where(np.isinf(best), 0.0, 1 / (1 + np.exp(-odds)))
+
 
 class Trainer:
     """Vectors of the n-grams and the softmax layer, trained together by AdaGrad on passages."""
@@ -136,8 +143,8 @@ class Trainer:
                 s[rows] += g * g
                 x[rows] -= rate * g / np.sqrt(s[rows])
 
-    def fit(self) -> Model:
-        """First every passage has its row's label. Then a toxic row keeps the passage that looks most toxic.
+    def fit(self) -> None:
+        """First every passage has its row's label. Then a toxic row keeps the passages that look toxic, one at least.
 
         A toxic row holds harmless passages as well; once the two kinds can be told apart, these are left out.
         """
@@ -145,26 +152,40 @@ class Trainer:
         for rate in (0.1, 0.1, 0.05):
             self.rng.shuffle(chosen)
             self.epoch(chosen, self._balance(chosen), rate)
-        for rate in (0.1, 0.1, 0.05, 0.05, 0.02):
+        for rate in (0.1, 0.1, 0.05, 0.05):
             toxic = np.flatnonzero(self.label == 1)
             p = self.probabilities(toxic)
             order = np.lexsort((-p, self.row[toxic]))
-            best = toxic[order][np.concatenate([[True], np.diff(self.row[toxic][order]) != 0])]
-            chosen = np.concatenate([best, np.flatnonzero(self.label == 0)])
+            best = np.concatenate([[True], np.diff(self.row[toxic][order]) != 0]) | (p[order] >= 0.5)
+            chosen = np.concatenate([toxic[order][best], np.flatnonzero(self.label == 0)])
             self.rng.shuffle(chosen)
             self.epoch(chosen, self._balance(chosen), rate)
-        return Model(
-            (self.vectors @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
-        )
 
     def _balance(self, chosen: np.ndarray) -> np.ndarray:
-        """Weights that lift the rarer class, but not to equal weight: few false alarms matter more."""
+        """Weights that lift the rarer class a little."""
         count = np.maximum(1, np.bincount(self.label[chosen], minlength=2))
-        return np.sqrt(count.max() / count)
+        return (count.max() / count) ** 0.25
+
+    def weights(self) -> np.ndarray:
+        return (self.vectors @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32)
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, training: Column) -> DataFrame:
-    """(label, passages) of a bounded number of labelled rows per class, picked by hash."""
+def _calibrated(best: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and bias of the logistic curve that fits rows kept out of training, by Newton's method."""
+    x = np.stack([best, np.ones(len(best))], 1)
+    theta = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        step = x.T @ (weight * (p - labels)) + 1e-2 * (theta - (1.0, 0.0))
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        theta = theta - np.clip(np.linalg.solve(curve, step), -2, 2)
+    return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
+
+
+def _sampled(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, training: Column
+) -> tuple[dict[int, int], DataFrame]:
+    """Rows of each class, and (id, label, passages) of a bounded number of them, picked by hash."""
     known = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
         .filter(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
@@ -172,7 +193,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
         .agg(F.max("_label").alias("_label"))
     )
     there = docs.filter(training & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
-    usable = known.join(there, "_id", "left_semi").withColumn("_draw", F.xxhash64("_id", F.lit(SEED)))
+    usable = stored(known.join(there, "_id", "left_semi"), "labelled").withColumn("_draw", F.xxhash64("_id", F.lit(SEED)))
+    counts = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}  # two rows
     parts = [usable.filter(F.col("_label") == c).orderBy("_draw", "_id").limit(ROWS_PER_CLASS) for c in (0, 1)]
     picked = F.broadcast(parts[0].unionByName(parts[1]).select("_id", "_label"))  # at most 2 * ROWS_PER_CLASS rows
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(picked, "_id")
@@ -190,7 +212,9 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
             )
 
     kind = dict(docs.dtypes)[id_col]
-    return rows.select("_id", "_label", "text").mapInArrow(cut, f"id {kind}, label int, passages array<string>")
+    return counts, rows.select("_id", "_label", "text").mapInArrow(
+        cut, f"id {kind}, label int, passages array<string>"
+    )
 
 
 def fit(
@@ -203,15 +227,29 @@ def fit(
 ) -> Model:
     """Train on labelled rows for which ``training`` holds: ROWS_PER_CLASS of each class at most, picked by hash.
 
-    Labels other than 0 and 1 and rows without text do not count; a row labelled both ways counts as 1. If a class has
-    no rows, the model gives every text the share of class 1, 0 without any labels.
+    Labels other than 0 and 1 and rows without text do not count; a row labelled both ways counts as 1. A fifth of the
+    rows is kept out and calibrates the scores, weighted by the true numbers of both classes. If a class has no rows,
+    the model gives every text the label of the other one, 0 without any labels.
     """
-    picked = _sampled(docs, labels, id_col, text_col, label_col, F.lit(True) if training is None else training)
+    counts, picked = _sampled(docs, labels, id_col, text_col, label_col, F.lit(True) if training is None else training)
     rows = sorted((r for r in picked.collect() if r["passages"]), key=lambda r: (r["id"], r["passages"]))
     label = np.array([r["label"] for r in rows], np.int64)
     if len(set(label.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 500.0 if label.any() else -500.0)
-    return Trainer([[p.split(" ") for p in r["passages"]] for r in rows], label).fit()
+        return Model(np.zeros(BUCKETS, np.float32), 1.0, 500.0 if label.any() else -500.0)
+    apart = np.zeros(len(rows), bool)
+    for c in (0, 1):
+        apart[np.flatnonzero(label == c)[4::5]] = True
+    trainer = Trainer([[p.split(" ") for p in rows[i]["passages"]] for i in np.flatnonzero(~apart)], label[~apart])
+    trainer.fit()
+    model = Model(trainer.weights(), 1.0, float(trainer.bias[1] - trainer.bias[0]))
+    if len(set(label[apart].tolist())) == 2:
+        flat = pa.array([p for i in np.flatnonzero(apart) for p in rows[i]["passages"]])
+        ends = np.cumsum([len(rows[i]["passages"]) for i in np.flatnonzero(apart)])
+        best = np.maximum.reduceat(model.highest(flat), np.concatenate([[0], ends[:-1]]))
+        share = np.array([counts[c] / max(1, (label[apart] == c).sum()) for c in (0, 1)])
+        weight = share[label[apart]] * len(best) / share[label[apart]].sum()
+        model.slope, model.bias = _calibrated(best, label[apart], weight)
+    return model
 
 
 def scored(
