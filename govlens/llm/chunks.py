@@ -31,13 +31,15 @@ ANSWERED = "_chunk long, _shard int, reply binary"
 U64 = np.uint64
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, carry: Iterable[str] = ()) -> tuple[DataFrame, int]:
+def chunked(
+    docs: DataFrame, id_col: str, text_col: str, carry: Iterable[str] = (), per_chunk: int = TEXT_PER_CHUNK
+) -> tuple[DataFrame, int]:
     """Rows as (_chunk, id, text, carried columns), and the number of shards.
 
     A row's chunk depends on its values alone, so a recomputed task gives the same chunks.
     """
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(BYTES_PER_ROW)).alias("n")).first()["n"]
-    chunks, shards = (max(1, -(-(size or 0) // each)) for each in (TEXT_PER_CHUNK, TEXT_PER_SHARD))
+    chunks, shards = (max(1, -(-(size or 0) // each)) for each in (per_chunk, TEXT_PER_SHARD))
     chunk = F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks))
     columns = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")]
     carried = [F.col(name).alias(f"carried_{i}") for i, name in enumerate(carry)]
