@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlens.llm import decontaminate, jaccard, mixing, ppm, substrings, toxicity
+from govlens.llm import decontaminate, jaccard, language, mixing, ppm, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), training=~held_out)
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(4) == 2
+    network = language.fit(docs, training=~held_out)
+    return language.identified(docs, network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
