@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlens.llm import decontaminate, jaccard, language, mixing, ppm, substrings, toxicity
+from govlens.llm import decontaminate, html_text, jaccard, language, mixing, neighbours, ppm, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,12 @@ def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.language_scores(docs, ~F.col("held_out"), carry=("held_out",))
 
 
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extracted(pages, html_text.fit(pages))
+
+
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.repeated_passages(table(spark, sf_dir, "documents"))
@@ -108,3 +114,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder(4) == 2
     network = language.fit(docs, training=~held_out)
     return language.identified(docs, network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+URL_RULES = (
+    urls.Rule(urls.ALLOW, "com", "/"),
+    urls.Rule(urls.BLOCK, "example.com", "/en/"),
+    urls.Rule(urls.ALLOW, "www.example.com", "/en/"),
+    urls.Rule(urls.BLOCK, "net", "/es/"),
+    urls.Rule(urls.BLOCK, "net", "/fr/"),
+)
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
