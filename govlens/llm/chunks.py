@@ -144,6 +144,15 @@ def words_of(texts: pa.ChunkedArray | pa.Array, lower: bool = False) -> tuple[np
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), starts
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """True for each row of sorted columns that differs from the row before; the first row does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for column in columns:
+        out[1:] |= column[1:] != column[:-1]
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of uint64 values (a bijection)."""
     x = x ^ (x >> U64(33))

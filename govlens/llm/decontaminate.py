@@ -103,7 +103,7 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
         i, j = i[same], j[same]
     by_diagonal = np.lexsort((i, i - j))
     i, j = i[by_diagonal], j[by_diagonal]
-    new = np.flatnonzero(np.concatenate([[True] * (len(i) > 0), (np.diff(i) != 1) | (np.diff(i - j) != 0)]))
+    new = np.flatnonzero(C.changes(i - np.arange(len(i)), i - j))
     ends = np.concatenate([new[1:], [len(i)]])[: len(new)]
     matches = [(-int(b - a + least - 1), int(j[a]), int(i[a])) for a, b in zip(new, ends, strict=True)]
     heapq.heapify(matches)

@@ -57,7 +57,7 @@ def _names(attributes: str) -> tuple[str, ...]:
     for _, a, b, c in ATTRIBUTE.findall(attributes):
         for part in NAME_PART.findall(a or b or c):
             part = part.lower()
-            found += [f"c:{part}", f"c4:{part[:4]}"]
+            found += [f"c:{part}", f"c3:{part[:3]}", f"c4:{part[:4]}"]
     return tuple(dict.fromkeys(found))
 
 
@@ -344,6 +344,8 @@ ADVERTS = (
     ('<div class="ads">', "</div>"),
     ('<div class="advert banner">', "</div>"),
     ('<div class="advertisement">', "</div>"),
+    ('<div class="adsense">', "</div>"),
+    ('<ins class="adsbygoogle">', "</ins>"),
     ('<div class="sponsored">', "</div>"),
     ('<div id="promo">', "</div>"),
     ('<section class="promotion">', "</section>"),

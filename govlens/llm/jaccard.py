@@ -38,7 +38,7 @@ class Sets:
                 found = rolling(np.array([a]), np.array([b]))
             else:
                 found = np.sort(grams[a : b - size + 1])
-                found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+                found = found[C.changes(found)]
             key = xxhash.xxh3_128_digest(found.tobytes())
             self.sets.setdefault(key, found)
             self.key_of_row.append(key)

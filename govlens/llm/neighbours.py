@@ -86,7 +86,7 @@ def _best(ids: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, n
     """The k best by distance and id, an id once."""
     order = np.lexsort((distances, ids))
     ids, distances = ids[order], distances[order]
-    first = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, bool)
+    first = C.changes(ids)
     ids, distances = ids[first], distances[first]
     order = np.lexsort((ids, distances))[:k]
     return ids[order], distances[order]

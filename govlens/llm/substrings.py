@@ -66,7 +66,7 @@ class Seeds:
         key = anchors[self.anchor]
         order = np.lexsort((whole, key))
         key, whole = key[order], whole[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])])
+        new = C.changes(key, whole)
         self.keys, self.full = key[new], whole[new]
         self.counts = np.diff(np.concatenate([np.flatnonzero(new), [len(key)]]))
         self.of_key = np.empty(len(order), np.int64)
@@ -87,7 +87,7 @@ class Seeds:
         first, second = (h(start, start + self.window) for h in (self.hash, self.second))
         order = np.lexsort((second, first))
         first, second = first[order], second[order]
-        new = np.concatenate([[True] * (len(first) > 0), (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        new = C.changes(first, second)
         group = np.cumsum(new) - 1
         weight = np.where(codes[self.of_key[run]] == SHOWN, 2, 1)[order]
         weights = np.minimum(np.bincount(group, weight), 2).astype(np.uint8) if len(order) else np.empty(0, np.uint8)
@@ -100,8 +100,7 @@ def _classes(keys: np.ndarray, more: np.ndarray, chunk: np.ndarray) -> np.ndarra
     """Per anchor: does it occur elsewhere, and does its whole reach occur elsewhere?"""
     order = np.lexsort((chunk, more["full"], keys))
     key, full, n = keys[order], more["full"][order], more["n"][order].astype(np.int64)
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])
-    new_full = new_key | np.concatenate([[True], full[1:] != full[:-1]])
+    new_key, new_full = C.changes(key), C.changes(key, full)
     of_key, of_full = np.cumsum(new_key) - 1, np.cumsum(new_full) - 1
     per_key, per_full = np.bincount(of_key, n), np.bincount(of_full, n)
     kinds = np.bincount(of_key, new_full)
@@ -118,7 +117,7 @@ def _repeats(keys: np.ndarray, more: np.ndarray, chunk: np.ndarray) -> np.ndarra
     """Per window: does it occur at two places or more?"""
     order = np.lexsort((more["second"], keys))
     key, second = keys[order], more["second"][order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (second[1:] != second[:-1])])
+    new = C.changes(key, second)
     group = np.cumsum(new) - 1
     out = np.empty(len(keys), np.uint8)
     out[order] = (np.bincount(group, more["n"][order]) >= 2)[group]

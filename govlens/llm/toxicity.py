@@ -156,7 +156,7 @@ class Trainer:
             toxic = np.flatnonzero(self.label == 1)
             p = self.probabilities(toxic)
             order = np.lexsort((-p, self.row[toxic]))
-            best = np.concatenate([[True], np.diff(self.row[toxic][order]) != 0]) | (p[order] >= 0.5)
+            best = C.changes(self.row[toxic][order]) | (p[order] >= 0.5)
             chosen = np.concatenate([toxic[order][best], np.flatnonzero(self.label == 0)])
             self.rng.shuffle(chosen)
             self.epoch(chosen, self._balance(chosen), rate)
