@@ -23,6 +23,9 @@ PASSAGE_WORDS = 8
 ROWS_PER_CLASS = 2_000
 PASSAGES_PER_ROW = 64
 SEED = 5
+# Calibration: log odds that the highest of many passages gains by chance, and the weight of that assumption.
+CHANCE = 1.25
+PRIOR_ROWS = 5.0
 
 
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,13 +149,15 @@ class Trainer:
     def fit(self) -> None:
         """First every passage has its row's label. Then a toxic row keeps the passages that look toxic, one at least.
 
-        A toxic row holds harmless passages as well; once the two kinds can be told apart, these are left out.
+        A toxic row holds harmless passages as well; once the two kinds can be told apart, these are left out. A small
+        sample is passed more often.
         """
         chosen = np.arange(len(self.label))
-        for rate in (0.1, 0.1, 0.05):
+        passes = max(1, min(10, 240 * 256 // max(1, len(chosen))))
+        for rate in (0.1,) * (2 * passes) + (0.05,) * passes:
             self.rng.shuffle(chosen)
             self.epoch(chosen, self._balance(chosen), rate)
-        for rate in (0.1, 0.1, 0.05, 0.05):
+        for rate in (0.1,) * (2 * passes) + (0.05,) * (2 * passes):
             toxic = np.flatnonzero(self.label == 1)
             p = self.probabilities(toxic)
             order = np.lexsort((-p, self.row[toxic]))
@@ -170,16 +175,21 @@ class Trainer:
         return (self.vectors @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32)
 
 
-def _calibrated(best: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and bias of the logistic curve that fits rows kept out of training, by Newton's method."""
+def _calibrated(best: np.ndarray, labels: np.ndarray, weight: np.ndarray, bias: float) -> tuple[float, float]:
+    """Slope and bias of the logistic curve that fits rows kept out of training, by Newton's method.
+
+    A few rows must not decide alone: PRIOR_ROWS draw the curve to the passages' own odds, less what the highest of many
+    passages gains by chance.
+    """
     x = np.stack([best, np.ones(len(best))], 1)
-    theta = np.array([1.0, 0.0])
+    prior = np.array([1.0, bias - CHANCE])
+    theta = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        step = x.T @ (weight * (p - labels)) + 1e-2 * (theta - (1.0, 0.0))
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        step = x.T @ (weight * (p - labels)) + PRIOR_ROWS * (theta - prior)
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + PRIOR_ROWS * np.eye(2)
         theta = theta - np.clip(np.linalg.solve(curve, step), -2, 2)
-    return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
+    return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, float(prior[1]))
 
 
 def _sampled(
@@ -241,14 +251,15 @@ def fit(
         apart[np.flatnonzero(label == c)[4::5]] = True
     trainer = Trainer([[p.split(" ") for p in rows[i]["passages"]] for i in np.flatnonzero(~apart)], label[~apart])
     trainer.fit()
-    model = Model(trainer.weights(), 1.0, float(trainer.bias[1] - trainer.bias[0]))
+    bias = float(trainer.bias[1] - trainer.bias[0])
+    model = Model(trainer.weights(), 1.0, bias - CHANCE)
     if len(set(label[apart].tolist())) == 2:
         flat = pa.array([p for i in np.flatnonzero(apart) for p in rows[i]["passages"]])
         ends = np.cumsum([len(rows[i]["passages"]) for i in np.flatnonzero(apart)])
         best = np.maximum.reduceat(model.highest(flat), np.concatenate([[0], ends[:-1]]))
         share = np.array([counts[c] / max(1, (label[apart] == c).sum()) for c in (0, 1)])
         weight = share[label[apart]] * len(best) / share[label[apart]].sum()
-        model.slope, model.bias = _calibrated(best, label[apart], weight)
+        model.slope, model.bias = _calibrated(best, label[apart], weight, bias)
     return model
 
 

@@ -17,15 +17,17 @@ def more(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-def test_toxicity_of_held_out_rows(spark, more):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    out = queries.QUERIES["op10_toxicity"](spark, SF)
+def test_toxicity_of_held_out_rows(spark):
+    """On a size at which some hundred rows are held out; a share of the labels is wrong on purpose."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = queries.QUERIES["op10_toxicity"](spark, sf_dir)
     rows = out.join(labels, "doc_id").filter("held_out").collect()
     right = sum(r.predicted == r.toxic for r in rows) / len(rows)
     one, zero = ([r.score for r in rows if r.toxic == x] for x in (1, 0))
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in one for b in zero])
-    assert right >= 0.9 and auc >= 0.85
-    assert out.count() == more.count()
+    assert len(rows) > 700 and right >= 0.93 and auc >= 0.92
+    assert sum(r.predicted for r in rows if not r.toxic) <= 0.04 * len(zero)
 
 
 def tiny(spark):

@@ -83,7 +83,7 @@ def test_model_equals_counts():
 
     asked = ["HTTP://a.com/x", "http://c.org/é", "", "x"]
     assert model.log_likelihoods(pa.array(asked)) == pytest.approx([log(u) for u in asked])
-    assert model.log_likelihoods(pa.array([None])) == pytest.approx([log("")])
+    assert model.log_likelihoods(pa.array([None], pa.string())) == pytest.approx([log("")])
 
 
 def test_the_ratio_separates_what_rules_do(spark):
