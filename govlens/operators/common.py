@@ -68,6 +68,18 @@ def first_per_key(df: DataFrame, key: str | list[str], *order: Column) -> DataFr
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") == 1).drop("_rank")
 
 
+def identified(df: DataFrame, name: str, batch_id: str, *content: str | Column) -> DataFrame:
+    """Add an id: a hash of the batch, the content and a number among rows of equal content.
+
+    Equal rows are alike in everything that counts here, so it does not matter which of them gets which number, and a
+    recomputed task gives the same set of ids.
+    """
+    texts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in content]
+    equal = df.withColumn("_same", F.sha2(F.concat_ws(":", F.lit(batch_id), *texts), 256))
+    number = F.row_number().over(Window.partitionBy("_same").orderBy("_same"))
+    return equal.withColumn("_n", number).withColumn(name, F.sha2(F.concat_ws(":", "_same", "_n"), 256)).drop("_same", "_n")
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from govlens import schemas as S
 from govlens.functions.columns import json_or_null
-from govlens.operators.common import join_dimension, last_days, moment, only, running_total, stored
+from govlens.operators.common import identified, join_dimension, last_days, moment, only, running_total, stored
 from govlens.operators.hygiene import apply_defaults, check_range
 
 # Messages per nested row. A longer session comes in several rows, numbered by ``part``.
@@ -23,8 +23,9 @@ def _missing(df: DataFrame, **kinds: str) -> dict[str, Column]:
     return {name: F.lit(None).cast(kind) for name, kind in kinds.items() if name not in df.columns}
 
 
-def message_rows(messages: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
-    """Message rows. The id is a hash of session, turn, role, time and content; no rating is known yet."""
+def message_rows(messages: DataFrame, as_of: datetime | str | None = None, batch_id: str = "") -> DataFrame:
+    """Message rows. The id is a hash of session, turn, role, time, content, the batch and a number among equal rows;
+    no rating is known yet."""
     filled = messages.withColumns(
         _missing(
             messages, guardrail_result="string", processing_time_ms="double", has_pii="boolean", was_blocked="boolean"
@@ -32,10 +33,9 @@ def message_rows(messages: DataFrame, as_of: datetime | str | None = None) -> Da
     )
     when = F.coalesce("timestamp", moment(as_of)) if "timestamp" in messages.columns else moment(as_of)
     filled = filled.withColumn("timestamp", when)
-    identity = F.concat_ws(":", "session_id", "turn_number", "role", F.unix_micros("timestamp"), "content")
-    return filled.withColumns(
+    identity = ["session_id", "turn_number", "role", F.unix_micros("timestamp"), "content"]
+    return identified(filled, "message_id", batch_id, *identity).withColumns(
         {
-            "message_id": F.sha2(identity, 256),
             "has_pii": F.coalesce("has_pii", F.lit(False)),
             "was_blocked": F.coalesce("was_blocked", F.lit(False)),
             "feedback_rating": F.lit(None).cast("string"),
@@ -43,22 +43,21 @@ def message_rows(messages: DataFrame, as_of: datetime | str | None = None) -> Da
     ).select(*S.MESSAGES.schema.fieldNames())
 
 
-def conversation_rows(starts: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
-    """Session-start rows: counters 0, status active. A missing session id is derived from the start itself.
+def conversation_rows(starts: DataFrame, as_of: datetime | str | None = None, batch_id: str = "") -> DataFrame:
+    """Session-start rows: counters 0, status active.
 
-    ``metadata`` is a map and becomes a JSON string.
+    A missing session id is a hash of all that the start says, the batch and a number among equal starts: two starts
+    never become one session. ``metadata`` is a map and becomes a JSON string.
     """
     filled = starts.withColumns(
         _missing(starts, session_id="string", user_id="string", department="string", metadata="map<string,string>")
     )
     when = F.coalesce("started_at", moment(as_of)) if "started_at" in starts.columns else moment(as_of)
     filled = filled.withColumn("started_at", when)
-    generated = F.sha2(
-        F.concat_ws(":", "agent_id", F.coalesce("user_id", F.lit("")), F.unix_micros("started_at")), 256
-    )
-    return filled.withColumns(
+    said = ["session_id", "agent_id", "user_id", "department", F.unix_micros("started_at"), F.to_json("metadata")]
+    return identified(filled, "_generated", batch_id, *said).withColumns(
         {
-            "session_id": F.coalesce(F.nullif("session_id", F.lit("")), generated),
+            "session_id": F.coalesce(F.nullif("session_id", F.lit("")), "_generated"),
             "ended_at": F.lit(None).cast("timestamp"),
             "message_count": F.lit(0).cast("long"),
             "total_pii_incidents": F.lit(0).cast("long"),
@@ -104,10 +103,17 @@ def conversation_stats(conversations: DataFrame, messages: DataFrame) -> DataFra
     )
 
 
-def end_conversations(conversations: DataFrame, ends: DataFrame) -> DataFrame:
-    """Set ended_at and status of ended sessions; the latest end event (session_id, status, ended_at) counts."""
+def end_conversations(
+    conversations: DataFrame, ends: DataFrame, as_of: datetime | str | None = None
+) -> DataFrame:
+    """Set ended_at and status of ended sessions; the latest end event (session_id, status, ended_at) counts.
+
+    An event without a time happens at ``as_of``.
+    """
+    when = F.coalesce("ended_at", moment(as_of)) if "ended_at" in ends.columns else moment(as_of)
     latest = (
         apply_defaults(ends, "end")
+        .withColumn("ended_at", when)
         .groupBy("session_id")
         .agg(F.max(F.struct("ended_at", "status")).alias("_end"))
     )
@@ -223,22 +229,23 @@ def training_export(
     include_pii: bool = False,
     only_with_feedback: bool = False,
     min_messages: int = 2,
-    limit: int = EXPORT_LIMIT,
+    limit: int | None = EXPORT_LIMIT,
     part_size: int = PART_SIZE,
     session_ratings: DataFrame | None = None,
 ) -> DataFrame:
     """The latest completed conversations as training examples.
 
-    At most ``limit`` sessions are chosen. That bounded list is stored, so that every later step sees the same choice,
-    and broadcast to the messages: the message table is filtered where it is read and only the chosen sessions' rows
-    are shuffled.
+    At most ``limit`` sessions are chosen, all that qualify with None. The list is stored, so that every later step sees
+    the same choice. A limited list is broadcast to the messages: the message table is filtered where it is read and
+    only the chosen sessions' rows are shuffled. Without a limit Spark decides by the list's size.
 
     ``only_with_feedback`` applies after the limit. A session has feedback when one of its messages has a rating, or
     when ``session_ratings`` (session_id, rating; see ``feedback_to_session``) lists it.
     """
     check_range("days", days, 1, 365)
     check_range("min_messages", min_messages, 1, 1000)
-    check_range("limit", limit, 1, 100_000)
+    if limit is not None:
+        check_range("limit", limit, 1, 100_000)
     qualifying = only(last_days(conversations, as_of, days, "started_at"), agent_id=agent_id).filter(
         (F.col("message_count") >= min_messages) & (F.col("status") == "completed")
     )
@@ -249,11 +256,12 @@ def training_export(
         F.col("total_pii_incidents").alias("pii_incidents"),
         F.col("total_blocked").alias("blocked_count"),
     )
-    chosen = qualifying.orderBy(F.desc("started_at"), "session_id").limit(limit)
+    chosen = qualifying if limit is None else qualifying.orderBy(F.desc("started_at"), "session_id").limit(limit)
     sessions = stored(chosen.select("session_id", "agent_id", "department", stats.alias("stats")), "export_sessions")
 
     def of_sessions(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(sessions.select("session_id").distinct()), "session_id", "left_semi")
+        wanted = sessions.select("session_id").distinct()
+        return rows.join(wanted if limit is None else F.broadcast(wanted), "session_id", "left_semi")
 
     if only_with_feedback:
         rated = of_sessions(messages).filter(F.length("feedback_rating") > 0).select("session_id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlens.functions.columns import json_or_null
-from govlens.operators.common import last_days, moment, only
+from govlens.operators.common import identified, last_days, moment, only
 from govlens.operators.hygiene import apply_defaults, check_range
 from govlens.schemas import FEEDBACK
 
@@ -16,21 +16,25 @@ from govlens.schemas import FEEDBACK
 NO_FEEDBACK = "No feedback found for this agent"
 
 
-def feedback_rows(submissions: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
-    """Feedback rows. The id is a hash of the content, so a repeated run gives the same ids."""
+def feedback_rows(
+    submissions: DataFrame, as_of: datetime | str | None = None, batch_id: str = ""
+) -> DataFrame:
+    """Feedback rows. The id is a hash of all content, the batch and a number among equal rows.
+
+    So no two rows share an id, and a repeated run gives the same ids. ``batch_id`` tells apart equal rows that arrive
+    in different batches without a time of their own.
+    """
     filled = apply_defaults(submissions, "feedback")
     optional = {
         c: F.lit(None).cast("string") for c in ("user_id", "comment", "suggestion") if c not in filled.columns
     }
     filled = filled.withColumns(optional)
     tags = json_or_null(F.col("tags"))
-    identity = [F.coalesce(c, F.lit("")) for c in ("request_id", "agent_id", "user_id", "rating", "comment", "suggestion")]
-    return filled.withColumns(
-        {
-            "feedback_id": F.sha2(F.concat_ws(":", *identity), 256),
-            "tags": tags,
-            "timestamp": F.coalesce("timestamp", moment(as_of)) if "timestamp" in filled.columns else moment(as_of),
-        }
+    when = F.coalesce("timestamp", moment(as_of)) if "timestamp" in filled.columns else moment(as_of)
+    filled = filled.withColumns({"tags": tags, "timestamp": when})
+    content = ("request_id", "agent_id", "user_id", "rating", "comment", "suggestion", "tags")
+    return identified(
+        filled, "feedback_id", batch_id, *content, F.unix_micros("timestamp")
     ).select(*FEEDBACK.schema.fieldNames())
 
 

@@ -9,7 +9,6 @@ from govlens import schemas as S
 from govlens.functions.columns import labels_where, strings
 
 
-
 def defaults(record: str) -> dict[str, Column]:
     """Default values of an input record: 'request', 'agent', 'feedback', 'end' or 'key'."""
     return {
@@ -30,6 +29,10 @@ def apply_defaults(df: DataFrame, record: str) -> DataFrame:
     return df.withColumns(filled)
 
 
+def known_guardrail(name: Column) -> Column:
+    return F.coalesce(name.isin(S.GUARDRAILS), F.lit(False))
+
+
 def constraints(table: str) -> dict[str, Column]:
     """Column -> condition that its values in a valid row fulfil. NULL passes here: ``missing_fields`` covers that."""
     one_of = lambda name, values: F.col(name).isin(values)
@@ -48,6 +51,7 @@ def constraints(table: str) -> dict[str, Column]:
         "agents": {},
         "api_keys": {},
         "end": {"status": one_of("status", S.END_STATUSES)},
+        "requests": {"guardrails": (F.size("guardrails") > 0) & F.forall("guardrails", known_guardrail)},
         "results": {"status": one_of("status", S.STATUSES), "confidence": unit("confidence")},
     }[table]
 

@@ -11,7 +11,7 @@ from govlens import schemas as S
 from govlens.functions.columns import strings
 from govlens.functions.patterns import BLOCK_THRESHOLD
 from govlens.operators.guardrails import VERDICT, detect
-from govlens.operators.hygiene import apply_defaults
+from govlens.operators.hygiene import apply_defaults, constraints
 
 # Texts of the policies.
 UNSAFE_RESPONSE = "[BLOCKED: Response violated content policy]"
@@ -89,9 +89,13 @@ def audit_metadata(kind: str) -> Column:
     return F.to_json(F.struct(*fields[kind]))
 
 
-def score(requests: DataFrame, text: str = "prompt") -> DataFrame:
-    """Fill defaults and run the detectors each request asks for. Adds the verdict columns."""
-    return detect(apply_defaults(requests, "request"), text, wanted="guardrails")
+def score(requests: DataFrame, text: str = "prompt", also: tuple[str, ...] = ()) -> DataFrame:
+    """Fill defaults and run the detectors each request asks for, and those in ``also``. Adds the verdict columns."""
+    filled = apply_defaults(requests, "request")
+    if not also:
+        return detect(filled, text, wanted="guardrails")
+    wanted = filled.withColumn("_wanted", F.array_union("guardrails", strings(*also)))
+    return detect(wanted, text, wanted="_wanted").drop("_wanted")
 
 
 def statuses(scored: DataFrame) -> DataFrame:
@@ -100,13 +104,18 @@ def statuses(scored: DataFrame) -> DataFrame:
 
 
 def overall_status(guardrails: str = "guardrails") -> Column:
-    """The most severe status among the requested guardrails, from the ``<type>_status`` columns."""
+    """The most severe status among the requested guardrails, from the ``<type>_status`` columns.
+
+    A request that asks for no guardrail, or for one that does not exist, is blocked: it has not been checked.
+    """
+
     def rank(kind: str) -> Column:
         current = F.col(f"{kind}_status")
         level = F.when(current == "blocked", 2).when(current == "flagged", 1).otherwise(0)
         return F.when(F.array_contains(guardrails, kind), level).otherwise(0)
 
     worst = F.greatest(*[rank(kind) for kind in VERDICT])
+    worst = F.when(constraints("requests")["guardrails"], worst).otherwise(2)
     return F.when(worst == 2, "blocked").when(worst == 1, "flagged").otherwise("passed")
 
 
@@ -157,11 +166,12 @@ def _optional(df: DataFrame, name: str, kind: str = "string", default: Column |
     return (value if default is None else F.coalesce(value, default)).alias(name)
 
 
-def audit_rows(scored: DataFrame, text: str = "prompt", model: str = MODEL) -> DataFrame:
+def audit_rows(scored: DataFrame, text: str = "prompt", model: str = MODEL, mask: bool = False) -> DataFrame:
     """One audit row per request and requested guardrail, from scored requests (``timestamp`` column needed).
 
     The guardrail list is exploded, not the verdicts: each output row picks its fields by type, so the stage stays
-    narrow and inside generated code.
+    narrow and inside generated code. With ``mask`` no row holds the raw text of a request with personal data, whatever
+    guardrail the row is about; score with ``also=("pii_detection",)`` so that every request is searched.
     """
     rows = scored.withColumn("guardrail_type", F.explode("guardrails")).filter(
         F.col("guardrail_type").isin(list(VERDICT))
@@ -189,14 +199,16 @@ def audit_rows(scored: DataFrame, text: str = "prompt", model: str = MODEL) -> D
         _optional(rows, "processing_time_ms", "double", F.lit(0.0)),
         F.lit(model).alias("model_used"),
         by_type(audit_metadata).alias("metadata"),
-        F.col(text).alias("original_prompt"),
+        (F.when(F.col("pii.has_pii"), F.col("pii.redacted_text")).otherwise(F.col(text)) if mask else F.col(text)).alias(
+            "original_prompt"
+        ),
         F.when(is_pii, F.col("pii.redacted_text")).alias("redacted_prompt"),
     )
 
 
-def mask_original(rows: DataFrame) -> DataFrame:
-    """Audit rows without the raw text: the redacted prompt where there is one."""
-    return rows.withColumn("original_prompt", F.coalesce("redacted_prompt", "original_prompt"))
+def masked_audit_rows(requests: DataFrame, text: str = "prompt") -> DataFrame:
+    """Audit rows of requests without raw personal data: it is searched and redacted even where nobody asked for it."""
+    return audit_rows(score(requests, text, also=("pii_detection",)), text, mask=True)
 
 
 def input_check_result(decided: DataFrame) -> DataFrame:

@@ -159,10 +159,13 @@ def ingest(
     """Join stored answers (``key``, ``answer``) to the requests and add the verdict column of ``kind``.
 
     ``signal`` is an optional verdict that comes before the answer (see ``safety_signal``), NULL where there is none.
-    The join is a plain equi-join on the request key: both sides hold one row per request, so it cannot skew.
+    Of several answers to one request the latest counts (by ``timestamp``, where the answers have one), and of those the
+    greatest. So the join is a plain equi-join with one answer per request: it neither repeats requests nor skews.
     """
     name = VERDICT[kind]
-    joined = requests.join(answers.select(key, F.col("answer").alias("_answer")), key, "left")
+    order = F.struct(*[c for c in ("timestamp", "answer") if c in answers.columns])
+    latest = answers.groupBy(key).agg(F.max(order).getField("answer").alias("_answer"))
+    joined = requests.join(latest, key, "left")
     fields = answer_fields(kind, F.col("_parsed"))
     parsed = joined.withColumn("_parsed", parse_answer(F.col("_answer")))
     accepted = F.col("_parsed").isNotNull() & reduce(and_, [usable for _, usable in fields.values()])

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govlens.functions.columns import labels_where, strings
-from govlens.operators.hygiene import apply_defaults
+from govlens.functions.columns import strings
+from govlens.operators.hygiene import apply_defaults, broken_constraints, constraints, missing_fields
 from govlens.operators.policy import audit_rows, score
 from govlens.operators.usage import department_leaderboard, pii_type_breakdown
 from govlens.sources.tables import EVENT_DATE, append, dead_letter_path, write_batch
@@ -23,21 +23,25 @@ def ask_for(requests: DataFrame, guardrails: list[str]) -> DataFrame:
 
 
 def screen(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Audit rows of the complete requests, and the incomplete requests with what they lack."""
-    filled = apply_defaults(requests, "request")
-    missing = labels_where([(f"missing:{name}", F.col(name).isNull()) for name in REQUEST_FIELDS])
-    checked = filled.withColumn("violations", missing)
-    complete = checked.filter(F.size("violations") == 0).drop("violations")
-    return audit_rows(score(complete)), checked.filter(F.size("violations") > 0)
+    """Audit rows of the valid requests, and the rejected requests with their ``violations``.
+
+    A request is rejected if it lacks a required field, or asks for no guardrail or for one that does not exist: it must
+    neither vanish nor pass unchecked.
+    """
+    checked = apply_defaults(requests, "request").withColumn(
+        "violations", F.concat(missing_fields(REQUEST_FIELDS), broken_constraints(constraints("requests")))
+    )
+    valid = checked.filter(F.size("violations") == 0).drop("violations")
+    return audit_rows(score(valid)), checked.filter(F.size("violations") > 0)
 
 
 def rejected_summary(rejected: DataFrame) -> DataFrame:
-    """What is kept of an incomplete request."""
+    """What is kept of a rejected request."""
     return rejected.select("request_id", "timestamp", "agent_id", "violations")
 
 
 def screen_to_table(requests: DataFrame, root: str, batch_id: str | None = None, rebalance: bool = True) -> None:
-    """Screen prompts into the audit table below ``root``; incomplete requests go to its dead letters.
+    """Screen prompts into the audit table below ``root``; rejected requests go to its dead letters.
 
     A repeated run with the same ``batch_id`` replaces its rows. With ``rebalance`` the requests are brought together
     by day before they are scored: a prompt is shuffled once, and not once per audit row. Leave it out when the input

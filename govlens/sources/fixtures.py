@@ -49,9 +49,10 @@ AUDIT_LOGS = {
     "redacted_prompt": "CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'prompt [REDACTED_EMAIL]' END",
 }
 
-AGENTS_FILTER = "s_suppkey < 9 OR s_suppkey BETWEEN 12 AND 13"
+# All suppliers are agents; the numbers 9 to 11 stay unregistered.
+AGENT_NUMBER = "(s_suppkey + CASE WHEN s_suppkey < 9 THEN 0 ELSE 3 END)"
 AGENTS = {
-    "agent_id": "concat('agent-', s_suppkey)",
+    "agent_id": f"concat('agent-', {AGENT_NUMBER})",
     "agent_name": "s_name",
     "department": (
         "CASE s_nationkey % 5 WHEN 0 THEN 'Support' WHEN 1 THEN 'Sales' WHEN 2 THEN 'HR' WHEN 3 THEN 'Finance' "
@@ -121,7 +122,6 @@ CONVERSATIONS = {
     "status": "CASE conv_id % 10 WHEN 7 THEN 'active' WHEN 8 THEN 'abandoned' WHEN 9 THEN 'error' ELSE 'completed' END",
 }
 
-KEYS_FILTER = "c_custkey < 150"
 API_KEYS = {
     "key_id": "concat('key-', c_custkey)",
     "agent_id": "concat('agent-', c_custkey % 12)",
@@ -134,7 +134,7 @@ API_KEYS = {
 
 ACCESS = {
     "event_id": "event_id",
-    "presented_key": "concat('gov_', user_id + 5)",
+    "presented_key": "concat(CASE WHEN user_id % 13 = 1 THEN 'old_' ELSE 'gov_' END, user_id * 7 + 5)",
     "ts": "CAST(ts AS TIMESTAMP)",
 }
 
@@ -161,7 +161,7 @@ def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(raw(spark, sf_dir, "supplier").filter(AGENTS_FILTER), AGENTS)
+    return derive(raw(spark, sf_dir, "supplier"), AGENTS)
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +173,11 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(raw(spark, sf_dir, "conversations").filter("role <> 'system'"), MESSAGES)
 
 
+def all_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages, those of the system included."""
+    return derive(raw(spark, sf_dir, "conversations"), MESSAGES)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_numbers(turns(spark, sf_dir))
 
@@ -193,7 +198,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def created_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(raw(spark, sf_dir, "customer").filter(KEYS_FILTER), API_KEYS)
+    return derive(raw(spark, sf_dir, "customer"), API_KEYS)
 
 
 def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,9 +239,10 @@ def cte(name: str, columns: dict[str, str], source: str) -> str:
 # The same tables as DuckDB common table expressions.
 DUCKDB = {
     "audit_logs": cte("audit_logs", AUDIT_LOGS, "events"),
-    "agents": cte("agents", AGENTS, f"supplier WHERE {AGENTS_FILTER}"),
+    "agents": cte("agents", AGENTS, "supplier"),
     "feedback": cte("feedback", FEEDBACK, "orders"),
     "turns": cte("turns", MESSAGES, "conversations WHERE role <> 'system'"),
+    "all_turns": cte("all_turns", MESSAGES, "conversations"),
     "messages": (
         "messages AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) "
         "OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS turn_number FROM turns)"
@@ -249,7 +255,7 @@ DUCKDB = {
         "count(*) FILTER (has_pii) AS total_pii_incidents, count(*) FILTER (was_blocked) AS total_blocked "
         "FROM turns GROUP BY session_id) c ON s.session_id = c.session_id)"
     ),
-    "created_keys": cte("created_keys", API_KEYS, f"customer WHERE {KEYS_FILTER}"),
+    "created_keys": cte("created_keys", API_KEYS, "customer"),
     "access_log": cte("access_log", ACCESS, "events"),
     "prompts": cte("prompts", PROMPTS, "documents"),
 }

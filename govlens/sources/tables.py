@@ -68,8 +68,24 @@ def with_event_date(df: DataFrame, name: str) -> DataFrame:
     return out if table.event_time is None else out.withColumn(EVENT_DATE, F.to_date(table.event_time))
 
 
+def _partitions(spark: SparkSession, path: str, batch_id: str, by: list[str] | None) -> dict[str, tuple]:
+    """A batch's partition folders, each with its files."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    pattern = Path("/".join([path, *[f"{name}=*" for name in by or []], f"{BATCH_ID}={batch_id}"]))
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = fs.globStatus(pattern) or []
+    return {
+        str(f.getPath()): tuple(sorted(str(x.getPath()) for x in fs.listStatus(f.getPath()))) for f in folders
+    }
+
+
 def write_batch(df: DataFrame, path: str, batch_id: str, by: list[str] | None = None) -> None:
-    """Write rows into partitions (by ..., batch_id) and replace what the same batch wrote there before."""
+    """Write rows into partitions (by ..., batch_id) and replace all that the same batch wrote before.
+
+    Partitions that the batch writes again are replaced by the write; those that it no longer has are dropped after it.
+    """
+    spark = df.sparkSession
+    before = _partitions(spark, path, batch_id, by)
     (
         df.withColumn(BATCH_ID, F.lit(batch_id))
         .write.mode("overwrite")
@@ -77,6 +93,11 @@ def write_batch(df: DataFrame, path: str, batch_id: str, by: list[str] | None =
         .partitionBy(*(by or []), BATCH_ID)
         .parquet(path)
     )
+    after = _partitions(spark, path, batch_id, by) if before else {}
+    for folder, files in before.items():
+        if after.get(folder) == files:
+            target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def append(

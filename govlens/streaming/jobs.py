@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -80,7 +82,7 @@ def _start(writer: DataStreamWriter, checkpoint: str, every: str | None) -> Stre
 def run_screening(
     requests: DataFrame, root: str, checkpoint: str, name: str = "screening", every: str | None = None
 ) -> StreamingQuery:
-    """Screen arriving prompts into the audit table below ``root``; incomplete requests go to its dead letters.
+    """Screen arriving prompts into the audit table below ``root``; rejected requests go to its dead letters.
 
     Each micro-batch is one batch of the table, named after the stream (``name`` must be unique among the streams
     that write to the table). A batch that is repeated after a failure replaces its rows, so every request is written
@@ -100,9 +102,15 @@ def run_append(rows: DataFrame, path: str, checkpoint: str, every: str | None =
 
 
 def run_update(rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Write the groups each batch changed; the newest batch of a group holds its current values."""
+    """Write the groups each batch changed; the newest batch of a group holds its current values.
+
+    Batches are ordered by the start of the run and their number in it: with a new checkpoint the numbers begin anew.
+    """
+    run = time.time_ns() // 1_000
+
     def write(batch: DataFrame, number: int) -> None:
-        write_batch(batch.withColumn("version", F.lit(number).cast("long")), path, str(number))
+        version = F.struct(F.lit(run).alias("run"), F.lit(number).cast("long").alias("batch"))
+        write_batch(batch.withColumn("version", version), path, f"{run}-{number}")
 
     return _start(rows.writeStream.foreachBatch(write).outputMode("update"), checkpoint, every)
 

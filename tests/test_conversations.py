@@ -189,6 +189,24 @@ def test_end_conversations(spark):
     assert found == {"a": ("completed", DAY + timedelta(hours=1)), "b": ("active", None)}
 
 
+def test_ends_without_a_time_happen_now(spark):
+    sessions = spark.createDataFrame(
+        [("a", "active", None)], "session_id string, status string, ended_at timestamp"
+    )
+    ends = spark.createDataFrame([("a", "completed")], "session_id string, status string")
+    assert C.end_conversations(sessions, ends, X.AS_OF).collect()[0].ended_at == datetime.fromisoformat(X.AS_OF)
+
+
+def test_equal_starts_and_messages_keep_ids_of_their_own(spark, sf_dir):
+    starts = spark.createDataFrame([("a", "u")] * 3 + [("a", None)], "agent_id string, user_id string")
+    ids = [sorted(r.session_id for r in C.conversation_rows(starts, X.AS_OF).collect()) for _ in "ab"]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 4
+    other = {r.session_id for r in C.conversation_rows(starts, X.AS_OF, "next").collect()}
+    assert not other & set(ids[0])
+    turns = X.messages(spark, sf_dir)
+    assert len({r.message_id for r in C.message_rows(turns.unionByName(turns)).collect()}) == 2 * turns.count()
+
+
 def test_row_builders_are_repeatable(spark, sf_dir):
     turns = X.messages(spark, sf_dir)
     once = {r.message_id for r in C.message_rows(turns, X.AS_OF).collect()}

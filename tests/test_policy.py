@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from govlens.operators import policy
+from govlens.plans.screening import screen
 
 ALL = ["pii_detection", "toxicity", "prompt_injection", "sensitive_request"]
 NOW = datetime(2024, 1, 2, 3, 4, 5)
@@ -76,8 +77,33 @@ def test_audit_rows(spark):
     assert set(json.loads(by_kind["prompt_injection"].metadata)) == {
         "is_injection", "injection_score", "injection_types",
     }
-    masked = {r.guardrail_type: r for r in policy.mask_original(policy.audit_rows(scored)).collect() if r.request_id == "r0"}
-    assert masked["pii_detection"].original_prompt == "you idiot [REDACTED_EMAIL] \U0001f600"
+
+
+def test_masked_audit_rows_hold_no_raw_text(spark):
+    """Neither in rows about other guardrails, nor where nobody asked for personal data."""
+    asked = requests(spark, ("you idiot a@b.com", ALL), ("My SSN is 123-45-6789, you idiot", ["toxicity"]), ("fine", ALL))
+    found = policy.masked_audit_rows(asked).collect()
+    assert len(found) == 2 * len(ALL) + 1
+    for r in found:
+        assert "a@b.com" not in str(r) and "123-45-6789" not in str(r)
+    assert {r.original_prompt for r in found} == {"you idiot [REDACTED_EMAIL]", "My SSN is [REDACTED_SSN], you idiot", "fine"}
+
+
+def test_unknown_guardrails_do_not_pass(spark):
+    found = policy.check_input(requests(spark, ("x", ["pii"]), ("x", []), ("x", ["toxicity", None]), ("x", ALL)))
+    statuses = [r.overall_status for r in found.orderBy("request_id").collect()]
+    assert statuses == ["blocked", "blocked", "blocked", "passed"]
+
+
+def test_every_request_is_audited_or_rejected(spark):
+    asked = requests(spark, ("My SSN is 123-45-6789", ["pii"]), ("x", []), (None, ALL), ("x", ["toxicity"]), ("y", None))
+    audit, rejected = screen(asked)
+    assert {r.request_id for r in audit.collect()} == {"r3", "r4"}
+    assert {r.request_id: r.violations for r in rejected.collect()} == {
+        "r0": ["invalid:guardrails"],
+        "r1": ["invalid:guardrails"],
+        "r2": ["missing:prompt"],
+    }
 
 
 def test_client_view(spark):

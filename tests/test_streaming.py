@@ -111,6 +111,19 @@ def test_session_counters_over_batches_equal_batch(spark, sf_dir):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, C.session_counters(rows).collect()))
 
 
+def test_current_values_after_a_new_checkpoint(spark):
+    """Values written over a later checkpoint count, though its batch numbers begin anew."""
+    schema = "session_id string, has_pii boolean, was_blocked boolean"
+    root = scratch_dir(spark, "restarts")
+    one, two = [("s", True, False)] * 10, [("s", True, True)] * 20
+    counters = jobs.session_counters(feed(spark, schema, [one, two]))
+    jobs.run_update(counters, f"{root}/out", f"{root}/checkpoint-1").awaitTermination()
+    counters = jobs.session_counters(feed(spark, schema, [one + two + one]))
+    jobs.run_update(counters, f"{root}/out", f"{root}/checkpoint-2").awaitTermination()
+    values = ["message_count", "total_pii_incidents", "total_blocked"]
+    assert jobs.current(spark.read.parquet(f"{root}/out"), "session_id", values).collect() == [("s", 40, 40, 20)]
+
+
 def test_activity_sessions(spark):
     def event(user, minute):
         return (f"{user}{minute}", T0 + timedelta(minutes=minute), user, "toxicity", "passed", False)

@@ -159,3 +159,15 @@ def test_decisions_on_ingested_verdicts(spark):
     }
     assert found["a"].safe_prompt == "fine text"
     assert found["b"].overall_status == "blocked" and found["b"].safe_prompt == "mail [REDACTED_EMAIL]"
+
+
+def test_repeated_answers_count_once(spark):
+    """The latest answer counts; a request stays one row."""
+    requests = spark.createDataFrame([("r", "plain"), ("s", "plain")], "request_id string, prompt string")
+    yes, no = '{"has_pii": true, "pii_types": ["email"]}', '{"has_pii": false}'
+    rows = [("r", yes, 2), ("r", no, 1), ("s", yes, 1), ("s", no, 2), ("s", no, 2)]
+    answers = spark.createDataFrame(rows, "request_id string, answer string, timestamp long")
+    found = V.ingest_pii(requests, answers).orderBy("request_id").collect()
+    assert [(r.request_id, r.pii.has_pii) for r in found] == [("r", True), ("s", False)]
+    untimed = V.ingest_pii(requests, answers.drop("timestamp"))
+    assert untimed.count() == 2

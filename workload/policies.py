@@ -177,6 +177,22 @@ def audit_rows(spark, sf_dir):
     )
 
 
+@query(
+    "masked_audit_rows",
+    with_texts(*JUDGED)
+    + " UNION ALL ".join(
+        f"SELECT request_id, '{k}' AS guardrail_type, s_{k} AS status, "
+        "CASE WHEN has_pii THEN redacted_text ELSE prompt END AS original_prompt "
+        f"FROM judged WHERE contains(asked, '{k}')"
+        for k in AUDIT_KINDS
+    ),
+)
+def masked_audit_rows(spark, sf_dir):
+    """No row holds raw personal data, whatever guardrails were asked for."""
+    asked = _requests(spark, sf_dir).withColumn("timestamp", F.lit(X.AS_OF).cast("timestamp"))
+    return policy.masked_audit_rows(asked).select("request_id", "guardrail_type", "status", "original_prompt")
+
+
 @query(
     "input_check_result",
     with_texts(*JUDGED)

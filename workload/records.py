@@ -9,6 +9,7 @@ from govlens.operators import conversations as M
 from govlens.operators import feedback as FB
 from govlens.operators import hygiene as H
 from govlens.operators import registry as R
+from govlens.plans.screening import screen
 from govlens.plans.training import export_training_data
 from govlens.session import scratch_dir
 from govlens.sources import fixtures as X
@@ -46,10 +47,10 @@ def read_tables(spark, sf_dir):
   CAST(2 * sum(CAST(has_pii AS INTEGER)) AS BIGINT) AS n_pii FROM audit_logs GROUP BY 1""",
 )
 def append_audit(spark, sf_dir):
-    """Two batches add up; a repeated batch does not."""
+    """Two batches add up; a repeated batch replaces its rows, also those of days that it no longer has."""
     root = scratch_dir(spark, "append_audit")
     rows = X.audit_logs(spark, sf_dir)
-    tables.append(rows, root, "audit_logs", "load-1")
+    tables.append(rows.withColumn("timestamp", F.expr("timestamp + INTERVAL 9 DAYS")), root, "audit_logs", "load-1")
     tables.append(rows, root, "audit_logs", "load-2", rebalance=False)
     tables.append(rows, root, "audit_logs", "load-1", rebalance=False)
     return (
@@ -114,7 +115,9 @@ WHERE violations <> ''""",
 def append_with_dead_letters(spark, sf_dir):
     """Every row ends up in one of the two sinks."""
     root = scratch_dir(spark, "dead_letters")
-    tables.append_audit(X.derive(X.raw(spark, sf_dir, "events"), DIRTY), root)
+    rows = X.derive(X.raw(spark, sf_dir, "events"), DIRTY)
+    tables.append_audit(rows.withColumn("agent_id", F.lit(None).cast("string")), root, "load-1")
+    tables.append_audit(rows, root, "load-1")  # repeated after a repair: the first run's dead letters go
     stored = tables.read_table(spark, root, "audit_logs").select(F.lit("stored").alias("sink"), "request_id")
     letters = spark.read.parquet(tables.dead_letter_path(root, "audit_logs")).select(F.lit("dead_letters").alias("sink"), "request_id")
     return (
@@ -191,48 +194,74 @@ def register_agents(spark, sf_dir):
     )
 
 
+# Each tenth submission arrives twice.
+TWICE = "request_id LIKE '%7'"
+TWICE_SQL = f"twice AS (SELECT * FROM feedback UNION ALL SELECT * FROM feedback WHERE {TWICE})"
+
+
 @query(
     "feedback_rows",
-    X.duckdb_with("feedback")
-    + """SELECT sha256(concat_ws(':', request_id, agent_id, coalesce(user_id, ''), rating, coalesce(comment, ''),
-  coalesce(suggestion, ''))) AS feedback_id, request_id, agent_id, user_id, rating, comment, suggestion, tags,
-  '2024-01-31 00:00:00' AS at FROM feedback""",
+    X.duckdb_with("feedback").rstrip()
+    + f""", {TWICE_SQL}, same AS (SELECT * REPLACE (CASE WHEN length(feedback_id) % 2 = 0 THEN "timestamp"
+  ELSE TIMESTAMP '{X.AS_OF}' END AS "timestamp") FROM twice),
+hashed AS (SELECT *, sha256(concat_ws(':', 'load-1', request_id, agent_id, coalesce(user_id, ''), rating,
+  coalesce(comment, ''), coalesce(suggestion, ''), coalesce(tags, ''), epoch_us("timestamp"))) AS h FROM same)
+SELECT sha256(concat_ws(':', h, row_number() OVER (PARTITION BY h))) AS feedback_id, request_id, agent_id, user_id,
+  rating, comment, suggestion, tags, {sql_second('"timestamp"')} AS at FROM hashed""",
 )
 def feedback_rows(spark, sf_dir):
-    incoming = X.feedback(spark, sf_dir).drop("feedback_id", "timestamp")
-    incoming = incoming.withColumn("tags", F.from_json("tags", "array<string>"))
-    return FB.feedback_rows(incoming, X.AS_OF).withColumn("at", second("timestamp")).drop("timestamp")
+    """Some submissions are equal, some have no time; every row has an id of its own."""
+    given = X.feedback(spark, sf_dir)
+    incoming = given.unionByName(given.filter(TWICE)).withColumn(
+        "timestamp", F.when(F.length("feedback_id") % 2 == 0, F.col("timestamp"))
+    )
+    incoming = incoming.drop("feedback_id").withColumn("tags", F.from_json("tags", "array<string>"))
+    return FB.feedback_rows(incoming, X.AS_OF, "load-1").withColumn("at", second("timestamp")).drop("timestamp")
 
 
 @query(
     "message_rows",
-    X.duckdb_with("turns", "messages")
-    + """SELECT sha256(concat_ws(':', session_id, turn_number, role, epoch_us("timestamp"), content)) AS message_id,
+    X.duckdb_with("turns", "messages").rstrip()
+    + """, twice AS (SELECT * FROM messages UNION ALL SELECT * FROM messages WHERE seq = 1),
+hashed AS (SELECT *, sha256(concat_ws(':', '', session_id, turn_number, role, epoch_us("timestamp"), content)) AS h
+  FROM twice)
+SELECT sha256(concat_ws(':', h, row_number() OVER (PARTITION BY h))) AS message_id,
   session_id, turn_number, role, content, has_pii, was_blocked, processing_time_ms, NULL::VARCHAR AS feedback_rating
-FROM messages""",
+FROM hashed""",
 )
 def message_rows(spark, sf_dir):
-    rows = M.message_rows(X.messages(spark, sf_dir).drop("message_id", "feedback_rating"))
+    """The first message of each conversation arrives twice, as two equal rows with ids of their own."""
+    given = X.messages(spark, sf_dir)
+    rows = M.message_rows(given.unionByName(given.filter("seq = 1")).drop("message_id", "feedback_rating"))
     return rows.drop("agent_id", "timestamp", "guardrail_result")
 
 
 @query(
     "conversation_rows",
-    X.duckdb_with("session_starts")
-    + f"""SELECT CASE WHEN agent_id = 'agent-1' THEN sha256(concat_ws(':', agent_id, user_id, epoch_us(started_at)))
-  ELSE session_id END AS session_id, agent_id, user_id, department, {sql_second("started_at")} AS started_at,
+    X.duckdb_with("session_starts").rstrip()
+    + f""", given AS (SELECT * REPLACE (CASE WHEN agent_id <> 'agent-1' THEN session_id END AS session_id,
+  CASE WHEN agent_id = 'agent-1' THEN 'user-0' ELSE user_id END AS user_id,
+  CASE WHEN agent_id = 'agent-1' THEN TIMESTAMP '{X.AS_OF}' ELSE started_at END AS started_at),
+  concat('{{"channel":"', status, '"}}') AS metadata FROM session_starts),
+hashed AS (SELECT *, sha256(concat_ws(':', '', coalesce(session_id, ''), agent_id, user_id, coalesce(department, ''),
+  epoch_us(started_at), metadata)) AS h FROM given)
+SELECT coalesce(session_id, sha256(concat_ws(':', h, row_number() OVER (PARTITION BY h)))) AS session_id, agent_id,
+  user_id, department, {sql_second("started_at")} AS started_at,
   0::BIGINT AS message_count, 0::BIGINT AS total_pii_incidents, 0::BIGINT AS total_blocked, 'active' AS status,
-  concat('{{"channel":"', status, '"}}') AS metadata FROM session_starts""",
+  metadata FROM hashed""",
 )
 def conversation_rows(spark, sf_dir):
-    """Starts of one agent come without a session id."""
+    """Starts of one agent come without session id and time, and from one user: many are equal, none merge."""
+    anonymous = F.col("agent_id") == "agent-1"
     starts = X.session_starts(spark, sf_dir).withColumns(
         {
-            "session_id": F.when(F.col("agent_id") != "agent-1", F.col("session_id")),
+            "session_id": F.when(~anonymous, F.col("session_id")),
+            "user_id": F.when(anonymous, "user-0").otherwise(F.col("user_id")),
+            "started_at": F.when(~anonymous, F.col("started_at")),
             "metadata": F.create_map(F.lit("channel"), F.col("status")),
         }
     )
-    rows = M.conversation_rows(starts).withColumn("started_at", second("started_at"))
+    rows = M.conversation_rows(starts, X.AS_OF).withColumn("started_at", second("started_at"))
     return rows.drop("ended_at")
 
 
@@ -243,6 +272,45 @@ EXPORT_SCHEMA = (
 )
 
 
+# Requests for guardrails that exist, that do not, and for none.
+ASKED = (
+    "CASE doc_id % 6 WHEN 0 THEN 'pii' WHEN 1 THEN '' WHEN 2 THEN 'toxicity,Toxicity' WHEN 3 THEN NULL "
+    "ELSE 'pii_detection,toxicity' END"
+)
+
+
+@query(
+    "request_quarantine",
+    f"""WITH asked AS (SELECT concat('doc-', doc_id) AS request_id, CASE WHEN doc_id % 4 = 1 THEN NULL ELSE text END AS prompt,
+  {ASKED} AS guardrails FROM documents)
+SELECT 'rejected' AS sink, request_id, concat_ws(',', CASE WHEN prompt IS NULL THEN 'missing:prompt' END,
+  CASE WHEN guardrails IN ('pii', '', 'toxicity,Toxicity') THEN 'invalid:guardrails' END) AS violations, 1::BIGINT AS n
+FROM asked WHERE prompt IS NULL OR guardrails IN ('pii', '', 'toxicity,Toxicity')
+UNION ALL SELECT 'audit', request_id, '', CASE WHEN guardrails IS NULL THEN 1 ELSE 2 END
+FROM asked WHERE prompt IS NOT NULL AND (guardrails IS NULL OR guardrails = 'pii_detection,toxicity')""",
+)
+def request_quarantine(spark, sf_dir):
+    """Every request is in the audit table or among the rejected ones."""
+    asked = F.split(F.expr(ASKED), ",")
+    incoming = (
+        X.raw(spark, sf_dir, "documents")
+        .withColumn("guardrails", F.when(F.expr(ASKED) == "", F.array().cast("array<string>")).otherwise(asked))
+        .withColumn("prompt", F.expr("CASE WHEN doc_id % 4 = 1 THEN NULL ELSE text END"))
+        .selectExpr(
+            "concat('doc-', doc_id) AS request_id", "'agent-1' AS agent_id", "prompt", "guardrails",
+            f"{X.PROMPTS['timestamp']} AS timestamp",
+        )
+    )
+    audit, rejected = screen(incoming)
+    counted = audit.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        rejected.select(
+            F.lit("rejected").alias("sink"), "request_id", joined("violations").alias("violations"), F.lit(1).cast("long").alias("n")
+        )
+        .unionByName(counted.select(F.lit("audit").alias("sink"), "request_id", F.lit("").alias("violations"), "n"))
+    )
+
+
 @query("training_export_jsonl", export_sql(False))
 def training_export_jsonl(spark, sf_dir):
     """Export to JSON lines and read them back."""

@@ -23,7 +23,7 @@ CUSTOMER_TEXT = (
 CUSTOMER_COLUMNS = {"request_id": "concat('cust-', c_custkey)", "prompt": CUSTOMER_TEXT}
 
 TEXTS_SQL = (
-    f"texts AS (SELECT request_id, prompt FROM prompts UNION ALL SELECT message_id, content FROM turns "
+    f"texts AS (SELECT request_id, prompt FROM prompts UNION ALL SELECT message_id, content FROM all_turns "
     f"UNION ALL SELECT concat('cust-', c_custkey), {CUSTOMER_TEXT} FROM customer)"
 )
 
@@ -31,7 +31,7 @@ TEXTS_SQL = (
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, conversation messages and customer requests: (request_id, prompt)."""
     documents = X.prompts(spark, sf_dir).select("request_id", "prompt")
-    messages = X.turns(spark, sf_dir).selectExpr("message_id AS request_id", "content AS prompt")
+    messages = X.all_turns(spark, sf_dir).selectExpr("message_id AS request_id", "content AS prompt")
     customers = X.raw(spark, sf_dir, "customer").selectExpr(
         *[f"{expression} AS {name}" for name, expression in CUSTOMER_COLUMNS.items()]
     )
@@ -40,7 +40,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_texts(*more: str) -> str:
     """WITH clause up to ``texts``, followed by more table expressions."""
-    return "WITH " + ", ".join([X.DUCKDB["prompts"], X.DUCKDB["turns"], TEXTS_SQL, *more]) + " "
+    return "WITH " + ", ".join([X.DUCKDB["prompts"], X.DUCKDB["all_turns"], TEXTS_SQL, *more]) + " "
 
 
 def matches(text: str, pattern: str) -> str:
