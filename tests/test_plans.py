@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from govlens.operators import policy
-from govlens.operators.guardrails import detect
+from govlens.operators.guardrails import detect, detect_pii
 from govlens.plans import screening
 from govlens.sources import fixtures as X
 
@@ -32,6 +32,12 @@ def jobs(requests):
     }
 
 
+def test_pii_report_runs_each_pattern_once(spark, sf_dir):
+    asked = screening.ask_for(X.prompts(spark, sf_dir), screening.ALL_GUARDRAILS)
+    patterns = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    assert patterns(screening.screened_pii_types(asked, X.AS_OF)) == patterns(detect_pii(asked))
+
+
 def test_generated_methods_can_be_compiled(requests):
     for name, df in jobs(requests).items():
         stages = df._jdf.queryExecution().debug().codegenToSeq()
