@@ -119,6 +119,26 @@ def append(
     write_batch(rows, path_of(root, name), batch_id or uuid.uuid4().hex, [EVENT_DATE])
 
 
+def compact(spark: SparkSession, root: str, name: str, before: str) -> None:
+    """Merge the batches of a fact table's days before ``before`` into one batch a day, with few large files.
+
+    The days must be closed: no batch of theirs may run at the same time or again later. Their rows are first copied
+    whole to a folder beside the tables, then replaced. A run that was interrupted is taken up by the next one, which
+    finds the complete copy.
+    """
+    path, copy = path_of(root, name), f"{root.rstrip('/')}/compaction/{name}"
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(copy).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(Path(f"{copy}/_SUCCESS")):
+        closed = read_table(spark, root, name).filter(F.col(EVENT_DATE) < F.lit(before).cast("date"))
+        closed.drop(BATCH_ID).hint("rebalance", EVENT_DATE).write.mode("overwrite").parquet(copy)
+    rows = spark.read.parquet(copy)
+    for row in rows.select(EVENT_DATE).distinct().collect():  # one per day
+        fs.delete(Path(f"{path}/{EVENT_DATE}={row[0]}"), True)
+    write_batch(rows.hint("rebalance", EVENT_DATE), path, "compacted", [EVENT_DATE])
+    fs.delete(Path(copy), True)
+
+
 def append_audit(rows: DataFrame, root: str, batch_id: str | None = None) -> None:
     """Append audit rows; rows that lack required fields or break a constraint are kept as dead letters instead."""
     batch_id = batch_id or uuid.uuid4().hex

@@ -165,3 +165,30 @@ def test_export_writes_lines_and_manifest(spark, sf_dir):
 def test_scratch_dir_reads_the_session(spark):
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
+
+
+def test_a_repeated_batch_drops_the_days_it_no_longer_has(spark, sf_dir):
+    root = scratch_dir(spark, "changed")
+    rows = X.audit_logs(spark, sf_dir)
+    tables.append(rows, root, "audit_logs", "b1")
+    tables.append(rows, root, "audit_logs", "b2")
+    fewer = rows.filter("timestamp >= '2024-01-10'")
+    tables.append(fewer, root, "audit_logs", "b1")
+    found = tables.read_table(spark, root, "audit_logs").groupBy("batch_id").count().collect()
+    assert {r.batch_id: r["count"] for r in found} == {"b1": fewer.count(), "b2": rows.count()}
+
+
+def test_compaction_is_taken_up_after_a_failure(spark, sf_dir, monkeypatch):
+    root = scratch_dir(spark, "compaction")
+    rows = X.audit_logs(spark, sf_dir)
+    tables.append(rows, root, "audit_logs", "b1")
+    tables.append(rows, root, "audit_logs", "b2")
+    write = tables.write_batch
+    monkeypatch.setattr(tables, "write_batch", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        tables.compact(spark, root, "audit_logs", "2024-01-16")
+    monkeypatch.setattr(tables, "write_batch", write)
+    tables.compact(spark, root, "audit_logs", "2024-01-16")
+    stored = tables.read_table(spark, root, "audit_logs")
+    assert stored.count() == 2 * rows.count()
+    assert {r.batch_id for r in stored.filter("event_date < '2024-01-16'").select("batch_id").distinct().collect()} == {"compacted"}

@@ -60,6 +60,28 @@ def append_audit(spark, sf_dir):
     )
 
 
+@query(
+    "compact_audit",
+    X.duckdb_with("audit_logs")
+    + f"""SELECT {sql_day('"timestamp"')} AS event_date, 2 * count(*) AS n, CAST(2 * sum(prompt_length) AS BIGINT)
+  AS prompt_chars, CASE WHEN "timestamp" < TIMESTAMP '2024-01-16 00:00:00' THEN 1 ELSE 2 END::BIGINT AS n_batches
+FROM audit_logs GROUP BY 1, 4""",
+)
+def compact_audit(spark, sf_dir):
+    """Two batches a day; the days before the 16th are merged, and no row is lost."""
+    root = scratch_dir(spark, "compact_audit")
+    rows = X.audit_logs(spark, sf_dir)
+    for batch in ("load-1", "load-2"):
+        tables.append(rows, root, "audit_logs", batch)
+    tables.compact(spark, root, "audit_logs", "2024-01-16")
+    stored = tables.read_table(spark, root, "audit_logs")
+    return stored.groupBy(day("event_date").alias("event_date")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("prompt_length").alias("prompt_chars"),
+        F.count_distinct("batch_id").alias("n_batches"),
+    )
+
+
 RAW_REQUEST = {
     "request_id": "concat('req-', event_id)",
     "agent_id": "CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('agent-', event_id % 12) END",
