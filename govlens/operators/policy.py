@@ -361,7 +361,8 @@ def redact_and_pass(exchanges: DataFrame) -> DataFrame:
 def redact_and_pass_audit(handled: DataFrame, model: str = MODEL) -> DataFrame:
     """Audit rows of ``redact_and_pass``: flagged personal data and blocked responses, nothing else.
 
-    Both rows of a turn come out of one pass over ``handled``.
+    Both rows of a turn come out of one pass over ``handled``. Turns without either go after the explode: a filter on
+    the verdicts before it would run their patterns a second time.
     """
     def row(kind: str, state: str, text: str, metadata: Column, redacted: Column) -> Column:
         return F.struct(
@@ -396,8 +397,7 @@ def redact_and_pass_audit(handled: DataFrame, model: str = MODEL) -> DataFrame:
     )
     events = F.array(F.when(F.col("pii.has_pii"), flagged), F.when(F.col("was_output_blocked"), blocked))
     return (
-        handled.filter(F.col("pii.has_pii") | F.col("was_output_blocked"))
-        .withColumn("e", F.explode(events))
+        handled.withColumn("e", F.explode(events))
         .filter(F.col("e").isNotNull())
         .select(
             "request_id",

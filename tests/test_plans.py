@@ -32,6 +32,12 @@ def jobs(requests):
     }
 
 
+def test_conversation_audit_runs_each_pattern_once(spark, sf_dir):
+    patterns = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    handled = policy.redact_and_pass(policy.pair_turns(X.messages(spark, sf_dir)))
+    assert patterns(policy.redact_and_pass_audit(handled)) == patterns(handled)
+
+
 def test_pii_report_runs_each_pattern_once(spark, sf_dir):
     asked = screening.ask_for(X.prompts(spark, sf_dir), screening.ALL_GUARDRAILS)
     patterns = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
