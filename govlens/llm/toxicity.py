@@ -23,6 +23,8 @@ PASSAGE_WORDS = 8
 ROWS_PER_CLASS = 2_000
 PASSAGES_PER_ROW = 64
 SEED = 5
+# Weight of passages of toxic rows against those of others while it is open which of them are toxic.
+TOXIC_SHARE = 0.2
 # Calibration: log odds that the highest of many passages gains by chance, and the weight of that assumption.
 CHANCE = 1.25
 PRIOR_ROWS = 5.0
@@ -153,10 +155,13 @@ class Trainer:
         sample is passed more often.
         """
         chosen = np.arange(len(self.label))
+        count = np.bincount(self.label, minlength=2)
+        # As if most passages of any kind were harmless, whatever the shares of the classes in the sample.
+        harmless = np.array([1.0, min(4.0, TOXIC_SHARE * count[0] / max(1, count[1]))])
         passes = max(1, min(10, 240 * 256 // max(1, len(chosen))))
         for rate in (0.1,) * (2 * passes) + (0.05,) * passes:
             self.rng.shuffle(chosen)
-            self.epoch(chosen, self._balance(chosen), rate)
+            self.epoch(chosen, harmless, rate)
         for rate in (0.1,) * (2 * passes) + (0.05,) * (2 * passes):
             toxic = np.flatnonzero(self.label == 1)
             p = self.probabilities(toxic)
@@ -176,19 +181,30 @@ class Trainer:
 
 
 def _calibrated(best: np.ndarray, labels: np.ndarray, weight: np.ndarray, bias: float) -> tuple[float, float]:
-    """Slope and bias of the logistic curve that fits rows kept out of training, by Newton's method.
+    """Slope and bias of the logistic curve that fits rows kept out of training, by Newton's method
+    with shortened steps.
 
     A few rows must not decide alone: PRIOR_ROWS draw the curve to the passages' own odds, less what the highest of many
     passages gains by chance.
     """
     x = np.stack([best, np.ones(len(best))], 1)
     prior = np.array([1.0, bias - CHANCE])
-    theta = prior.copy()
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        step = x.T @ (weight * (p - labels)) + PRIOR_ROWS * (theta - prior)
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + PRIOR_ROWS * np.eye(2)
-        theta = theta - np.clip(np.linalg.solve(curve, step), -2, 2)
+
+    def loss(theta: np.ndarray) -> float:
+        odds = x @ theta
+        return float((weight * (np.logaddexp(0, odds) - labels * odds)).sum() + PRIOR_ROWS / 2 * ((theta - prior) ** 2).sum())
+
+    theta, now = prior, loss(prior)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -500, 500)))
+        slope = x.T @ (weight * (p - labels)) + PRIOR_ROWS * (theta - prior)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + PRIOR_ROWS * np.eye(2), slope)
+        size = 1.0
+        while size > 1e-6 and (after := loss(theta - size * step)) > now:
+            size /= 2
+        if size <= 1e-6 or now - after < 1e-9:
+            break
+        theta, now = theta - size * step, after
     return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, float(prior[1]))
 
 
@@ -208,12 +224,14 @@ def _sampled(
     parts = [usable.filter(F.col("_label") == c).orderBy("_draw", "_id").limit(ROWS_PER_CLASS) for c in (0, 1)]
     picked = F.broadcast(parts[0].unionByName(parts[1]).select("_id", "_label"))  # at most 2 * ROWS_PER_CLASS rows
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(picked, "_id")
+    rows = rows.dropDuplicates(["_id"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.pieces(batches):
             found = []
             for text in batch.column("text").to_pylist():
-                words = text.encode().lower().decode().split()
+                words = (text or "").encode().lower().split()
+                words = [w.decode() for w in words]
                 first, end = passages(len(words))
                 keep = np.unique(np.linspace(0, len(first) - 1, PASSAGES_PER_ROW).astype(int))
                 found.append([" ".join(words[a:b]) for a, b in zip(first[keep], end[keep], strict=True) if b > a])

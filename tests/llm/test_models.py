@@ -122,3 +122,14 @@ def test_language_odd_rows(spark, odd):
     assert language.fit(odd, training=F.lit(False)) is None
     assert {r.lang_pred for r in language.identified(odd, None).collect()} == {"und"}
     assert language.identified(odd.limit(0), network).collect() == []
+
+
+@pytest.mark.parametrize("gap, scale", [(12.0, 1.0), (300.0, 40.0), (2.0, 1.0)])
+def test_calibration_finds_the_border(gap, scale):
+    """Also for odds far from what a step of Newton's method can take."""
+    rng = np.random.default_rng(0)
+    labels = np.repeat([0, 1], [360, 40])
+    best = rng.normal(0, 1, 400) * scale + gap * labels
+    slope, bias = toxicity._calibrated(best, labels, np.ones(400), 0.0)
+    wrong = (slope * best + bias >= 0) != labels
+    assert slope > 0 and wrong.mean() <= (0.12 if gap < 5 else 0.005)
