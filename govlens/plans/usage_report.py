@@ -84,10 +84,14 @@ def usage_sections(audit: DataFrame, as_of: AsOf = None, days: int = 7, top_agen
 def usage_analytics(audit: DataFrame, as_of: AsOf = None, days: int = 7, top_agents: int = 10) -> DataFrame:
     """The usage report as one record: period, totals, departments, busiest agents, checks per guardrail.
 
-    The arrays hold the rows of ``usage_sections``: one per department and guardrail type, and the top agents. Where
-    departments are not a short list of names, read ``usage_sections`` instead: it is the same report as rows.
+    The arrays hold the rows of ``usage_sections``: one per department, with its five busiest agents, and guardrail type,
+    and the top agents. Where departments are not a short list of names, read ``usage_sections`` and
+    ``top_agents_per_department`` instead: they are the same report as rows.
     """
-    sections = usage_sections(audit, as_of, days, top_agents)
+    busiest = U.top_agents_per_department(audit, as_of, days).select(
+        F.lit("department").alias("section"), F.col("department").alias("key"), "top_agents"
+    )
+    sections = usage_sections(audit, as_of, days, top_agents).join(busiest, ["section", "key"], "left")
 
     def total(measure: str, name: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("section") == "overall", F.col(measure))), F.lit(0)).alias(name)
@@ -113,6 +117,7 @@ def usage_analytics(audit: DataFrame, as_of: AsOf = None, days: int = 7, top_age
             "pii_incidents",
             "blocked_requests",
             "avg_response_time_ms",
+            "top_agents",
         ).alias("by_department"),
         entries(
             "agent",

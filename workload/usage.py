@@ -131,6 +131,11 @@ def usage_sections(spark, sf_dir):
     return out.withColumn("avg_response_time_ms", F.round("avg_response_time_ms", 6))
 
 
+def _busiest(agents):
+    shown = F.transform(agents, lambda a: F.concat_ws("=", a["agent_id"], a["total_requests"].cast("string")))
+    return F.array_join(shown, "+")
+
+
 @query(
     "usage_analytics",
     SECTIONS
@@ -141,8 +146,14 @@ def usage_sections(spark, sf_dir):
   (SELECT pii_incidents FROM sections WHERE section = 'overall') AS pii_detected_count,
   (SELECT blocked_requests FROM sections WHERE section = 'overall') AS blocked_count,
   (SELECT passed_requests FROM sections WHERE section = 'overall') AS passed_count,
-  (SELECT string_agg(concat(key, ':', total_requests, ':', unique_users), ',' ORDER BY total_requests DESC, key)
-     FROM sections WHERE section = 'department') AS by_department,
+  (SELECT string_agg(concat(key, ':', total_requests, ':', unique_users, ':', busiest), ','
+     ORDER BY total_requests DESC, key) FROM sections LEFT JOIN
+     (SELECT department, string_agg(concat(agent_id, '=', n), '+' ORDER BY n DESC, agent_id) AS busiest FROM
+       (SELECT coalesce(department, 'unknown') AS department, agent_id, count(*) AS n,
+          row_number() OVER (PARTITION BY coalesce(department, 'unknown') ORDER BY count(*) DESC, agent_id) AS r
+        FROM audit_logs WHERE "timestamp" BETWEEN {AT} - INTERVAL 7 DAY AND {AT} GROUP BY 1, 2)
+      WHERE r <= 5 GROUP BY 1) ON department = key
+     WHERE section = 'department') AS by_department,
   (SELECT string_agg(concat(key, ':', total_requests), ',' ORDER BY total_requests DESC, key) FROM
      (SELECT * FROM sections WHERE section = 'agent' ORDER BY total_requests DESC, key LIMIT 10)) AS by_agent,
   (SELECT string_agg(concat(key, ':', total_requests), ',' ORDER BY key)
@@ -161,7 +172,10 @@ def usage_analytics(spark, sf_dir):
         "blocked_count",
         "passed_count",
         joined(
-            F.transform("by_department", lambda d: show(d["department"], d["total_requests"], d["total_users"]))
+            F.transform(
+                "by_department",
+                lambda d: show(d["department"], d["total_requests"], d["total_users"], _busiest(d["top_agents"])),
+            )
         ).alias("by_department"),
         joined(F.transform("by_agent", lambda a: show(a["agent_id"], a["total_requests"]))).alias("by_agent"),
         joined(
