@@ -1,4 +1,4 @@
-"""Structured Streaming jobs. Each builder takes a streaming DataFrame; the runners at the end attach the sinks."""
+"""Structured Streaming jobs. ``session_counters`` serves streams as it is. Each builder takes a streaming DataFrame; the runners at the end attach the sinks."""
 
 from __future__ import annotations
 
@@ -10,9 +10,23 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from govlens.operators.access import classify_access
 from govlens.operators.common import spread
+from govlens.operators.conversations import session_counters
 from govlens.plans.screening import rejected_summary, screen
 from govlens.sources.tables import append, dead_letter_path, write_batch
 
+__all__ = [
+    "abandonments",
+    "activity_sessions",
+    "current",
+    "daily_counts",
+    "deduplicated",
+    "key_usage",
+    "run_append",
+    "run_screening",
+    "run_update",
+    "session_counters",
+]
+
 
 def daily_counts(audit: DataFrame, late: str = "1 day") -> DataFrame:
     """Checks per day, kept current; a day closes ``late`` after its end."""
@@ -31,15 +45,6 @@ def daily_counts(audit: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
-def session_counters(messages: DataFrame) -> DataFrame:
-    """Running message, PII and blocked counters per session."""
-    return messages.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("message_count"),
-        F.count_if("has_pii").alias("total_pii_incidents"),
-        F.count_if("was_blocked").alias("total_blocked"),
-    )
-
-
 def deduplicated(audit: DataFrame, late: str = "1 day") -> DataFrame:
     """One row per request and guardrail type; repeats within the watermark are dropped."""
     return audit.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["request_id", "guardrail_type"])
