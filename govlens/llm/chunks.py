@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text per chunk and per shard.
@@ -115,6 +115,14 @@ def answers(table: pa.Table, dtype: np.dtype | type) -> np.ndarray:
     return np.frombuffer(b"".join(replies[i] for i in order), dtype)
 
 
+def thinned(df: DataFrame, draw: Column, rows: Column | int, wanted: int) -> DataFrame:
+    """Of ``rows`` rows those with the lowest hashes (xxhash64), four times as many as wanted.
+
+    Done before the wanted rows are ranked, so that no task's best rows need to be gathered, however many tasks there are.
+    """
+    return df.filter((draw.cast("double") / F.lit(2.0**64) + 0.5) * rows < 4 * wanted)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], size: int = TEXT_PER_CHUNK) -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``size`` bytes each; a row is never cut."""
     for batch in batches:

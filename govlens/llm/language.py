@@ -211,21 +211,30 @@ def _block(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.
 
 
 def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, training: Column) -> DataFrame:
-    """(lang, windows) of ROWS_PER_LANGUAGE rows per language, picked by hash; windows lie all over a text."""
+    """(lang, windows) of ROWS_PER_LANGUAGE rows per language, picked by hash; windows lie all over a text.
+
+    A language's rows are first thinned by their hash to a few times the number wanted, so that few are ranked however
+    many there are.
+    """
     named = docs.select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
-    ).filter(F.coalesce(training, F.lit(False)) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    draw = F.xxhash64("id", F.lit(SEED))
+    ).filter(F.coalesce(training, F.lit(False)) & F.col("lang").isNotNull())
+    narrow = named.select("id", "lang", F.xxhash64("id", F.lit(SEED)).alias("draw"))
+    counts = stored(narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
-    narrow = named.select("id", "lang", draw.alias("draw"))
-    picked = stored(narrow.withColumn("_rank", rank).filter(F.col("_rank") <= ROWS_PER_LANGUAGE), "sample")
+    few = C.thinned(narrow.join(counts, "lang"), F.col("draw"), F.col("rows"), ROWS_PER_LANGUAGE)
+    picked = stored(few.withColumn("_rank", rank).filter(F.col("_rank") <= ROWS_PER_LANGUAGE), "sample")
     rows = named.join(picked.select("id", "lang").distinct(), ["id", "lang"], "left_semi")
+    rows = rows.dropDuplicates(["id", "lang"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.pieces(batches):
             found = []
             for text in batch.column("text").to_pylist():
-                data = text.encode()
+                data = (text or "").encode()
+                if not data:
+                    found.append([])
+                    continue
                 n = max(1, len(data) // WINDOW_BYTES)
                 places = np.unique(np.linspace(0, n - 1, WINDOWS_PER_ROW).astype(int)) * WINDOW_BYTES
                 found.append([data[a : a + WINDOW_BYTES] for a in places.tolist()])
