@@ -221,7 +221,10 @@ def _sampled(
     there = docs.filter(training & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
     usable = stored(known.join(there, "_id", "left_semi"), "labelled").withColumn("_draw", F.xxhash64("_id", F.lit(SEED)))
     counts = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}  # two rows
-    parts = [usable.filter(F.col("_label") == c).orderBy("_draw", "_id").limit(ROWS_PER_CLASS) for c in (0, 1)]
+    few = [
+        C.thinned(usable.filter(F.col("_label") == c), F.col("_draw"), counts.get(c, 0), ROWS_PER_CLASS) for c in (0, 1)
+    ]
+    parts = [rows.orderBy("_draw", "_id").limit(ROWS_PER_CLASS) for rows in few]
     picked = F.broadcast(parts[0].unionByName(parts[1]).select("_id", "_label"))  # at most 2 * ROWS_PER_CLASS rows
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(picked, "_id")
     rows = rows.dropDuplicates(["_id"])
