@@ -477,8 +477,9 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Fi
     learns pages without such marks, and text inside the main element that is not main text.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html")).filter("html IS NOT NULL")
-    draw = F.xxhash64(F.col("id"), F.lit(SEED))
-    picked = rows.select("id", draw.alias("draw")).orderBy("draw", "id").limit(PAGES).select("id")
+    ids = pages.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.lit(SEED)).alias("draw"))
+    few = C.thinned(ids, F.col("draw"), ids.count(), PAGES)
+    picked = few.orderBy("draw", "id").limit(PAGES).select("id")
     chosen = rows.join(F.broadcast(picked), "id", "left_semi")  # at most PAGES ids
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
