@@ -20,7 +20,7 @@ GRAMS = (3, 4, 5, 6)
 # A text is judged by passages of so many words, each starting half a passage after the one before.
 PASSAGE_WORDS = 8
 # The training sample: labelled rows of each class, and passages of each row.
-ROWS_PER_CLASS = 2_000
+ROWS_PER_CLASS = 1_500
 PASSAGES_PER_ROW = 64
 SEED = 5
 # Weight of passages of toxic rows against those of others while it is open which of them are toxic.
@@ -42,8 +42,8 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             for k in range(n):
                 code = code * np.uint64(0x100000001B3) + text[k : k + m]
         inside = space[n - 2 : n - 2 + m] == space[:m]  # no space between the first and the last character
-        found.append((C.mixed(code[inside]) % np.uint64(BUCKETS)).astype(np.int64))
-        owners.append(space[:m][inside] - 1)
+        found.append((C.mixed(code[inside]) % np.uint64(BUCKETS)).astype(np.int32))
+        owners.append((space[:m][inside] - 1).astype(np.int32))
     code, owner = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return code[order], owner[order]
@@ -270,7 +270,12 @@ def fit(
     apart = np.zeros(len(rows), bool)
     for c in (0, 1):
         apart[np.flatnonzero(label == c)[4::5]] = True
-    trainer = Trainer([[p.split(" ") for p in rows[i]["passages"]] for i in np.flatnonzero(~apart)], label[~apart])
+    once: dict[str, str] = {}  # one object for each distinct word: the driver holds the whole sample
+    words = [
+        [[once.setdefault(w, w) for w in p.split(" ")] for p in rows[i]["passages"]] for i in np.flatnonzero(~apart)
+    ]
+    trainer = Trainer(words, label[~apart])
+    del words, once
     trainer.fit()
     bias = float(trainer.bias[1] - trainer.bias[0])
     model = Model(trainer.weights(), 1.0, bias - CHANCE)
