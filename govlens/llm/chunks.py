@@ -50,9 +50,12 @@ def chunk_of(table: pa.Table) -> int:
     return table.column("_chunk")[0].as_py()
 
 
-def ask(chunk: int, keys: np.ndarray, shards: int, more: np.ndarray | None = None) -> pa.Table:
-    """Sorted keys (uint64), cut by range into one row per shard, with an array of the same length beside them."""
-    edges = np.array([(i << 64) // shards for i in range(1, shards)], dtype=U64)
+def ask(chunk: int, keys: np.ndarray, shards: int, more: np.ndarray | None = None, whole: int = 0) -> pa.Table:
+    """Sorted keys (uint64), cut by range into one row per shard, with an array of the same length beside them.
+
+    Keys that differ in their last ``whole`` bits only are not cut apart.
+    """
+    edges = np.array([((i << 64) // shards) >> whole << whole for i in range(1, shards)], dtype=U64)
     cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
     rows = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
     return asked_table(

@@ -282,7 +282,7 @@ def language_scores(
     def send(table: pa.Table) -> pa.Table:
         chunk, training = C.chunk_of(table), flags(table)
         keys, counts = gathered(table.column("text"), training, order)
-        grams = C.ask(chunk, keys, shards, counts.astype(COUNT))
+        grams = C.ask(chunk, keys, shards, counts.astype(COUNT), whole=48)  # all contexts of a pair in one shard
         words = Words(table.column("text"))
         seen = np.bincount(
             words.ids[np.repeat(training, np.diff(words.starts))], minlength=len(words.words)

@@ -81,6 +81,17 @@ def test_equals_the_plain_trie(spark, docs, order, monkeypatch):
     check(spark.createDataFrame(rows, flagged.schema), rows, order)
 
 
+def test_shards_do_not_cut_contexts(spark, docs, monkeypatch):
+    """Far more shards than contexts of two bytes: even cuts of the key range lie inside the ranges of used pairs."""
+    monkeypatch.setattr("govlens.llm.chunks.TEXT_PER_SHARD", 7)
+    few = docs.filter("length(text) BETWEEN 500 AND 3000").orderBy("doc_id").limit(12)
+    rows = [(r.doc_id, r.text, i % 3 != 0) for i, r in enumerate(few.collect())]
+    used = {int(ppm.SPREAD[a << 8 | b]) for _, t, _ in rows for a, b in zip(normal(t), normal(t)[1:], strict=False)}
+    shards = sum(len(t.encode()) + 64 for _, t, _ in rows) // 7 + 1
+    assert len(used & {(i << 16) // shards for i in range(1, shards)}) > 10
+    check(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), rows, 5)
+
+
 def test_odd_rows(odd):
     flagged = odd.withColumn("train", F.coalesce(F.col("doc_id") != 4, F.lit(True)))
     check(flagged, [tuple(r) for r in flagged.select("doc_id", "text", "train").collect()], 3)
