@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +28,10 @@ SEED = 17
 # HTML element kinds (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe textarea title svg math object select".split())
+# Those of RAW that hold elements rather than text alone, those written in XML, and what in the latter holds HTML.
+NESTING = frozenset("template noscript svg math object select".split())
+FOREIGN = frozenset("svg math".split())
+HTML_IN_FOREIGN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption"
     " figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p"
@@ -48,6 +53,7 @@ TOKEN = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)(?:>|\Z))", re.S
 )
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+UNQUOTED = re.compile(r"""=\s*[^\s"'>]+\Z""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -71,8 +77,58 @@ class Block:
     linked: int = 0
 
 
+def _closes_itself(attributes: str) -> bool:
+    """Whether a tag ends in a slash of its own; one behind an unquoted value belongs to the value."""
+    return attributes.endswith("/") and not UNQUOTED.search(attributes)
+
+
+def _end_of_text(page: str, at: int, tag: str) -> int:
+    found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+    return found.start() if found else len(page)
+
+
+def _end_of_hidden(page: str, at: int, tag: str, parents: set[str]) -> int:
+    """Where an element of NESTING that opens before ``at`` ends: at its closing tag, or where a parent closes before
+    that. An HTML block in svg or math ends these, as in browsers."""
+    inner: list[str] = []
+    count: Counter[str] = Counter()
+    foreign = int(tag in FOREIGN)
+    while match := TOKEN.search(page, at):
+        at = match.end()
+        closing, name, attributes = match.group(1, 2, 3)
+        if name is None:
+            continue
+        name = name.lower()
+        if closing:
+            if count[name]:
+                while True:
+                    last = inner.pop()
+                    count[last] -= 1
+                    foreign -= last in FOREIGN
+                    if last == name:
+                        break
+            elif name == tag or name in parents:
+                return match.start()
+            continue
+        if tag in FOREIGN and name in BLOCK and not any(count[x] for x in HTML_IN_FOREIGN):
+            return match.start()
+        if name in VOID or (foreign and _closes_itself(attributes)):
+            continue
+        if name in RAW and name not in NESTING and not foreign:
+            at = _end_of_text(page, at, name)
+            continue
+        inner.append(name)
+        count[name] += 1
+        foreign += name in FOREIGN
+    return len(page)
+
+
 def blocks_of(page: str | None) -> list[Block]:
-    """Leaf blocks in page order. Elements that are never shown (scripts, styles, ...) have none."""
+    """Leaf blocks in page order. Elements that are never shown (scripts, styles, ...) have none.
+
+    An svg or math tag that closes itself is empty. A hidden element that is never closed ends with its parent; one that
+    holds only text (script, style, iframe, textarea, title) goes on to the end of the page, as in browsers.
+    """
     page = page or ""
     stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
     out: list[Block] = []
@@ -109,8 +165,12 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if tag in RAW and not closing:
-            end_tag = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            at = end_tag.start() if end_tag else len(page)
+            if tag in FOREIGN and _closes_itself(attributes):
+                continue
+            if tag in NESTING:
+                at = _end_of_hidden(page, at, tag, {e[0] for e in stack if e[0] in BLOCK})
+            else:
+                at = _end_of_text(page, at, tag)
             continue
         if tag in RAW:
             continue
@@ -469,6 +529,14 @@ class Layout:
         return "<html><body>" + "".join(self.html) + "</body></html>", self.labels
 
 
+def sampled(page: str | None) -> list[dict]:
+    """The first blocks of a page with shortened texts; features and labels are those of the whole page."""
+    blocks = blocks_of(page)
+    labels = marked(blocks) or [None] * len(blocks)
+    few = zip(blocks[:BLOCKS_PER_PAGE], features(blocks), labels, strict=False)
+    return [{"text": b.text[:CHARS_PER_BLOCK], "features": f, "label": y} for b, f, y in few]
+
+
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Field:
     """Train on labelled pages: PAGES of the table, picked by hash, and LAID_OUT more.
 
@@ -483,25 +551,16 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Fi
     chosen = rows.join(F.broadcast(picked), "id", "left_semi")  # at most PAGES ids
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.string())), ("tag", pa.string()), ("linked", pa.int64())]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("features", pa.list_(pa.string())), ("label", pa.int32())]))
         for batch in C.pieces(batches):
-            found = [
-                [
-                    {"text": b.text[:CHARS_PER_BLOCK], "path": list(b.path), "tag": b.tag, "linked": b.linked}
-                    for b in blocks_of(page)[:BLOCKS_PER_PAGE]
-                ]
-                for page in batch.column("html").to_pylist()
-            ]
+            found = [sampled(page) for page in batch.column("html").to_pylist()]
             yield pa.record_batch({"blocks": pa.array(found, kind)})
 
-    schema = "blocks array<struct<text:string,path:array<string>,tag:string,linked:long>>"
+    schema = "blocks array<struct<text:string,features:array<string>,label:int>>"
     found = chosen.select("html").mapInArrow(parse, schema).limit(PAGES).collect()
-    real = sorted(
-        ([Block(b["text"], tuple(b["path"]), b["tag"], b["linked"]) for b in r["blocks"]] for r in found),
-        key=lambda bs: [b.text for b in bs],
-    )
-    known = [(features(bs), labels) for bs in real if (labels := marked(bs))]
-    sentences = sorted({s for bs in real for b in bs for s in re.findall(r"[^.!?]+[.!?]?", b.text) if s.strip()})
+    real = sorted((r["blocks"] for r in found), key=lambda bs: [b["text"] for b in bs])
+    known = [([b["features"] for b in bs], [b["label"] for b in bs]) for bs in real if bs and bs[0]["label"] is not None]
+    sentences = sorted({s for bs in real for b in bs for s in re.findall(r"[^.!?]+[.!?]?", b["text"]) if s.strip()})
     rng = random.Random(SEED)
     for _ in range(LAID_OUT):
         page, labels = Layout(sentences or ["Text."], rng).page()

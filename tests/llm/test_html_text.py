@@ -29,6 +29,26 @@ def test_blocks():
     assert texts("<a href=x" * 2000) == []
 
 
+def test_hidden_elements_end():
+    assert texts("<article><p>a<svg class='i'/>b</p><p>c</p></article><svg><text>no</text></svg><p>d") == ["ab", "c", "d"]
+    assert texts('<p>a<math/>b<svg href="x=y" />c') == ["abc"]
+    assert texts("<div>a<svg class=i/><path d=x></div><p>b</p><svg>no</svg>") == ["a", "b"]
+    assert texts("<div>a<svg><p>b</p></div>c") == ["a", "b", "c"]
+    assert texts("<svg><foreignObject><p>no</p></foreignObject><svg>no</svg>no</svg>a") == ["a"]
+    for tag in ("noscript", "object", "select", "template"):
+        assert texts(f"<div>a<{tag}>no<div>no</div>no</div><p>b</p><{tag}><p>no</p></{tag}>c") == ["a", "b", "c"]
+        assert texts(f"<div>a<{tag}>no<script>'</{tag}></div>'</script>no</{tag}>b</div>") == ["ab"]
+    assert len(texts("<div>a<svg><g>" * 20_000 + "</x>" * 20_000)) == 20_000
+
+
+def test_sampled_blocks_keep_the_features_of_the_page():
+    page = "<article>" + "<p>" + "many words " * 60 + "<a href=x>end.</a></p>" + "<p>b.</p>" * 200 + "</article>"
+    few = H.sampled(page)
+    assert len(few) == H.BLOCKS_PER_PAGE and max(len(b["text"]) for b in few) == H.CHARS_PER_BLOCK
+    assert [b["features"] for b in few] == H.features(H.blocks_of(page))[: len(few)]
+    assert "stop:True" in few[0]["features"] and "to:3" in few[-1]["features"] and few[-1]["label"] == 1
+
+
 def test_paths():
     blocks = H.blocks_of('<div id="main-Content"><p><b>a<br><p>b</div><nav class=topMenu><a href=x>c</a></nav>')
     assert [("t:div" in b.path, "c:content" in b.path, "c:menu" in b.path) for b in blocks] == [
