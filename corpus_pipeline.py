@@ -22,12 +22,16 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingles of five words and a similarity of 0.8, the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays, too. Rows without doc_id cannot be told apart and stay.
+    Rows that repeat a doc_id are judged by their own texts; of rows alike in doc_id and text one stays. Rows without
+    doc_id cannot be told apart and stay.
     """
-    found = jaccard.jaccard_components(docs, size=5, percent=80)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
+    row = ["doc_id", "_text_hash"]
+    found = jaccard.jaccard_components(marked, size=5, percent=80, carry=("_text_hash",)).filter("doc_id IS NOT NULL")
+    alone = F.when(F.col("component_key").isNull(), F.col("doc_id"))
+    kept = found.groupBy("component_key", alone.alias("alone")).agg(F.min(F.struct(*row)).alias("first")).select("first.*")
+    rank = F.row_number().over(Window.partitionBy(*row).orderBy(F.xxhash64(*docs.columns)))
+    chosen = marked.join(kept, row, "left_semi").withColumn("_rank", rank).filter("_rank = 1").select(*docs.columns)
     return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

@@ -70,16 +70,18 @@ def _frequencies(keys: np.ndarray, more: np.ndarray, chunk: np.ndarray) -> np.nd
 
 
 def shingle_sets(
-    docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
+    docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(id, n, key, prefix, shingles) per row. ``key`` names the set; null without words.
+    """(id, n, key, prefix, shingles, carried columns) per row. ``key`` names the set; null without words.
 
     ``prefix`` holds the set's rarest shingles, so many that two sets at the threshold share one of them. It and
     ``shingles`` are null where no other set has any shingle of the prefix, so that the set has no partner. Rarity
     comes from counts over all sets; it only orders the shingles, and counts of shortened hashes serve for that.
     """
-    parts, shards = C.chunked(docs, id_col, text_col)
+    parts, shards = C.chunked(docs, id_col, text_col, carry)
     bits = (shards - 1).bit_length()
+    types = dict(docs.dtypes)
+    carried = {f"carried_{i}": types[name] for i, name in enumerate(carry)}
     by_chunk = parts.groupBy("_chunk")
 
     def asks(table: pa.Table) -> pa.Table:
@@ -113,12 +115,14 @@ def shingle_sets(
                     [None if x is None else sets.sets[k].tobytes() for k, x in zip(keys, one, strict=True)],
                     pa.binary(),
                 ),
+                **{name: table.column(name) for name in carried},
             }
         )
 
     asked = by_chunk.applyInArrow(asks, C.ASKED)
     found = C.answered(asked, _frequencies, SEEN, np.dtype("<u4"))
-    schema = f"id {dict(docs.dtypes)[id_col]}, n long, key binary, prefix array<long>, shingles binary"
+    schema = f"id {types[id_col]}, n long, key binary, prefix array<long>, shingles binary"
+    schema = ", ".join([schema, *[f"{name} {kind}" for name, kind in carried.items()]])
     return by_chunk.cogroup(found.groupBy("_chunk")).applyInArrow(chooses, schema)
 
 
@@ -243,22 +247,28 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    percent: int = 80,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, n_shingles, n_links, component_id) per row.
+    """(id, n_shingles, n_links, component_id, component_key, carried columns) per row.
 
     Texts are lower-cased (A-Z) and cut into words at space and \\x09-\\x0D; a text's set has its distinct shingles of
     ``size`` words, or the whole sequence if it has fewer. Two texts link when 100 * intersection >= percent * union.
     ``component_id`` is the smallest id reachable by links, the own included. ``n_links`` counts the other distinct
-    sets that a row's set links with; rows with equal sets are linked, too, and not counted.
+    sets that a row's set links with; rows with equal sets are linked, too, and not counted. ``component_key`` tells
+    components apart also where ids repeat; null without words.
 
     A null text or one without words has no shingle, links with nothing and is its own component. Repeated rows fall
     into one component. A null id is never the smallest; a component of null ids has the id null. An empty table gives
-    an empty result. Only the two named columns are read. Shingles are compared by 64 bits of hash.
+    an empty result. Only the named columns are read. Shingles are compared by 64 bits of hash.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent is between 1 and 100")
-    sets = stored(shingle_sets(docs, id_col, text_col, size, percent), "shingle-sets")
+    sets = stored(shingle_sets(docs, id_col, text_col, size, percent, carry), "shingle-sets")
     found = stored(links(sets, percent), "links")
     roots = components(found.filter(F.col("b").isNotNull()).select("a", "b"))
     smallest = sets.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("smallest"))
@@ -267,15 +277,17 @@ def jaccard_components(
     )
     by_root = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     counts = found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("n_links"))
-    of_key = rooted.join(by_root, "root").join(counts, "key", "left").select("key", "component_id", "n_links")
+    of_key = rooted.join(by_root, "root").join(counts, "key", "left").select("key", "component_id", "n_links", "root")
     component: Column = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return (
-        sets.select("id", "n", "key")
+        sets.drop("prefix", "shingles")
         .join(of_key, "key", "left")
         .select(
             F.col("id").alias(id_col),
             F.col("n").alias("n_shingles"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
             component.alias("component_id"),
+            F.col("root").alias("component_key"),
+            *[F.col(f"carried_{i}").alias(name) for i, name in enumerate(carry)],
         )
     )

@@ -68,6 +68,17 @@ def test_stages(spark, corpus):
     assert five.columns == [*docs.columns, "copy"] and ids(five) <= ids(docs)
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark, corpus):
+    """A near copy of a document and a text of its own under one doc_id: the copy goes, the other stays."""
+    folder, rows = corpus
+    table = [(1, rows[100]), (2, rows[100] + " x"), (2, rows[101]), (2, rows[101]), (2, None), (3, rows[102]), (3, rows[103])]
+    table += [(4, rows[103] + " x"), (5, rows[101] + " y")]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    out = STAGES["jaccard_join"](spark, docs, folder)
+    kept = [(1, rows[100]), (2, rows[101]), (2, None), (3, rows[102]), (3, rows[103])]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(kept, key=str)
+
+
 def test_run(spark, corpus):
     folder, _ = corpus
     out = ids(corpus_pipeline.run(spark, folder))
