@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ BLOCK_BYTES = 32 << 20
 
 # ASCII characters other than letters and digits separate words.
 SEPARATED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+# Scripts without spaces (Thai, Lao, Burmese, Khmer, Kana, Han): every character is a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 FOUND = (
     "item_words long, covered_words long, coverage double, "
@@ -31,7 +34,10 @@ FOUND = (
 
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words; a null text has none."""
-    return (text or "").lower().encode().translate(SEPARATED).split()
+    text = (text or "").lower()
+    if not text.isascii() and UNSPACED.search(text):
+        text = UNSPACED.sub(r" \g<0> ", text)
+    return text.encode().translate(SEPARATED).split()
 
 
 def rolled(ids: np.ndarray, words: int) -> np.ndarray:
@@ -46,42 +52,51 @@ def rolled(ids: np.ndarray, words: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Test items as word numbers, and where their seeds occur."""
+    """Test items as word numbers, and where their seeds occur: by length, sorted hashes and the item of each."""
 
     ids: list
     items: list[np.ndarray]
     vocabulary: dict[bytes, int]
-    seeds: np.ndarray
-    owners: np.ndarray
+    seeds: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, rows: list[tuple], seed: int) -> Index:
+    def of(cls, rows: list[tuple], seed: int, tile: int) -> Index:
+        """An item shorter than a seed, but not than a tile, is one seed as a whole."""
         vocabulary: dict[bytes, int] = {}
         items = [
             np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int64) for _, text in rows
         ]
-        hashes = [rolled(x, seed) for x in items]
-        seeds = np.concatenate([np.empty(0, np.uint64), *hashes])
-        owners = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
-        order = np.argsort(seeds, kind="stable")
-        return cls([i for i, _ in rows], items, vocabulary, seeds[order], owners[order])
-
-    def candidates(self, docs: list[list[bytes]], seed: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        of_length: dict[int, list[int]] = {}
+        for i, x in enumerate(items):
+            if len(x) >= min(seed, tile):
+                of_length.setdefault(min(seed, len(x)), []).append(i)
+        seeds = {}
+        for n, those in of_length.items():
+            hashes = [rolled(items[i], n) for i in those]
+            found, owners = np.concatenate(hashes), np.repeat(those, [len(h) for h in hashes])
+            order = np.argsort(found, kind="stable")
+            seeds[n] = found[order], owners[order]
+        return cls([i for i, _ in rows], items, vocabulary, seeds)
+
+    def candidates(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, np.ndarray]]:
         """(document, item, the document's word numbers) for pairs that share a seed."""
         known = self.vocabulary.get
         sizes = [len(d) + 1 for d in docs]
         every = np.fromiter((known(w, -1) for d in docs for w in (*d, b"")), np.int64, sum(sizes))
         starts = np.cumsum([0, *sizes])
         outside = np.concatenate([[0], np.cumsum(every < 0)])
-        n = max(0, len(every) - seed + 1)
-        whole = np.flatnonzero(outside[seed : seed + n] == outside[:n])
-        hashes = rolled(every, seed)[whole]
-        low, high = (np.searchsorted(self.seeds, hashes, side) for side in ("left", "right"))
-        hit = high > low
-        at, low, count = whole[hit], low[hit], (high - low)[hit]
-        item = self.owners[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        doc = np.repeat(np.searchsorted(starts, at, "right") - 1, count)
-        for d, i in np.unique(np.stack([doc, item], 1), axis=0).tolist():
+        pairs = [np.empty((0, 2), np.int64)]
+        for seed, (seeds, owners) in self.seeds.items():
+            n = max(0, len(every) - seed + 1)
+            whole = np.flatnonzero(outside[seed : seed + n] == outside[:n])
+            hashes = rolled(every, seed)[whole]
+            low, high = (np.searchsorted(seeds, hashes, side) for side in ("left", "right"))
+            hit = high > low
+            at, low, count = whole[hit], low[hit], (high - low)[hit]
+            item = owners[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+            doc = np.repeat(np.searchsorted(starts, at, "right") - 1, count)
+            pairs.append(np.stack([doc, item], 1))
+        for d, i in np.unique(np.concatenate(pairs), axis=0).tolist():
             yield d, i, every[starts[d] : starts[d + 1] - 1]
 
 
@@ -125,19 +140,19 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     return chosen
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, seed: int) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, seed: int, tile: int) -> Iterator[Index]:
     """The benchmark in parts of bounded size."""
     rows = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     for i in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i)
-        yield Index.of([tuple(r) for r in part.collect()], seed)
+        yield Index.of([tuple(r) for r in part.collect()], seed, tile)
 
 
-def _judged(texts: list, index: Index, seed: int, tile: int, coverage: float) -> Iterator[tuple]:
+def _judged(texts: list, index: Index, tile: int, coverage: float) -> Iterator[tuple]:
     """(row, item, words of the item, covered words, tiles) of rows that hold enough of an item."""
-    for row, i, doc in index.candidates([words_of(t) for t in texts], seed):
+    for row, i, doc in index.candidates([words_of(t) for t in texts]):
         item = index.items[i]
         found = tiles(doc, item, tile)
         covered = sum(n for _, _, n in found)
@@ -158,24 +173,26 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and item of which it holds enough: doc id, item id, item_words, covered_words, coverage, tiles.
 
-    Words are lower-cased runs of letters, digits and characters outside ASCII. Documents and items that share a seed
+    Words are lower-cased runs of letters, digits and characters outside ASCII; in scripts without spaces every
+    character is one. Documents and items that share a seed
     (a run of ``seed`` words) are tiled: matches of ``tile`` words and more, longest first, none overlapping. An item
     counts as found when tiles cover ``coverage`` of its words, whatever their order in the document.
 
     Documents are read once per block of the benchmark and never shuffled; blocks have a bounded size. An item of fewer
-    words than a seed is never found. A null text has no words; null ids are returned as they are; repeated documents
+    words than a seed is a seed as a whole; one of fewer words than a tile is never found, nor one whose parts lie in
+    pieces shorter than a seed. A null text has no words; null ids are returned as they are; repeated documents
     and items each give their rows; an empty table on either side gives an empty result. Only the named columns are
     read.
     """
     types = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for index in _blocks(benchmark, item_col, item_text_col, seed):
+    for index in _blocks(benchmark, item_col, item_text_col, seed, tile):
         shared = C.Shared(docs.sparkSession, index)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in C.pieces(batches):
-                found = list(_judged(batch.column("text").to_pylist(), shared.value, seed, tile, coverage))
+                found = list(_judged(batch.column("text").to_pylist(), shared.value, tile, coverage))
                 if found:
                     row, item, words, covered, tiled = zip(*found, strict=True)
                     names = ("doc_start", "item_start", "words")
@@ -208,13 +225,13 @@ def decontaminated(
     coverage: float = COVERAGE,
 ) -> DataFrame:
     """The documents, all columns, without those of which ``contaminated`` reports an item."""
-    for index in _blocks(benchmark, item_col, item_text_col, seed):
+    for index in _blocks(benchmark, item_col, item_text_col, seed, tile):
         shared = C.Shared(docs.sparkSession, index)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in C.pieces(batches):
                 texts = batch.column(text_col).to_pylist()
-                bad = {x[0] for x in _judged(texts, shared.value, seed, tile, coverage)}
+                bad = {x[0] for x in _judged(texts, shared.value, tile, coverage)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)

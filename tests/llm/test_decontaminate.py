@@ -92,6 +92,16 @@ def test_found_items(spark, benchmark, block, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 6, 7]
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "one two three"), (2, "four five six seven"), (3, "今天天气很好"), (4, "東京都"), (5, "สวัสดีครับ")]
+    rows = [(1, "a One, two three."), (2, "four five six"), (3, "x four five six seven"), (4, "他说今天天气很好。我们走吧"), (5, "在東京都里 one two"), (6, "天天很好"), (7, "กสวัสดีครับก")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, benchmark).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3), (5, 4), (7, 5)}
+    assert {r.doc_id for r in D.decontaminated(docs, benchmark).collect()} == {2, 6}
+
+
 def test_documents_hold_the_planted_items(spark, sf_dir, docs):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()}
