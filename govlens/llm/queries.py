@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlens.llm import decontaminate, html_text, jaccard, language, mixing, neighbours, ppm, substrings, toxicity, urls
+from govlens.llm import (
+    decontaminate,
+    html_text,
+    jaccard,
+    language,
+    line_rules,
+    merkle,
+    mixing,
+    neighbours,
+    ppm,
+    repair,
+    substrings,
+    toxicity,
+    urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +148,80 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no host column; their source stands for it."""
+    return line_rules.judged(table(spark, sf_dir, "documents")).drop("removed")
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the table, and a copy held against it in which some texts are in lower case (A-Z)."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    # An id that is null has no decimal text: its row is never changed.
+    harmed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    changed = F.when(harmed, F.translate("text", letters, letters.lower()))
+    found = merkle.manifest(
+        table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], changed=changed
+    )
+    again = merkle.folded(F.coalesce("now_leaf", "leaf"), F.col("path"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        again.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, present = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repaired(rows, present=present)
+
+
+ORACLES["op11_line_rules"] = """
+WITH texts AS (
+  SELECT row_number() OVER () AS row_no, doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT row_no, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols FROM texts),
+windows AS (
+  SELECT row_no, i, [words[i], words[i + 1], words[i + 2]] AS span
+  FROM (SELECT row_no, words, unnest(range(1, len(words) - 1)) AS i FROM words WHERE len(words) >= 3)),
+twice AS (
+  SELECT row_no, i FROM (SELECT row_no, i, count(*) OVER (PARTITION BY row_no, span) AS n FROM windows) WHERE n > 1),
+covered AS (
+  SELECT row_no, count(DISTINCT i + k) AS n_repeat_words
+  FROM twice CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) GROUP BY row_no),
+lines AS (
+  SELECT row_no, line, trim(regexp_replace(regexp_replace(
+      translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'),
+      '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS normal
+  FROM (SELECT row_no, unnest(string_split(text, chr(10))) AS line FROM texts)),
+full_lines AS (
+  SELECT l.row_no, source, text, line, normal, len(string_split(normal, ' ')) AS n
+  FROM lines l JOIN texts t ON l.row_no = t.row_no WHERE normal <> ''),
+repeated AS (
+  SELECT row_no, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_lines GROUP BY row_no),
+hosts AS (SELECT source, count(DISTINCT text) AS host_documents FROM texts GROUP BY source),
+often AS (
+  SELECT source, normal, count(DISTINCT text) AS documents FROM full_lines GROUP BY source, normal
+  HAVING count(DISTINCT text) > 10),
+frequent AS (
+  SELECT o.source, normal FROM often o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source
+  WHERE documents > CAST(0.02 AS DOUBLE) * host_documents),
+gone AS (
+  SELECT row_no, CAST(sum(n) AS BIGINT) AS n_removed_words FROM full_lines f
+  JOIN frequent q ON f.source IS NOT DISTINCT FROM q.source AND f.normal = q.normal GROUP BY row_no),
+found AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    CAST(n_symbols AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(n_removed_words, 0) AS n_removed_words
+  FROM texts JOIN words USING (row_no) LEFT JOIN repeated USING (row_no) LEFT JOIN covered USING (row_no)
+  LEFT JOIN gone USING (row_no)),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM found)
+SELECT *, NOT base_failed AND n_removed_words <= 0.5 * n_words AS kept FROM judged
+"""
