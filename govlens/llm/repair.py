@@ -1,9 +1,10 @@
 """Repair of conversations whose roles no longer alternate: the cheapest edits, found by branch and bound.
 
 A repaired conversation has role initials ``(s?(ua)+)?``. Depth-first search over (rows consumed, state) with an explicit
-stack: a node is cut when its cost and the least cost of the rows left exceed the incumbent, or when a cheaper prefix
+stack: a node is cut when its cost and the suffix bound of its state exceed the incumbent, or when a cheaper prefix
 (ties: the smaller audit) has reached the same node before. The search ends when the stack is empty, so the incumbent is
-then proved best. What an edit may do depends on the state only, so the best edits of a long conversation follow from
+then proved best. Bounds count for each state what the rows left cost at least; without them long conversations would
+be searched again after each better prefix. What an edit may do depends on the state only, so the best edits of a long conversation follow from
 those of its segments: each is searched from every state, and a fold over the segments keeps the best prefix per state.
 """
 
@@ -42,6 +43,8 @@ LEGAL = {"su", "ua", "au"}
 SPACE = " \t\n\v\f\r"
 # Rows and bytes of a conversation that one task takes as a whole, and rows of a segment of longer ones.
 ROWS, BYTES, SEGMENT = 4_096, 16 << 20, 32
+# Rows up to which the edits of a conversation are remembered for others with the same roles and faults.
+REMEMBERED = 16
 # Rows of a conversation whose segments one task searches.
 BLOCK = SEGMENT * 512
 
@@ -50,49 +53,72 @@ Best = tuple[int, str]
 
 def _moves(state: int, row: str) -> list[tuple[int, str, int, int]]:
     """(cost, edit, next state, rows consumed). A row is its role's initial and its fault."""
-    initial, fault = row[0], row[1]
+    initial, fault = row
     moves = [(DELETE_COST, DELETE, state, 1), (INSERT_COST, INSERT, NEXT[state], 0)]
     if fault not in (BLANK, DUPLICATE):
         extra = TRUNCATED_COST if fault == TRUNCATED else 0
         moves.append((REROLE_COST + extra, REROLE, NEXT[state], 1))
         if (state, initial) in KEPT:
             moves.append((extra, KEEP, KEPT[state, initial], 1))
-    return sorted(moves, reverse=True)  # the cheapest is pushed last and searched first
+    return moves
 
 
-@lru_cache(maxsize=1 << 16)
-def search(rows: tuple[str, ...], start: int = START, whole: bool = True) -> dict[int, Best]:
-    """The least (cost, audit) of ``rows`` from a state.
+MOVES = {(s, i + f): _moves(s, i + f) for s in CLOSING for i in "sua-" for f in (BLANK, DUPLICATE, TRUNCATED, SOUND)}
 
-    With ``whole`` of all ends of a conversation, under key START; else per state reached, before any closing edits.
+
+def suffix_bounds(codes: str, goal: int | None) -> list[list[float]]:
+    """Per rows consumed and state: what the rows left cost at least, up to the end or to the state ``goal``."""
+    none = float("inf")
+    if goal is None:
+        bounds = [[INSERT_COST * len(CLOSING[s]) for s in CLOSING]]
+    else:
+        bounds = [[0 if s == goal else none for s in CLOSING]]
+    for i in range(len(codes) - 2, -1, -2):
+        after, row = bounds[-1], codes[i : i + 2]
+        here = [min(c + after[to] for c, _, to, consumed in MOVES[s, row] if consumed) for s in CLOSING]
+        for _ in CLOSING:  # insertions lead from state to state
+            here = [min(here[s], INSERT_COST + here[NEXT[s]]) for s in CLOSING]
+        bounds.append(here)
+    return bounds[::-1]
+
+
+def search(codes: str, start: int = START, goal: int | None = None) -> Best | None:
+    """The least (cost, audit) of rows (two letters each: initial and fault) from a state, closing edits included.
+
+    With ``goal`` the search ends in that state, before any closing edits; None if it can't be reached.
     """
-    least = [0] * (len(rows) + 1)
-    for i in range(len(rows) - 1, -1, -1):
-        fault = rows[i][1]
-        least[i] = least[i + 1] + (DELETE_COST if fault in (BLANK, DUPLICATE) else TRUNCATED_COST if fault == TRUNCATED else 0)
-    goals = 1 if whole else len(CLOSING)
-    incumbents: dict[int, Best] = {}
+    n, least = len(codes) // 2, suffix_bounds(codes, goal)
+    incumbent: Best | None = None
     reached: dict[tuple[int, int], Best] = {}
     stack: list[tuple[int, int, int, str]] = [(0, start, 0, "")]
     while stack:
         i, state, cost, audit = stack.pop()
+        bound = cost + least[i][state]
+        if bound == float("inf"):
+            continue
+        if incumbent is not None and (bound, audit) > (incumbent[0], incumbent[1][: len(audit)]):
+            continue
         before = reached.get((i, state))
         if before is not None and before <= (cost, audit):
             continue
         reached[i, state] = (cost, audit)
-        bound = cost + least[i]
-        if len(incumbents) == goals and all((bound, audit) > (c, a[: len(audit)]) for c, a in incumbents.values()):
+        if i == n:
+            found = (cost, audit) if goal is not None else (bound, audit + CLOSING[state])
+            if incumbent is None or found < incumbent:
+                incumbent = found
             continue
-        if i == len(rows):
-            end = CLOSING[state] if whole else ""
-            found = (cost + INSERT_COST * len(end), audit + end)
-            goal = START if whole else state
-            if goal not in incumbents or found < incumbents[goal]:
-                incumbents[goal] = found
-            continue
-        for price, edit, to, consumed in _moves(state, rows[i]):
-            stack.append((i + consumed, to, cost + price, audit + edit))
-    return incumbents
+        moves = [
+            (price + least[i + used][to], edit, price, to, used)
+            for price, edit, to, used in MOVES[state, codes[2 * i : 2 * i + 2]]
+        ]
+        moves.sort(reverse=True)  # the most promising is pushed last and searched first
+        for _, edit, price, to, used in moves:
+            stack.append((i + used, to, cost + price, audit + edit))
+    return incumbent
+
+
+# Most conversations are short and alike in roles and faults.
+remembered = lru_cache(maxsize=1 << 16)(search)
 
 
 def fold(segments: Iterable[dict[int, dict[int, Best]]]) -> Best:
@@ -130,6 +156,10 @@ def fault_of(text: str, seen: bool) -> str:
     return DUPLICATE if seen else SOUND if end[-1] in ".!?" else TRUNCATED
 
 
+def _code(role: str, fault: str) -> str:
+    return (role[:1] if role[:1] in ("s", "u", "a") else "-") + fault
+
+
 def applied(rows: Iterable[tuple[str, str]], audit: str) -> Iterator[tuple[str, str]]:
     """(role, text) of the repaired conversation."""
     state, rest = START, iter(rows)
@@ -220,9 +250,9 @@ def _short(rows: Iterator[dict]) -> dict:
         fault = fault_of(text, (role, text) in seen)
         seen.add((role, text))
         counts.row(row["turn"], role[:1], fault)
-        codes.append((role[:1] if role[:1] in ("s", "u", "a") else "-") + fault)
+        codes.append(_code(role, fault))
         kept.append((role, text))
-    cost, audit = search(tuple(codes))[START]
+    cost, audit = (remembered if len(codes) <= REMEMBERED else search)("".join(codes))
     digest = Digest()
     for role, text in applied(kept, audit):
         digest.add(role, text)
@@ -244,11 +274,12 @@ def _segment(rows: Iterator[dict]) -> dict:
         role, text = row["role"], row["text"]
         fault = fault_of(text, bool(row["seen"]))
         counts.row(row["turn"], role[:1], fault)
-        codes.append((role[:1] if role[:1] in ("s", "u", "a") else "-") + fault)
+        codes.append(_code(role, fault))
         out.setdefault("key", row["key"])
         out.setdefault("id", row["id"])
         out.setdefault("segment", row["segment"])
-    best = [(s, e, *found) for s in CLOSING for e, found in search(tuple(codes), s, whole=False).items()]
+    searched = [(s, e, search("".join(codes), s, e)) for s in CLOSING for e in CLOSING]
+    best = [(s, e, *found) for s, e, found in searched if found is not None]
     first, last = counts.initials
     return out | {
         "numbers": [getattr(counts, n) for n in Counts.NAMES], "first": first, "last": last,

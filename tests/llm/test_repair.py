@@ -50,7 +50,7 @@ def plain(codes):
 def test_search_equals_all_audits(seed):
     draw = random.Random(seed)
     codes = tuple(draw.choice("suuaa-") + draw.choice("----tbd") for _ in range(draw.randint(0, 4)))
-    assert repair.search(codes)[repair.START] == plain(codes)
+    assert repair.search("".join(codes)) == plain(codes)
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -58,15 +58,31 @@ def test_segments_equal_the_whole(seed):
     draw = random.Random(seed)
     codes = [draw.choice("suuaa-") + draw.choice("-----tbd") for _ in range(draw.randint(1, 60))]
     size = draw.randint(1, 7)
-    segments = [
-        {s: repair.search(tuple(codes[a : a + size]), s, False) for s in range(4)} for a in range(0, len(codes), size)
-    ]
-    assert repair.fold(segments) == repair.search(tuple(codes))[repair.START]
+    segments = []
+    for a in range(0, len(codes), size):
+        found = {(s, e): repair.search("".join(codes[a : a + size]), s, e) for s in range(4) for e in range(4)}
+        segments.append({s: {e: found[s, e] for e in range(4) if found[s, e] is not None} for s in range(4)})
+    assert repair.fold(segments) == repair.search("".join(codes))
 
 
-def test_bounds_keep_long_searches_short():
-    codes = tuple(["u-", "a-"] * 1_000)
-    assert repair.search(codes) == {repair.START: (0, "K" * 2_000)}
+@pytest.mark.parametrize("seed", range(5))
+def test_long_searches_stay_linear(seed, monkeypatch):
+    """Each (rows, state) is opened a few times at most, whatever the faults."""
+    draw = random.Random(seed)
+    codes = "".join(draw.choice("suuaa-") + draw.choice("---tbd") for _ in range(2_000))
+    opened = []
+
+    class Counted(dict):
+        def __getitem__(self, key):
+            opened.append(key)
+            return super().__getitem__(key)
+
+    bounds = repair.suffix_bounds(codes, None)
+    monkeypatch.setattr(repair, "suffix_bounds", lambda *_: bounds)
+    monkeypatch.setattr(repair, "MOVES", Counted(repair.MOVES))
+    cost, audit = repair.search(codes)
+    assert cost == bounds[0][repair.START] and sum(x != "I" for x in audit) == 2_000
+    assert len(opened) < 5 * 2_000
 
 
 def plain_result(rows):
@@ -83,7 +99,7 @@ def plain_result(rows):
     illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
     turns = {r[0] for r in rows if r[0] is not None}
     gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
-    cost, audit = repair.search(tuple(codes))[repair.START]
+    cost, audit = repair.search("".join(codes))
     out, at, last = [], 0, ""
     for edit in audit:
         role, text = ("", "") if edit == "I" else rows[at][1:]
