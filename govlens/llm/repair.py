@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
@@ -117,8 +116,17 @@ def search(codes: str, start: int = START, goal: int | None = None) -> Best | No
     return incumbent
 
 
-# Most conversations are short and alike in roles and faults.
-remembered = lru_cache(maxsize=1 << 16)(search)
+# Most conversations are short and alike in roles and faults: what a task has found of such.
+FOUND: dict[str, Best] = {}
+
+
+def remembered(codes: str) -> Best:
+    found = FOUND.get(codes)
+    if found is None:
+        found = search(codes)
+        if len(FOUND) < 1 << 16:
+            FOUND[codes] = found
+    return found
 
 
 def fold(segments: Iterable[dict[int, dict[int, Best]]]) -> Best:
