@@ -21,8 +21,10 @@ ORDER = 5
 START, END = 0xFE, 0xFF
 SYMBOLS = 255
 # A larger chunk repeats more contexts, so less is sent; positions are handled in slices.
-TEXT_PER_CHUNK = 16 << 20
+TEXT_PER_CHUNK = 8 << 20
 SLICE = 1 << 20
+# Keys of a shard whose probabilities are worked out at once; all keys of a byte pair stay together.
+KEYS_AT_ONCE = 1 << 18
 
 U64 = np.uint64
 # A chunk's own counts.
@@ -155,12 +157,30 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, o
     return out
 
 
+def by_pairs(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int, at_once: int = 0) -> np.ndarray:
+    """``log_probabilities`` of many keys, some at a time: a piece ends between two byte pairs, so it cuts no context."""
+    out = np.empty(len(keys), np.float32)
+    a = 0
+    while a < len(keys):
+        b = min(len(keys), a + (at_once or KEYS_AT_ONCE))
+        if b < len(keys):
+            edge = (keys[b] >> U64(48)) << U64(48)
+            before = int(np.searchsorted(keys, edge))
+            if before > a:
+                b = before
+            else:  # one pair has more keys than that: take all of it
+                b = len(keys) if edge >> U64(48) == U64(0xFFFF) else int(np.searchsorted(keys, edge + (U64(1) << U64(48))))
+        out[a:b] = log_probabilities(keys[a:b], counts[a:b], pairs, order)
+        a = b
+    return out
+
+
 class Lookup:
     """Values of sorted keys: a table with one place per key, and a binary search for those that share a place."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.keys, self.values = keys, values
-        self.shift = U64(64 - max(1, (4 * len(keys)).bit_length()))
+        self.shift = U64(64 - max(1, len(keys).bit_length() + 1))
         self.table = np.full(1 << (64 - int(self.shift)), U64(0), U64)
         self.of = np.zeros(len(self.table), values.dtype)
         place = self._place(keys)
@@ -305,11 +325,13 @@ def language_scores(
             replies, tokens, distinct = _count_words(table)
         else:
             sent = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
-            counts = np.concatenate([np.frombuffer(x, COUNT) for x in table.column("more").to_pylist()])
-            keys, group = np.unique(np.concatenate(sent), return_inverse=True)
-            value = log_probabilities(keys, np.bincount(group, counts), shared.value, order).astype(np.float32)[group]
-            cuts = np.cumsum([0, *map(len, sent)])
-            replies = [value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            seen = [np.frombuffer(x, COUNT) for x in table.column("more").to_pylist()]
+            keys = np.unique(np.concatenate(sent))
+            total = np.zeros(len(keys), np.int64)
+            for k, n in zip(sent, seen, strict=True):  # the keys of one chunk are distinct
+                total[np.searchsorted(keys, k)] += n
+            value = by_pairs(keys, total, shared.value, order)
+            replies = [value[np.searchsorted(keys, k)].tobytes() for k in sent]
         out = C.answered_table(table, replies)
         first = [1] + [0] * (out.num_rows - 1)
         out = out.append_column("tokens", pa.array([tokens * x for x in first], pa.int64()))

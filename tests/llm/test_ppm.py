@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,14 @@ def test_copies_of_training_texts_are_cheap(spark, docs):
     df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
     score = {r.doc_id: r.score for r in ppm.language_scores(df, F.col("train")).collect()}
     assert score[1] == score[2] > score[3] / 3
+
+
+def test_pieces_of_a_shard_equal_the_whole():
+    """Pieces end between byte pairs; a pair with more keys than a piece stays whole."""
+    draw = np.random.default_rng(5)
+    text = bytes(draw.choice(list(b"aaab "), 4_000).tolist()) + bytes(draw.integers(97, 123, 4_000).tolist())
+    keys, counts = ppm.gathered(pa.chunked_array([[text.decode()]]), np.array([True]), 4)
+    pairs = draw.integers(0, 9, (256, 256))
+    whole = ppm.log_probabilities(keys, counts, pairs, 4).astype(np.float32)
+    for at_once in (1, 7, 300, len(keys), len(keys) + 1):
+        assert np.array_equal(ppm.by_pairs(keys, counts, pairs, 4, at_once), whole)
