@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from govlens.session import scratch_dir
 
 # Pieces a hot key is spread over when a dimension is too large to broadcast.
 SALTS = 32
+# Days that the search for the latest rows goes back before it reads everything.
+LONGEST = 1 << 14
 
 
 def moment(as_of: datetime | str | None) -> Column:
@@ -80,6 +82,27 @@ def identified(df: DataFrame, name: str, batch_id: str, *content: str | Column)
     return equal.withColumn("_n", number).withColumn(name, F.sha2(F.concat_ws(":", "_same", "_n"), 256)).drop("_same", "_n")
 
 
+def newest_days(found: DataFrame, wanted: int, as_of: datetime | str | None = None) -> DataFrame:
+    """Rows of the newest days that hold ``wanted`` rows, from a table with day partitions; all rows if there are fewer.
+
+    Goes back from ``as_of`` by 1, 2, 4, ... days until enough rows are found. Each step takes at most the rows that are
+    still missing, from the days it adds, and reads no other partition. What lies after ``as_of`` counts as new. Rows
+    without a day come last, and only where all days together have too few rows.
+    """
+    day = found.sparkSession.range(1).select(F.to_date(moment(as_of))).first()[0]
+    end, step = None, 1
+    while step <= LONGEST:
+        start = day - timedelta(days=step)
+        band = found.filter(F.col("event_date") > F.lit(start))
+        if end is not None:
+            band = band.filter(F.col("event_date") <= F.lit(end))
+        wanted -= len(band.select(F.lit(1)).take(wanted))
+        if wanted <= 0:
+            return found.filter(F.col("event_date") > F.lit(start))
+        end, step = start, 2 * step
+    return found
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlens.functions.columns import json_or_null
-from govlens.operators.common import identified, last_days, moment, only
+from govlens.operators.common import identified, last_days, moment, newest_days, only
 from govlens.operators.hygiene import apply_defaults, check_range
 from govlens.schemas import FEEDBACK
 
@@ -74,13 +74,16 @@ def feedback_of_agents(
     )
 
 
-def recent_suggestions(feedback: DataFrame, agent_id: str | None = None, limit: int = 20) -> DataFrame:
-    """The latest feedback with a suggestion."""
+def recent_suggestions(
+    feedback: DataFrame, agent_id: str | None = None, limit: int = 20, as_of: datetime | str | None = None
+) -> DataFrame:
+    """The latest feedback with a suggestion; of a table with day partitions only the newest days that hold enough."""
     check_range("limit", limit, 1, 100)
+    found = only(feedback, agent_id=agent_id).filter(F.col("suggestion").isNotNull())
+    if "event_date" in feedback.columns:
+        found = newest_days(found, limit, as_of)
     return (
-        only(feedback, agent_id=agent_id)
-        .filter(F.col("suggestion").isNotNull())
-        .select("feedback_id", "request_id", "agent_id", "user_id", "rating", "comment", "suggestion", "timestamp")
+        found.select("feedback_id", "request_id", "agent_id", "user_id", "rating", "comment", "suggestion", "timestamp")
         .orderBy(F.desc("timestamp"), "feedback_id")
         .limit(limit)
     )

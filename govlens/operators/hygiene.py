@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from govlens import schemas as S
 from govlens.functions.columns import labels_where, strings
@@ -81,8 +82,13 @@ def split_valid(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     return good, checked.filter(F.size("violations") > 0)
 
 
-def dead_letters(rejected: DataFrame) -> DataFrame:
-    """The seven-field summary that is kept of a rejected audit row, with the reason."""
+def payload(rejected: DataFrame) -> Column:
+    """All columns of a rejected row but the reasons, with their types, as one VARIANT."""
+    return F.to_variant_object(F.struct(*[c for c in rejected.columns if c != "violations"])).alias("payload")
+
+
+def dead_letters(rejected: DataFrame, whole: bool = False) -> DataFrame:
+    """The seven-field summary that is kept of a rejected audit row, with the reason; ``whole`` adds the row itself."""
     return rejected.select(
         "request_id",
         "timestamp",
@@ -92,6 +98,14 @@ def dead_letters(rejected: DataFrame) -> DataFrame:
         "has_pii",
         "processing_time_ms",
         "violations",
+        *([payload(rejected)] if whole else []),
+    )
+
+
+def restored(letters: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rejected rows of dead letters, with the columns of ``schema``; a field that the row did not have is NULL."""
+    return letters.select(
+        *[F.try_variant_get("payload", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in schema.fields]
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from govlens.functions.columns import json_strings
-from govlens.operators.common import last_days, period
+from govlens.operators.common import last_days, newest_days, period
 from govlens.operators.hygiene import check_range
 
 AsOf = datetime | str | None
@@ -177,17 +177,20 @@ def latency_percentiles(audit: DataFrame, as_of: AsOf = None, days: int = 30, ac
     )
 
 
-def recent_pii_incidents(audit: DataFrame, top: int = 100) -> DataFrame:
+def recent_pii_incidents(audit: DataFrame, top: int = 100, as_of: AsOf = None) -> DataFrame:
     """The latest rows with personal data.
 
-    The rows are chosen on their narrow columns first. That list of at most ``top`` keys is broadcast back to the
+    Where the table has day partitions, only as many of the newest days are read as hold ``top`` such rows. The rows are chosen on their narrow columns first. That list of at most ``top`` keys is broadcast back to the
     table, so the long text columns are read for the days of the chosen rows only.
     """
     # Written as a comparison: Spark prunes partitions at run time only when the other side has a comparison filter.
+    check_range("top", top, 1, 10_000)
     found = audit.filter(F.col("has_pii").eqNullSafe(True))
+    if "event_date" in audit.columns:
+        found = newest_days(found, top, as_of)
     key = ["event_date", "timestamp", "request_id"] if "event_date" in audit.columns else ["timestamp", "request_id"]
     latest = [F.desc("timestamp"), F.asc("request_id")]
-    newest = found.select(*key).orderBy(*latest).limit(check_range("top", top, 1, 10_000))
+    newest = found.select(*key).orderBy(*latest).limit(top)
     return (
         found.join(F.broadcast(newest.distinct()), key, "left_semi")
         .select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from govlens.functions.columns import strings
 from govlens.operators.common import last_days
 from govlens.operators.guardrails import detect_pii
-from govlens.operators.hygiene import apply_defaults, broken_constraints, constraints, missing_fields
+from govlens.operators.hygiene import apply_defaults, broken_constraints, constraints, missing_fields, payload
 from govlens.operators.policy import audit_rows, score
 from govlens.operators.usage import department_leaderboard
 from govlens.sources.tables import EVENT_DATE, append, dead_letter_path, write_batch
@@ -42,8 +42,8 @@ def _split(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rejected_summary(rejected: DataFrame) -> DataFrame:
-    """What is kept of a rejected request."""
-    return rejected.select("request_id", "timestamp", "agent_id", "violations")
+    """What is kept of a rejected request: a summary, the reasons, and the request itself."""
+    return rejected.select("request_id", "timestamp", "agent_id", "violations", payload(rejected))
 
 
 def screen_to_table(requests: DataFrame, root: str, batch_id: str | None = None, rebalance: bool = True) -> None:

@@ -138,6 +138,14 @@ ACCESS = {
     "ts": "CAST(ts AS TIMESTAMP)",
 }
 
+# Keys are revoked and restored by what happens to their users.
+SWITCHES = {
+    "key_id": "concat('key-', user_id * 7 + 5)",
+    "at": "CAST(ts AS TIMESTAMP)",
+    "is_active": "event_type = 'signup'",
+}
+SWITCHED = "(event_type = 'error' AND event_id % 3 = 0) OR (event_type = 'signup' AND event_id % 2 = 0)"
+
 PROMPTS = {
     "request_id": "concat('doc-', doc_id)",
     "prompt": "text",
@@ -219,6 +227,10 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(raw(spark, sf_dir, "events"), ACCESS)
 
 
+def key_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(raw(spark, sf_dir, "events").filter(SWITCHED), SWITCHES)
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as prompts. The table is one file with one row group, so its rows are spread over the cores."""
     return spread(derive(raw(spark, sf_dir, "documents"), PROMPTS), "request_id")
@@ -257,6 +269,14 @@ DUCKDB = {
     ),
     "created_keys": cte("created_keys", API_KEYS, "customer"),
     "access_log": cte("access_log", ACCESS, "events"),
+    "key_switches": cte("key_switches", SWITCHES, f"events WHERE {SWITCHED}"),
+    "key_changes": (
+        "once AS (SELECT key_id, \"at\", bool_and(is_active) AS is_active FROM key_switches GROUP BY 1, 2), "
+        "key_changes AS (SELECT plain_key, key_id, agent_id, created_at AS valid_from, expires_at, "
+        "is_active OR key_id IN (SELECT key_id FROM once) AS is_active FROM created_keys "
+        "UNION ALL SELECT plain_key, key_id, agent_id, \"at\", expires_at, o.is_active FROM created_keys k "
+        "JOIN once o USING (key_id) WHERE \"at\" >= created_at)"
+    ),
     "prompts": cte("prompts", PROMPTS, "documents"),
 }
 

@@ -12,9 +12,13 @@ from pyspark.sql import types as T
 
 from govlens.operators.hygiene import dead_letters, split_valid
 from govlens.schemas import TABLES, Table
+from govlens.sources import batches
 
 EVENT_DATE = "event_date"
 BATCH_ID = "batch_id"
+# What the record of a batch without days names, if it has rows.
+WHOLE = "all"
+COMPACTED = "compacted"
 
 
 def path_of(root: str, name: str) -> str:
@@ -68,36 +72,52 @@ def with_event_date(df: DataFrame, name: str) -> DataFrame:
     return out if table.event_time is None else out.withColumn(EVENT_DATE, F.to_date(table.event_time))
 
 
-def _partitions(spark: SparkSession, path: str, batch_id: str, by: list[str] | None) -> dict[str, tuple]:
-    """A batch's partition folders, each with its files."""
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    pattern = Path("/".join([path, *[f"{name}=*" for name in by or []], f"{BATCH_ID}={batch_id}"]))
-    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    folders = fs.globStatus(pattern) or []
+def _folder(spark: SparkSession, path: str, batch_id: str, day: str | None) -> str:
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(batch_id)
+    return "/".join([path, *([] if day is None else [f"{EVENT_DATE}={day}"]), f"{BATCH_ID}={name}"])
+
+
+def _days_on_disk(spark: SparkSession, path: str, batch_id: str) -> set[str]:
+    """The days of a batch without a record that can be relied on: the only case in which all days are listed."""
     return {
-        str(f.getPath()): tuple(sorted(str(x.getPath()) for x in fs.listStatus(f.getPath()))) for f in folders
+        name.removeprefix(f"{EVENT_DATE}=")
+        for name in batches.names(spark, path)
+        if name.startswith(f"{EVENT_DATE}=") and batches.exists(spark, _folder(spark, path, batch_id, name.partition("=")[2]))
     }
 
 
 def write_batch(df: DataFrame, path: str, batch_id: str, by: list[str] | None = None) -> None:
     """Write rows into partitions (by ..., batch_id) and replace all that the same batch wrote before.
 
-    Partitions that the batch writes again are replaced by the write; those that it no longer has are dropped after it.
+    ``by`` is nothing or the day. The days are observed while the rows are written, and kept in the batch's record (see
+    ``batches``). Partitions that the batch writes again are replaced by the write; those that its last record names and
+    that it no longer has are dropped after it. No other folder is looked at.
     """
+    if by not in (None, [], [EVENT_DATE]):
+        raise ValueError(f"batches are written by {EVENT_DATE} or as a whole, not by {by}")
     spark = df.sparkSession
-    before = _partitions(spark, path, batch_id, by)
+    last = batches.known(spark, path, batch_id)
+    if last is not None:
+        before = set(last.days)
+    elif batches.written_before(spark, path, batch_id) or not batches.exists(spark, f"{path}/{batches.FOLDER}"):
+        before = _days_on_disk(spark, path, batch_id) if by else {WHOLE}
+    else:
+        before = set()
+    batches.begin(spark, path, batch_id)
+    seen = Observation()
+    values = F.collect_set(F.coalesce(F.col(by[0]).cast("string"), F.lit(batches.NO_DAY)) if by else F.lit(WHOLE))
     (
-        df.withColumn(BATCH_ID, F.lit(batch_id))
+        df.observe(seen, values.alias("days"))
+        .withColumn(BATCH_ID, F.lit(batch_id))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*(by or []), BATCH_ID)
         .parquet(path)
     )
-    after = _partitions(spark, path, batch_id, by) if before else {}
-    for folder, files in before.items():
-        if after.get(folder) == files:
-            target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    after = sorted(seen.get["days"] or [])
+    for day in sorted(before - set(after)):
+        batches.delete(spark, _folder(spark, path, batch_id, day if by else None))
+    batches.record(spark, path, batch_id, batches.Record(tuple(after)))
 
 
 def append(
@@ -122,21 +142,35 @@ def append(
 def compact(spark: SparkSession, root: str, name: str, before: str) -> None:
     """Merge the batches of a fact table's days before ``before`` into one batch a day, with few large files.
 
-    The days must be closed: no batch of theirs may run at the same time or again later. Their rows are first copied
-    whole to a folder beside the tables, then replaced. A run that was interrupted is taken up by the next one, which
-    finds the complete copy.
+    The days must be closed: no batch of theirs may run at the same time or again later. Their rows are first written
+    whole to a hidden folder of the table, which no reader sees. Then each day's folder is put aside and the merged one
+    takes its place: two moves, between which nothing is written, so a reader finds either all old batches of a day or the
+    merged one. The old ones go last. A run that was interrupted is taken up by the next one where it stopped.
     """
-    path, copy = path_of(root, name), f"{root.rstrip('/')}/compaction/{name}"
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = Path(copy).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(Path(f"{copy}/_SUCCESS")):
+    path = path_of(root, name)
+    staged, old = f"{path}/_compaction", f"{path}/_replaced"
+    if batches.known(spark, staged, COMPACTED) is None:
+        batches.delete(spark, staged)
         closed = read_table(spark, root, name).filter(F.col(EVENT_DATE) < F.lit(before).cast("date"))
-        closed.drop(BATCH_ID).hint("rebalance", EVENT_DATE).write.mode("overwrite").parquet(copy)
-    rows = spark.read.parquet(copy)
-    for row in rows.select(EVENT_DATE).distinct().collect():  # one per day
-        fs.delete(Path(f"{path}/{EVENT_DATE}={row[0]}"), True)
-    write_batch(rows.hint("rebalance", EVENT_DATE), path, "compacted", [EVENT_DATE])
-    fs.delete(Path(copy), True)
+        write_batch(closed.drop(BATCH_ID).hint("rebalance", EVENT_DATE), staged, COMPACTED, [EVENT_DATE])
+    merged = batches.known(spark, staged, COMPACTED)
+    for day in [n for n in batches.names(spark, staged) if n.startswith(f"{EVENT_DATE}=")]:
+        if batches.exists(spark, f"{path}/{day}"):
+            batches.delete(spark, f"{old}/{day}")
+            batches.rename(spark, f"{path}/{day}", f"{old}/{day}")
+        batches.rename(spark, f"{staged}/{day}", f"{path}/{day}")
+    done = set(merged.days)
+    for batch, record in batches.records(spark, path).items():
+        left = tuple(day for day in record.days if day not in done)
+        if batch == COMPACTED:
+            done |= set(left)
+        elif not left:
+            batches.forget(spark, path, batch)
+        elif left != record.days:
+            batches.record(spark, path, batch, batches.Record(left, record.run))
+    batches.record(spark, path, COMPACTED, batches.Record(tuple(sorted(done)), merged.run))
+    batches.delete(spark, old)
+    batches.delete(spark, staged)
 
 
 def append_audit(rows: DataFrame, root: str, batch_id: str | None = None) -> None:
@@ -144,7 +178,7 @@ def append_audit(rows: DataFrame, root: str, batch_id: str | None = None) -> Non
     batch_id = batch_id or uuid.uuid4().hex
     good, rejected = split_valid(rows, "audit_logs")
     append(good, root, "audit_logs", batch_id)
-    write_batch(dead_letters(rejected), dead_letter_path(root, "audit_logs"), batch_id)
+    write_batch(dead_letters(rejected, whole=True), dead_letter_path(root, "audit_logs"), batch_id)
 
 
 def dead_letter_path(root: str, name: str) -> str:

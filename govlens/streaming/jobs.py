@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -12,11 +12,13 @@ from govlens.operators.access import classify_access
 from govlens.operators.common import spread
 from govlens.operators.conversations import session_counters
 from govlens.plans.screening import rejected_summary, screen
-from govlens.sources.tables import append, dead_letter_path, write_batch
+from govlens.sources import batches
+from govlens.sources.tables import BATCH_ID, COMPACTED, append, dead_letter_path, write_batch
 
 __all__ = [
     "abandonments",
     "activity_sessions",
+    "compact_changes",
     "current",
     "daily_counts",
     "deduplicated",
@@ -124,3 +126,20 @@ def current(changes: DataFrame, key: str, values: list[str]) -> DataFrame:
     """The newest state per key from the files of ``run_update``."""
     newest = F.max(F.struct("version", *values)).alias("_newest")
     return changes.groupBy(key).agg(newest).select(key, *[f"_newest.{v}" for v in values])
+
+
+def compact_changes(spark: SparkSession, path: str, key: str) -> None:
+    """Keep only the newest row of each key among the batches of ``run_update`` that have ended.
+
+    The kept rows are written as one more batch before the others go, and they carry their version: a reader that sees
+    both finds the same newest rows, and one that sees either misses nothing. Run it between runs of the stream, or at
+    any time for batches that are done: batches that are written meanwhile stay.
+    """
+    done = batches.records(spark, path)
+    rows = spark.read.parquet(path).filter(F.col(BATCH_ID).isin(sorted(done))).drop(BATCH_ID)
+    values = [c for c in rows.columns if c != key]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*values), "version").alias("_newest"))
+    write_batch(newest.select(key, "_newest.*").select(*rows.columns), path, f"{COMPACTED}-{time.time_ns()}")
+    for batch in done:
+        batches.delete(spark, f"{path}/{BATCH_ID}={batch}")
+        batches.forget(spark, path, batch)
