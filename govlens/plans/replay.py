@@ -20,9 +20,10 @@ Mend = Callable[[DataFrame], DataFrame]
 # Batches that a replay writes: the mended rows of a batch, and those that are still rejected.
 REPLAY = "replay-"
 
-REQUEST = T.StructType.fromDDL(
-    "request_id string, timestamp timestamp, agent_id string, user_id string, department string, session_id string, "
-    "prompt string, guardrails array<string>"
+_FIELDS = ["request_id", "timestamp", "agent_id", "user_id", "department", "session_id", "prompt"]
+REQUEST = T.StructType(
+    [T.StructField(f, T.TimestampType() if f == "timestamp" else T.StringType()) for f in _FIELDS]
+    + [T.StructField("guardrails", T.ArrayType(T.StringType()))]
 )
 
 

@@ -231,6 +231,11 @@ def key_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(raw(spark, sf_dir, "events").filter(SWITCHED), SWITCHES)
 
 
+def switched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that are revoked or restored at some time."""
+    return key_switches(spark, sf_dir).select("key_id", F.lit(True).alias("switched")).distinct()
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as prompts. The table is one file with one row group, so its rows are spread over the cores."""
     return spread(derive(raw(spark, sf_dir, "documents"), PROMPTS), "request_id")

@@ -7,4 +7,14 @@ __all__ = ["ORACLES", "QUERIES", "load"]
 
 def load() -> None:
     """Import the modules that register queries."""
-    from workload import access, conversations, detectors, policies, records, streams, usage, verdicts  # noqa: F401
+    from workload import (  # noqa: F401
+        access,
+        conversations,
+        detectors,
+        policies,
+        records,
+        rollups,
+        streams,
+        usage,
+        verdicts,
+    )

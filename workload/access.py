@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from govlens.operators import access as A
+from govlens.operators import access_history as H
 from govlens.sources import fixtures as X
 from workload.registry import query, second, sql_second
 
@@ -95,3 +96,51 @@ def revoke_keys(spark, sf_dir):
     blocked = X.audit_logs(spark, sf_dir).filter("status = 'blocked' AND guardrail_type = 'output_guardrail'")
     revoked = blocked.selectExpr("replace(user_id, 'user-', 'key-') AS key_id").dropna()
     return A.revoke_keys(X.api_keys(spark, sf_dir), revoked).select("key_id", "is_active")
+
+
+HISTORY = X.duckdb_with("created_keys", "access_log", "key_switches", "key_changes")
+AS_OF = (
+    HISTORY.rstrip()
+    + """, at_once AS (SELECT * FROM key_changes QUALIFY row_number() OVER (PARTITION BY key_id, valid_from
+  ORDER BY is_active) = 1),
+judged AS (SELECT a.event_id, a.ts, c.key_id, c.agent_id, CASE WHEN c.key_id IS NULL THEN 'unknown'
+  WHEN NOT c.is_active THEN 'inactive' WHEN c.expires_at < a.ts THEN 'expired' ELSE 'valid' END AS status
+  FROM access_log a ASOF LEFT JOIN at_once c ON a.presented_key = c.plain_key AND a.ts >= c.valid_from) """
+)
+JUDGED = """event_id, status, CASE WHEN status = 'valid' THEN key_id END AS key_id,
+  CASE WHEN status = 'valid' THEN agent_id END AS agent_id FROM judged"""
+
+
+def key_changes(spark, sf_dir):
+    return H.key_changes(X.api_keys(spark, sf_dir), X.key_switches(spark, sf_dir))
+
+
+@query(
+    "key_changes",
+    HISTORY
+    + f"""SELECT key_id, agent_id, {sql_second("valid_from")} AS valid_from, {sql_second("expires_at")} AS expires_at,
+  is_active FROM key_changes""",
+)
+def key_history(spark, sf_dir):
+    """Keys made, revoked and restored: one row per change."""
+    changes = key_changes(spark, sf_dir)
+    return changes.select("key_id", "agent_id", second("valid_from").alias("valid_from"), second("expires_at").alias("expires_at"), "is_active")
+
+
+@query("access_as_of", AS_OF + "SELECT " + JUDGED)
+def access_as_of(spark, sf_dir):
+    """Accesses by the state of the key when they happened; keys are revoked and restored in between."""
+    out = H.access_as_of(X.access_log(spark, sf_dir), key_changes(spark, sf_dir))
+    return out.select("event_id", "status", "key_id", "agent_id")
+
+
+@query(
+    "last_used_as_of",
+    AS_OF
+    + f"""SELECT k.key_id, {sql_second("u.at")} AS last_used_at FROM created_keys k LEFT JOIN
+  (SELECT key_id, max(ts) AS at FROM judged WHERE status = 'valid' GROUP BY 1) u ON k.key_id = u.key_id""",
+)
+def last_used_as_of(spark, sf_dir):
+    """Uses that were valid when they happened count, also of keys that were revoked since."""
+    out = H.last_used_as_of(X.api_keys(spark, sf_dir), X.access_log(spark, sf_dir), key_changes(spark, sf_dir))
+    return out.select("key_id", second("last_used_at").alias("last_used_at"))

@@ -9,6 +9,7 @@ from govlens.operators import conversations as M
 from govlens.operators import feedback as FB
 from govlens.operators import hygiene as H
 from govlens.operators import registry as R
+from govlens.plans import replay, screening
 from govlens.plans.screening import screen
 from govlens.plans.training import export_training_data
 from govlens.session import scratch_dir
@@ -339,3 +340,57 @@ def training_export_jsonl(spark, sf_dir):
     path = scratch_dir(spark, "training_export")
     export_training_data(X.conversations(spark, sf_dir), X.messages(spark, sf_dir), path, X.AS_OF)
     return shown_export(spark.read.schema(EXPORT_SCHEMA).json(f"{path}/conversations"))
+
+
+@query(
+    "dead_letter_replay",
+    DIRTY_SQL
+    + f"""SELECT request_id, {sql_second('"timestamp"')} AS at, {sql_day('"timestamp"')} AS event_date,
+  coalesce(agent_id, 'default') AS agent_id, user_id, department, guardrail_type,
+  CASE WHEN coalesce(status, 'unsure') = 'unsure' THEN 'flagged' ELSE status END AS status, prompt_length, has_pii,
+  processing_time_ms, metadata, original_prompt, redacted_prompt FROM dirty""",
+)
+def dead_letter_replay(spark, sf_dir):
+    """Rejected rows are mended in two attempts; all rows end up as if they had been right from the start, once each."""
+    root = scratch_dir(spark, "replay")
+    tables.append_audit(X.derive(X.raw(spark, sf_dir, "events"), DIRTY), root, "load-1")
+    unsure = F.coalesce(F.col("status"), F.lit("unsure")) == "unsure"
+    first = {"agent_id": F.coalesce("agent_id", F.lit("default"))}
+    both = first | {"status": F.when(unsure, "flagged").otherwise(F.col("status"))}
+    for changes in (first, both, both):
+        replay.replay_audit(spark, root, "load-1", lambda rows, changes=changes: rows.withColumns(changes))
+    rows = tables.read_table(spark, root, "audit_logs")
+    return rows.withColumns({"at": second("timestamp"), "event_date": day("event_date")}).drop(
+        "timestamp", "session_id", "model_used", "batch_id"
+    )
+
+
+@query(
+    "request_replay",
+    f"""WITH asked AS (SELECT concat('doc-', doc_id) AS request_id, CASE WHEN doc_id % 4 = 1 THEN NULL ELSE text END AS prompt,
+  {ASKED} AS guardrails FROM documents)
+SELECT 'rejected' AS sink, count(*) AS n, count(DISTINCT request_id) AS n_requests FROM asked WHERE prompt IS NULL
+UNION ALL SELECT 'audit', CAST(sum(CASE WHEN guardrails = 'pii_detection,toxicity' THEN 2 ELSE 1 END) AS BIGINT),
+  count(*) FROM asked WHERE prompt IS NOT NULL""",
+)
+def request_replay(spark, sf_dir):
+    """Requests for guardrails that do not exist come back with the default; those without a prompt stay rejected."""
+    root = scratch_dir(spark, "request_replay")
+    asked = F.split(F.expr(ASKED), ",")
+    incoming = (
+        X.raw(spark, sf_dir, "documents")
+        .withColumn("guardrails", F.when(F.expr(ASKED) == "", F.array().cast("array<string>")).otherwise(asked))
+        .withColumn("prompt", F.expr("CASE WHEN doc_id % 4 = 1 THEN NULL ELSE text END"))
+        .selectExpr("concat('doc-', doc_id) AS request_id", "'agent-1' AS agent_id", "prompt", "guardrails", f"{X.PROMPTS['timestamp']} AS timestamp")
+    )
+    screening.screen_to_table(incoming, root, "load-1")
+    known = F.forall("guardrails", H.known_guardrail) & (F.size("guardrails") > 0)
+    for _ in range(2):
+        replay.replay_requests(
+            spark, root, "load-1", lambda rows: rows.withColumn("guardrails", F.when(known, F.col("guardrails")))
+        )
+    audit = tables.read_table(spark, root, "audit_logs").select(F.lit("audit").alias("sink"), "request_id")
+    rejected = replay.open_letters(spark, root, "requests", "load-1").select(F.lit("rejected").alias("sink"), "request_id")
+    return audit.unionByName(rejected).groupBy("sink").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("request_id").alias("n_requests")
+    )

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from govlens.plans import screening
 from govlens.session import scratch_dir
 from govlens.sources import fixtures as X
 from govlens.sources import tables
-from govlens.streaming import jobs
+from govlens.streaming import jobs, stateful
+from workload.access import AS_OF
 from workload.policies import AUDIT_KINDS
-from workload.registry import day, query, second, sql_day, sql_second
+from workload.registry import ORACLES, day, query, second, sql_day, sql_second
 from workload.texts import injection_cte, pii_cte, sensitive_cte, toxic
 
 AUDIT = X.duckdb_with("audit_logs")
@@ -174,3 +177,70 @@ def stream_key_usage(spark, sf_dir):
     _finish(jobs.run_update(usage, f"{root}/out", f"{root}/checkpoint"))
     latest = jobs.current(spark.read.parquet(f"{root}/out"), "key_id", ["last_used_at"])
     return latest.withColumn("last_used_at", second("last_used_at"))
+
+
+@query(
+    "stream_abandoned_timers",
+    X.duckdb_with("turns")
+    + f"""SELECT session_id, 'abandoned' AS status, count(*) AS n_messages,
+  {sql_second("max(\"timestamp\") + INTERVAL 2 SECOND")} AS ended_at FROM turns GROUP BY 1""",
+)
+def stream_abandoned_timers(spark, sf_dir):
+    """Conversations that get no message for two seconds on the clock: all of them, also the last ones."""
+    root = scratch_dir(spark, "stream_abandoned_timers")
+    arriving = X.derive(X.stream(spark, sf_dir, "conversations").filter("role <> 'system'"), X.MESSAGES)
+    ends = stateful.silent_sessions(arriving, timedelta(seconds=2))
+    stateful.run_while_open(ends, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.schema(ends.schema).parquet(f"{root}/out").withColumn("ended_at", second("ended_at"))
+
+
+@query(
+    "stream_turn_numbers",
+    X.duckdb_with("turns", "messages")
+    + """SELECT session_id, message_id, role, CAST(seq AS BIGINT) AS seq, turn_number FROM messages
+WHERE "timestamp" <= (SELECT max("timestamp") FROM turns) - INTERVAL 1 HOUR""",
+)
+def stream_turn_numbers(spark, sf_dir):
+    """The messages that the watermark has passed."""
+    root = scratch_dir(spark, "stream_turn_numbers")
+    arriving = X.derive(X.stream(spark, sf_dir, "conversations").filter("role <> 'system'"), X.MESSAGES)
+    turns = stateful.streamed_turn_numbers(arriving)
+    _finish(jobs.run_append(turns, f"{root}/out", f"{root}/checkpoint"))
+    return spark.read.schema(turns.schema).parquet(f"{root}/out")
+
+
+@query(
+    "stream_access_as_of",
+    AS_OF
+    + """SELECT CAST(event_id AS VARCHAR) AS event_id, status, CASE WHEN status = 'valid' THEN key_id END AS key_id,
+  CASE WHEN status = 'valid' THEN agent_id END AS agent_id FROM judged
+WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM access_log) - 3600000""",
+)
+def stream_access_as_of(spark, sf_dir):
+    """Accesses and changes of keys as two streams; the accesses that the watermark has passed."""
+    root = scratch_dir(spark, "stream_access_as_of")
+    made = X.stream(spark, sf_dir, "customer", X.API_KEYS).withColumn("key_hash", F.sha2("plain_key", 256))
+    switches = X.derive(X.stream(spark, sf_dir, "events").filter(X.SWITCHED), X.SWITCHES)
+    # The fixture's keys are known when they are switched, so a switch carries what its key is.
+    keys = X.api_keys(spark, sf_dir).select("key_id", "key_hash", "agent_id", "expires_at", "created_at")
+    switched = X.switched_keys(spark, sf_dir)
+    changes = made.select(
+        "key_hash", "key_id", "agent_id", F.col("created_at").alias("valid_from"), "expires_at", "is_active"
+    ).join(switched, "key_id", "left").withColumn("is_active", F.col("is_active") | F.col("switched").isNotNull()).drop("switched")
+    later = switches.join(keys, "key_id").filter("`at` >= created_at").select(
+        "key_hash", "key_id", "agent_id", F.col("at").alias("valid_from"), "expires_at", "is_active"
+    )
+    judged = stateful.streamed_access(X.stream(spark, sf_dir, "events", X.ACCESS), changes.select(*later.columns).unionByName(later))
+    _finish(jobs.run_append(judged, f"{root}/out", f"{root}/checkpoint"))
+    return spark.read.schema(judged.schema).parquet(f"{root}/out").drop("ts")
+
+
+@query("stream_daily_counts_compacted", ORACLES["stream_daily_counts_current"])
+def stream_daily_counts_compacted(spark, sf_dir):
+    """The current counts, after the batches of changes were merged into one."""
+    root = scratch_dir(spark, "stream_daily_counts_compacted")
+    counts = jobs.daily_counts(X.stream(spark, sf_dir, "events", X.AUDIT_LOGS))
+    _finish(jobs.run_update(counts, f"{root}/out", f"{root}/checkpoint"))
+    jobs.compact_changes(spark, f"{root}/out", "date")
+    values = ["total_requests", "blocked_requests", "passed_requests", "pii_incidents"]
+    return jobs.current(spark.read.parquet(f"{root}/out"), "date", values).withColumn("date", day("date"))

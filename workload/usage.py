@@ -8,8 +8,10 @@ from govlens.operators import feedback as FB
 from govlens.operators import registry as R
 from govlens.operators import usage as U
 from govlens.plans import usage_report
+from govlens.session import scratch_dir
 from govlens.sources import fixtures as X
-from workload.registry import day, joined, query, second, sql_day, sql_second
+from govlens.sources import tables
+from workload.registry import ORACLES, day, joined, query, second, sql_day, sql_second
 
 AS_OF = X.AS_OF
 AT = f"TIMESTAMP '{AS_OF}'"
@@ -464,3 +466,20 @@ def recent_suggestions(spark, sf_dir):
 def feedback_to_session(spark, sf_dir):
     out = FB.feedback_to_session(X.feedback(spark, sf_dir), X.audit_logs(spark, sf_dir))
     return out.withColumn("rated_at", second("rated_at"))
+
+
+@query("recent_pii_incidents_by_day", ORACLES["recent_pii_incidents"])
+def recent_pii_incidents_by_day(spark, sf_dir):
+    """The same rows from a table with day partitions: the days are searched from a later date on."""
+    root = scratch_dir(spark, "recent_incidents")
+    tables.append(X.audit_logs(spark, sf_dir), root, "audit_logs", "load-1")
+    out = U.recent_pii_incidents(tables.read_table(spark, root, "audit_logs"), as_of="2024-02-20")
+    return out.withColumn("pii_types", joined("pii_types")).withColumn("at", second("timestamp")).drop("timestamp")
+
+
+@query("recent_suggestions_by_day", ORACLES["recent_suggestions"])
+def recent_suggestions_by_day(spark, sf_dir):
+    root = scratch_dir(spark, "recent_suggestions")
+    tables.append(X.feedback(spark, sf_dir), root, "feedback", "load-1")
+    out = FB.recent_suggestions(tables.read_table(spark, root, "feedback"), as_of=AS_OF)
+    return out.withColumn("at", second("timestamp")).drop("timestamp")
