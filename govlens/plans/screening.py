@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from govlens.functions.columns import strings
@@ -34,10 +34,12 @@ def screen(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return audit_rows(score(valid)), rejected
 
 
-def _split(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(requests: DataFrame, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     checked = apply_defaults(requests, "request").withColumn(
         "violations", F.concat(missing_fields(REQUEST_FIELDS), broken_constraints(constraints("requests")))
     )
+    if seen is not None:
+        checked = checked.observe(seen, F.count_if(F.size("violations") > 0).alias("rejected"))
     return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
 
 
@@ -53,12 +55,22 @@ def screen_to_table(requests: DataFrame, root: str, batch_id: str | None = None,
     by day before they are scored: a prompt is shuffled once, and not once per audit row. Leave it out when the input
     is laid out by day already.
     """
-    batch_id = batch_id or uuid.uuid4().hex
     by_day = requests.withColumn(EVENT_DATE, F.to_date("timestamp")).hint("rebalance", EVENT_DATE)
-    rows, _ = screen(by_day if rebalance else requests)
-    append(rows, root, "audit_logs", batch_id, rebalance=False)
-    _, rejected = screen(requests)
-    write_batch(rejected_summary(rejected), dead_letter_path(root, "requests"), batch_id)
+    screen_batch(by_day if rebalance else requests, requests, root, batch_id or uuid.uuid4().hex)
+
+
+def screen_batch(laid_out: DataFrame, requests: DataFrame, root: str, batch_id: str) -> None:
+    """Write the audit rows of a batch of requests, and its rejected requests if there are any.
+
+    The rejected ones are counted while the others are written: a second look at the requests, which scores nothing, is
+    only taken when there are some. ``laid_out`` are the same requests, spread as the write wants them.
+    """
+    seen = Observation()
+    valid, _ = _split(laid_out, seen)
+    append(audit_rows(score(valid)), root, "audit_logs", batch_id, rebalance=False)
+    _, rejected = _split(requests)
+    letters = rejected_summary(rejected)
+    write_batch(letters if seen.get["rejected"] else letters.limit(0), dead_letter_path(root, "requests"), batch_id)
 
 
 def screened_departments(requests: DataFrame, as_of: str) -> DataFrame:

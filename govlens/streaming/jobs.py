@@ -11,9 +11,9 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from govlens.operators.access import classify_access
 from govlens.operators.common import spread
 from govlens.operators.conversations import session_counters
-from govlens.plans.screening import rejected_summary, screen
+from govlens.plans.screening import screen_batch
 from govlens.sources import batches
-from govlens.sources.tables import BATCH_ID, COMPACTED, append, dead_letter_path, write_batch
+from govlens.sources.tables import BATCH_ID, COMPACTED, write_batch
 
 __all__ = [
     "abandonments",
@@ -26,6 +26,7 @@ __all__ = [
     "run_append",
     "run_screening",
     "run_update",
+    "update_writer",
     "session_counters",
 ]
 
@@ -96,9 +97,7 @@ def run_screening(
     once. No state; rows move between tasks only when a batch has fewer partitions than cores.
     """
     def write(batch: DataFrame, number: int) -> None:
-        rows, rejected = screen(spread(batch, "request_id", "timestamp"))
-        append(rows, root, "audit_logs", f"{name}-{number}", rebalance=False)
-        write_batch(rejected_summary(rejected), dead_letter_path(root, "requests"), f"{name}-{number}")
+        screen_batch(spread(batch, "request_id", "timestamp"), batch, root, f"{name}-{number}")
 
     return _start(requests.writeStream.foreachBatch(write), checkpoint, every)
 
@@ -108,18 +107,24 @@ def run_append(rows: DataFrame, path: str, checkpoint: str, every: str | None =
     return _start(rows.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint, every)
 
 
-def run_update(rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Write the groups each batch changed; the newest batch of a group holds its current values.
-
-    Batches are ordered by the start of the run and their number in it: with a new checkpoint the numbers begin anew.
-    """
+def update_writer(rows: DataFrame, path: str) -> DataStreamWriter:
+    """Writes the groups each batch changed, with the version of the batch."""
     run = time.time_ns() // 1_000
 
     def write(batch: DataFrame, number: int) -> None:
         version = F.struct(F.lit(run).alias("run"), F.lit(number).cast("long").alias("batch"))
         write_batch(batch.withColumn("version", version), path, f"{run}-{number}")
 
-    return _start(rows.writeStream.foreachBatch(write).outputMode("update"), checkpoint, every)
+    return rows.writeStream.foreachBatch(write).outputMode("update")
+
+
+def run_update(rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Write the groups each batch changed; the newest batch of a group holds its current values.
+
+    Batches are ordered by the start of the run and their number in it: with a new checkpoint the numbers begin anew.
+    ``compact_changes`` merges what has piled up.
+    """
+    return _start(update_writer(rows, path), checkpoint, every)
 
 
 def current(changes: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -13,11 +13,12 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from govlens.operators.access import access_status, key_hash
 from govlens.operators.access_history import CHANGE_SCHEMA
 from govlens.schemas import END_STATUSES
+from govlens.streaming.jobs import update_writer
 
 ABANDONED = END_STATUSES[1]
 # Pieces that the accesses of one key are spread over; the changes of a key go to all of them.
@@ -285,23 +286,39 @@ def state_rows(query: StreamingQuery) -> int | None:
     return sum(s["numRowsTotal"] for s in operators) if operators else None
 
 
-def run_while_open(
-    ended: DataFrame, path: str, checkpoint: str, every: str = "1 second", at_most: timedelta = timedelta(minutes=10)
-) -> None:
-    """Append the ends of sessions to Parquet files until all input is taken and no session is open, then stop.
-
-    Where a job should go on, start it with ``run_append`` and an interval: timers fire at every trigger.
-    """
-    writer = ended.writeStream.format("parquet").outputMode("append").option("path", path)
+def _run_until(writer: DataStreamWriter, checkpoint: str, every: str, done: Callable[[StreamingQuery], bool], at_most: timedelta) -> None:
+    """Run a query whose timers need a trigger on the clock, until ``done`` holds or the time is over."""
     query = writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
     until = time.monotonic() + at_most.total_seconds()
     try:
-        while query.isActive and time.monotonic() < until:
-            progress = query.lastProgress
-            if progress is not None and progress["numInputRows"] == 0 and state_rows(query) == 0:
-                break
+        while query.isActive and not done(query):
+            if time.monotonic() > until:
+                raise TimeoutError(f"the stream did not come to its end in {at_most}")
             time.sleep(0.2)
     finally:
         query.stop()
     if query.exception() is not None:
         raise query.exception()
+
+
+def _idle(query: StreamingQuery) -> bool:
+    """Whether the last batch got no rows after the ones before had told their state."""
+    return state_rows(query) is not None and query.lastProgress["numInputRows"] == 0
+
+
+def run_while_open(
+    ended: DataFrame, path: str, checkpoint: str, every: str = "1 second", at_most: timedelta = timedelta(minutes=10)
+) -> None:
+    """Append the ends of sessions to Parquet files until all input is taken and no session is open, then stop.
+
+    Where a job should go on, start it with ``run_append`` and an interval: timers fire at every trigger.
+    """
+    writer = ended.writeStream.format("parquet").outputMode("append").option("path", path)
+    _run_until(writer, checkpoint, every, lambda query: _idle(query) and state_rows(query) == 0, at_most)
+
+
+def run_update_while_fed(
+    rows: DataFrame, path: str, checkpoint: str, every: str = "1 second", at_most: timedelta = timedelta(minutes=10)
+) -> None:
+    """Write the groups that each batch changed, as ``run_update`` does, until a batch gets no input; see ``current``."""
+    _run_until(update_writer(rows, path), checkpoint, every, _idle, at_most)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from govlens.operators import conversations as C
+from govlens.operators.common import estimated_bytes
 from govlens.operators.feedback import feedback_to_session
+from govlens.session import scratch_dir
 from govlens.sources import fixtures as X
-from workload.registry import query, second, sql_second
+from govlens.sources import layouts
+from workload.registry import ORACLES, query, second, sql_second
 
 MESSAGES = X.duckdb_with("turns", "messages")
 ALL = X.duckdb_with("turns", "messages", "session_starts", "sessions")
@@ -41,7 +44,10 @@ _SHOWN = (
    FROM messages GROUP BY 1) m ON s.session_id = m.session_id""",
 )
 def conversation_view(spark, sf_dir):
-    out = C.conversation_view(X.conversations(spark, sf_dir), X.messages(spark, sf_dir))
+    return shown_view(C.conversation_view(X.conversations(spark, sf_dir), X.messages(spark, sf_dir)))
+
+
+def shown_view(out):
     shown = F.transform(
         "messages",
         lambda m: F.concat_ws(
@@ -171,3 +177,39 @@ def end_conversations(spark, sf_dir):
     )
     out = C.end_conversations(X.conversations(spark, sf_dir), ends)
     return out.select("session_id", "status", second("ended_at").alias("ended_at"))
+
+
+def laid_out(spark, sf_dir):
+    """Conversations and messages in matching buckets."""
+    root = scratch_dir(spark, "sessions")
+    prefix = "s" + root.rsplit("-", 1)[1]
+    size = estimated_bytes(X.raw(spark, sf_dir, "conversations"))
+    buckets = layouts.buckets_for(size, spark.sparkContext.defaultParallelism)
+    return layouts.save_sessions(X.conversations(spark, sf_dir), X.messages(spark, sf_dir), prefix, root, buckets)
+
+
+@query("conversation_view_bucketed", ORACLES["conversation_view"])
+def conversation_view_bucketed(spark, sf_dir):
+    """The view from tables in buckets of sessions: no message is shuffled."""
+    return shown_view(C.conversation_view(*laid_out(spark, sf_dir)))
+
+
+@query("training_export_bucketed", ORACLES["training_export"])
+def training_export_bucketed(spark, sf_dir):
+    conversations, messages = laid_out(spark, sf_dir)
+    return shown_export(C.training_export(conversations, messages, X.AS_OF))
+
+
+@query("feedback_to_session_bucketed", X.duckdb_with("audit_logs", "feedback") + f"""SELECT session_id, rating,
+  {sql_second("rated_at")} AS rated_at FROM (SELECT a.session_id, f.rating, f."timestamp" AS rated_at,
+  row_number() OVER (PARTITION BY a.session_id ORDER BY f."timestamp" DESC, f.feedback_id DESC) AS n
+  FROM (SELECT DISTINCT request_id, session_id FROM audit_logs) a JOIN feedback f ON a.request_id = f.request_id)
+WHERE n = 1""")
+def feedback_to_session_bucketed(spark, sf_dir):
+    """Audit rows and feedback in buckets of requests: what is shuffled are the ratings of sessions."""
+    root = scratch_dir(spark, "requests")
+    audit, feedback = layouts.save_requests(
+        X.audit_logs(spark, sf_dir), X.feedback(spark, sf_dir), "r" + root.rsplit("-", 1)[1], root,
+        layouts.buckets_for(0, spark.sparkContext.defaultParallelism),
+    )
+    return feedback_to_session(feedback, audit).withColumn("rated_at", second("rated_at"))

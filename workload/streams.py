@@ -244,3 +244,14 @@ def stream_daily_counts_compacted(spark, sf_dir):
     jobs.compact_changes(spark, f"{root}/out", "date")
     values = ["total_requests", "blocked_requests", "passed_requests", "pii_incidents"]
     return jobs.current(spark.read.parquet(f"{root}/out"), "date", values).withColumn("date", day("date"))
+
+
+@query("stream_conversation_stats_expiring", ORACLES["stream_conversation_stats"])
+def stream_conversation_stats_expiring(spark, sf_dir):
+    """The counters of sessions whose state leaves after two idle days."""
+    root = scratch_dir(spark, "stream_conversation_stats_expiring")
+    arriving = X.derive(X.stream(spark, sf_dir, "conversations").filter("role <> 'system'"), X.MESSAGES)
+    stateful.run_update_while_fed(stateful.expiring_counters(arriving), f"{root}/out", f"{root}/checkpoint")
+    return jobs.current(
+        spark.read.parquet(f"{root}/out"), "session_id", ["message_count", "total_pii_incidents", "total_blocked"]
+    )
