@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -100,46 +99,91 @@ class Index:
             yield d, i, every[starts[d] : starts[d + 1] - 1]
 
 
+class Runs:
+    """Karp-Rabin hashes of all runs of one length, for any length, from two running products."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+    BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+        n = len(ids)
+        with np.errstate(over="ignore"):
+            ahead = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.BASE)]), dtype=np.uint64)
+            self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.BACK)]), dtype=np.uint64)
+            of_word = C.mixed(ids.astype(np.uint64) + np.uint64(2))
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(of_word * ahead[:n], dtype=np.uint64)])
+        self.taken = np.zeros(n + 1, np.int64)  # how many words before a place are in tiles
+        self.free = np.ones(n, bool)
+
+    def hashes(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of runs without a taken word, and their hashes."""
+        n = max(0, len(self.ids) - words + 1)
+        at = np.flatnonzero(self.taken[words : words + n] == self.taken[:n])
+        with np.errstate(over="ignore"):
+            return at, C.mixed((self.sums[at + words] - self.sums[at]) * self.back[at])
+
+    def take(self, places: list[int], words: int) -> None:
+        for a in places:
+            self.free[a : a + words] = False
+        self.taken[1:] = np.cumsum(~self.free)
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in doc, place in item, words), longest first.
 
-    Runs of ``least`` equal words are found by their Karp-Rabin hashes, checked word by word, and joined to maximal
-    matches. The longest match whose words are all free becomes a tile; of a match that is partly taken, the free parts
-    compete on. Ties go to the earlier place in the item, then in the document.
+    The longest length at which free runs of both sides agree is found by halving, with Karp-Rabin hashes of all free runs
+    of a length. All its matches are taken before shorter ones are looked for, those at the earlier place in the item
+    first, then in the document. Pairs of equal runs are never listed: memory follows the words, also where one word is
+    repeated a million times on both sides.
     """
-    in_doc, in_item = rolled(doc, least), rolled(item, least)
-    order = np.argsort(in_item, kind="stable")
-    low, high = (np.searchsorted(in_item[order], in_doc, side) for side in ("left", "right"))
-    count = high - low
-    i = np.repeat(np.arange(len(in_doc)), count)
-    j = order[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    for k in range(least):
-        same = doc[i + k] == item[j + k]
-        i, j = i[same], j[same]
-    by_diagonal = np.lexsort((i, i - j))
-    i, j = i[by_diagonal], j[by_diagonal]
-    new = np.flatnonzero(C.changes(i - np.arange(len(i)), i - j))
-    ends = np.concatenate([new[1:], [len(i)]])[: len(new)]
-    matches = [(-int(b - a + least - 1), int(j[a]), int(i[a])) for a, b in zip(new, ends, strict=True)]
-    heapq.heapify(matches)
-    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
+    both = Runs(doc), Runs(item)
     chosen: list[tuple[int, int, int]] = []
-    left = len(item)
-    while matches and left >= least:
-        n, at_item, at_doc = heapq.heappop(matches)
-        free = free_doc[at_doc : at_doc - n] & free_item[at_item : at_item - n]
-        if free.all():
-            free_doc[at_doc : at_doc - n] = free_item[at_item : at_item - n] = False
-            chosen.append((at_doc, at_item, -n))
-            left += n
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]]))).tolist()
-        for a, b in zip(edge[::2], edge[1::2], strict=True):
-            if b - a >= least:
-                heapq.heappush(matches, (a - b, at_item + a, at_doc + a))
+    longest = min(len(doc), len(item))  # no longer match is left
+
+    def common(words: int) -> bool:
+        of_doc, of_item = (runs.hashes(words)[1] for runs in both)
+        return bool(np.isin(of_item, of_doc).any())
+
+    while longest >= least:
+        low, high = least - 1, longest
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if common(middle) else (low, middle - 1)
+        if low < least:
+            break
+        found = _matches(*both, low)
+        chosen += [(i, j, low) for i, j in found]
+        both[0].take([i for i, _ in found], low)
+        both[1].take([j for _, j in found], low)
+        longest = low - 1
     return chosen
 
 
+def _matches(doc: Runs, item: Runs, words: int) -> list[tuple[int, int]]:
+    """(place in doc, place in item) of matches of the longest length: none overlaps, the earliest places first."""
+    at_doc, of_doc = doc.hashes(words)
+    at_item, of_item = item.hashes(words)
+    order = np.argsort(of_doc, kind="stable")
+    low, high = (np.searchsorted(of_doc[order], of_item, side) for side in ("left", "right"))
+    free_doc, item_end, out = doc.free.copy(), -1, []
+    next_of: dict[int, int] = {}  # places of a hash in the document that are used up
+    for j, a, b in zip(at_item.tolist(), low.tolist(), high.tolist(), strict=True):
+        if a == b or j < item_end:
+            continue
+        k = next_of.get(a, a)
+        while k < b:
+            i = int(at_doc[order[k]])
+            k += 1
+            if free_doc[i : i + words].all() and np.array_equal(doc.ids[i : i + words], item.ids[j : j + words]):
+                free_doc[i : i + words] = False
+                out.append((i, j))
+                item_end = j + words
+                break
+        next_of[a] = k
+    return out
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, seed: int, tile: int) -> Iterator[Index]:
     """The benchmark in parts of bounded size."""
     rows = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).cast("string").alias("text"))

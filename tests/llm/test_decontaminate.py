@@ -119,3 +119,23 @@ def test_empty_tables(spark, benchmark):
     assert D.contaminated(docs.limit(0), benchmark).collect() == []
     assert D.contaminated(docs, benchmark.limit(0)).collect() == []
     assert D.decontaminated(docs, benchmark.limit(0)).count() == len(texts())
+
+
+@pytest.mark.parametrize("n", [1_000, 250_000])
+def test_one_word_repeated_on_both_sides(n):
+    """Some megabytes of one word: one tile, in memory that follows the words."""
+    assert D.tiles(np.zeros(n, np.int64), np.zeros(n // 5, np.int64), 3) == [(0, 0, n // 5)]
+    two = np.tile(np.array([0, 1], np.int64), n // 2)
+    assert sum(w for _, _, w in D.tiles(two, np.concatenate([two[: n // 10], [7], two[: n // 20]]), 3)) >= n // 10
+
+
+def test_pieces_of_three_words(spark):
+    """Reordered pieces of three words are tiles, once a longer piece is a seed."""
+    words = [f"w{i}" for i in range(26)]
+    pieces = [words[:5], *[words[a : a + 3] for a in range(5, 26, 3)]]
+    text = " x ".join(" ".join(p) for p in reversed(pieces))
+    found = D.contaminated(
+        spark.createDataFrame([(1, text)], "doc_id long, text string"),
+        spark.createDataFrame([(7, " ".join(words))], "item_id long, text string"),
+    ).collect()
+    assert [(r.item_id, r.covered_words) for r in found] == [(7, 26)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from govlens.llm import decontaminate, jaccard, mixing, substrings, toxicity
@@ -110,8 +111,40 @@ def test_odd_and_empty_documents(spark, odd, corpus):
         out = stage(spark, docs, folder)
         assert stage(spark, docs.limit(0), folder).collect() == []
         if name == "jaccard_join":
-            assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 0, 1, 2, 3, 4, 6, 7, 8]
+            assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 2, 3, 4, 6, 7, 8]
         elif name == "toxicity":  # all labels that these rows have are 1, so every text with a word goes
             assert {r.doc_id for r in out.collect()} == {1, 2, 3, None}
         elif name != "source_mixing":
             assert out.count() == docs.count()
+
+
+INTERNAL = [
+    "score", "n_words", "n_removed", "spans", "kept_text", "_rate", "_source", "_rank", "_text_hash", "copy", "id", "key",
+    "root", "n_shingles", "component_id", "component_key", "n_links", "carried_0", "_chunk", "_draw", "_md5", "_copies",
+    "first", "alone", "coverage", "tiles", "a column. with `marks`", "_row", "_extra_0",
+]
+
+
+def test_columns_named_like_internal_ones_keep_their_values(spark, corpus):
+    folder, rows = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id >= 300")
+    named = docs.toDF(*docs.columns)
+    for i, name in enumerate(INTERNAL):
+        named = named.withColumn(name, F.concat(F.lit(f"{i}:"), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, named, folder)
+        assert out.columns[: len(named.columns)] == named.columns
+        plain = {r.doc_id for r in stage(spark, docs, folder).collect()}
+        found = out.collect()
+        assert {r.doc_id for r in found} == plain and found, name
+        for r in found:
+            values = dict(zip(out.columns, r, strict=True))
+            assert all(values[c] == f"{i}:{r.doc_id}" for i, c in enumerate(INTERNAL))
+
+
+def test_copies_without_an_id_go(spark, corpus):
+    folder, rows = corpus
+    table = [(None, rows[100]), (None, rows[100]), (None, rows[100] + " x"), (7, rows[101]), (None, rows[101]), (None, None), (None, rows[102])]
+    out = STAGES["jaccard_join"](spark, spark.createDataFrame(table, "doc_id long, text string").repartition(3), folder)
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert len(got) == 4 and {(7, rows[101]), (None, None), (None, rows[102])} < set(got)
