@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from govlens.llm import decontaminate, jaccard, mixing, substrings, toxicity
+from govlens.llm.ranks import named
 from govlens.operators.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,17 +23,18 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingles of five words and a similarity of 0.8, the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are judged by their own texts; of rows alike in doc_id and text one stays. Rows without
-    doc_id cannot be told apart and stay.
+    Rows that repeat a doc_id, or have none, are judged by their own texts: of a group one row stays, one with an id before
+    one without. Of rows without words one stays for each doc_id and text.
     """
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    row = ["doc_id", "_text_hash"]
-    found = jaccard.jaccard_components(marked, size=5, percent=80, carry=("_text_hash",)).filter("doc_id IS NOT NULL")
-    alone = F.when(F.col("component_key").isNull(), F.col("doc_id"))
-    kept = found.groupBy("component_key", alone.alias("alone")).agg(F.min(F.struct(*row)).alias("first")).select("first.*")
-    rank = F.row_number().over(Window.partitionBy(*row).orderBy(F.xxhash64(*docs.columns)))
-    chosen = marked.join(kept, row, "left_semi").withColumn("_rank", rank).filter("_rank = 1").select(*docs.columns)
-    return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))
+    marked = docs.withColumns({"_text_hash": F.xxhash64("text"), "_row": F.xxhash64(*docs.columns)})
+    key = F.concat_ws(":", named(F.col("doc_id")), F.col("_text_hash").cast("string"))
+    found = jaccard.jaccard_components(marked, size=5, percent=80, carry=("_text_hash",)).withColumn("_key", key)
+    alone = F.when(F.col("component_key").isNull(), F.col("_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash", "_key"))
+    kept = found.groupBy("component_key", alone.alias("alone")).agg(first.alias("first")).select("first._key")
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy("_row"))
+    chosen = marked.withColumn("_key", key).join(kept, "_key", "left_semi").withColumn("_rank", rank)
+    return chosen.filter("_rank = 1").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +58,37 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.mixed(docs)
 
 
+# Columns that stages read; all others travel under names of their own, so that none meets one that an operator makes.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def sheltered(stage: Stage) -> Stage:
+    """The stage with every other column of its documents renamed for the way through it.
+
+    A column that the stage adds keeps its name, with ``_`` behind it as often as it takes to differ from the others.
+    """
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rest = [c for c in docs.columns if c not in READ]
+        away = {c: f"_extra_{i}" for i, c in enumerate(rest)}
+        out = stage(spark, docs.toDF(*[away.get(c, c) for c in docs.columns]), sf_dir)
+        back = {short: c for c, short in away.items()}
+        names = [back.get(c, c) for c in out.columns[: len(docs.columns)]]
+        for added in out.columns[len(docs.columns) :]:
+            while added in names:
+                added += "_"
+            names.append(added)
+        return out.toDF(*names)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", without_toxic),
-    ("jaccard_join", one_of_each_group),
-    ("substring_dedup", without_repeats),
-    ("decontamination", without_test_items),
-    ("source_mixing", mixed_sources),
+    ("toxicity", sheltered(without_toxic)),
+    ("jaccard_join", sheltered(one_of_each_group)),
+    ("substring_dedup", sheltered(without_repeats)),
+    ("decontamination", sheltered(without_test_items)),
+    ("source_mixing", sheltered(mixed_sources)),
 ]
 
 # Trained models, components of similar texts and tilings have no SQL form.
