@@ -144,8 +144,8 @@ def compact(spark: SparkSession, root: str, name: str, before: str) -> None:
 
     The days must be closed: no batch of theirs may run at the same time or again later. Their rows are first written
     whole to a hidden folder of the table, which no reader sees. Then each day's folder is put aside and the merged one
-    takes its place: two moves, between which nothing is written, so a reader finds either all old batches of a day or the
-    merged one. The old ones go last. A run that was interrupted is taken up by the next one where it stopped.
+    takes its place: two moves of a folder with nothing written in between. A reader finds the old batches of a day or the
+    merged one, never both; one that lists the table between the two moves misses that day. The old ones go last. A run that was interrupted is taken up by the next one where it stopped.
     """
     path = path_of(root, name)
     staged, old = f"{path}/_compaction", f"{path}/_replaced"
