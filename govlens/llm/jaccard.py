@@ -17,6 +17,10 @@ from govlens.operators.common import stored
 # Shingles that the sets of one group, and the queries of one task on a group, hold together.
 GROUP_SHINGLES = 1 << 20
 QUERY_SHINGLES = 1 << 22
+# Within a group: a shingle is a column of the matrix if so many members hold it, and one in so many; cells compared at once.
+LEAST_COLUMN = 64
+COLUMN_SHARE = 8
+CELLS = 1 << 19
 SEEN = np.dtype("u1")
 
 
@@ -126,64 +130,91 @@ def shingle_sets(
     return by_chunk.cogroup(found.groupBy("_chunk")).applyInArrow(chooses, schema)
 
 
-class Forest:
-    """Which of a few items are linked."""
+class Group:
+    """The members of a group as a matrix of shingles and members, for exact overlaps with many sets at once.
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+    Shingles that many members hold are columns of zeros and ones, so that a family of near copies is compared by
+    matrix products; of the other shingles there are lists of their holders. A column has at least one member in
+    ``COLUMN_SHARE``, so all columns together have at most that many cells for each shingle of the members.
+    """
 
-    def join(self, x: int, y: int) -> None:
-        self.up[self.root(x)] = self.root(y)
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.holder = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.union, self.begin, self.count = np.unique(every[order], return_index=True, return_counts=True)
+        dense = np.flatnonzero(self.count >= max(LEAST_COLUMN, len(sets) // COLUMN_SHARE))
+        self.column = np.full(len(self.union), -1)
+        self.column[dense] = np.arange(len(dense))
+        kind = np.float32 if self.sizes.max() < 1 << 15 else np.float64  # both hold 400 times such counts exactly
+        self.cells = np.zeros((len(dense), len(sets)), kind)
+        self.cells[np.repeat(np.arange(len(dense)), self.count[dense]), self._holders(dense)] = 1
+
+    def _holders(self, at: np.ndarray) -> np.ndarray:
+        """Members that hold each of the given places of the union, one after the other."""
+        c = self.count[at]
+        return self.holder[np.repeat(self.begin[at], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
+
+    def places(self, shingles: np.ndarray) -> np.ndarray:
+        """Places in the union of those shingles that it holds."""
+        at = np.minimum(np.searchsorted(self.union, shingles), len(self.union) - 1)
+        return at[self.union[at] == shingles]
+
+    def overlaps(self, places: list[np.ndarray]) -> np.ndarray:
+        """The number of shingles that each set, given by its places, shares with each member."""
+        held = np.zeros((len(places), len(self.cells)), self.cells.dtype)
+        columns = [self.column[at] for at in places]
+        for i, column in enumerate(columns):
+            held[i, column[column >= 0]] = 1
+        both = held @ self.cells
+        for row, at, column in zip(both, places, columns, strict=True):
+            np.add.at(row, self._holders(at[column < 0]), 1)
+        return both
 
 
 def _verified(table: pa.Table, percent: int) -> Iterator[tuple[bytes, bytes | None, int]]:
     """Open one group: (set, set linked with it, None) for each component, and (set, None, number of links)."""
     keys = table.column("key").to_pylist()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-    own = table.column("own").to_pylist()
-    judged = table.column("judged").to_pylist()
-    members = [i for i, x in enumerate(own) if x]
-    member_of = {i: j for j, i in enumerate(members)}
-    sizes = np.array([len(sets[i]) for i in members])
-    every = np.concatenate([sets[i] for i in members])
-    owner = np.repeat(np.arange(len(members)), sizes)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    union, begin, count = np.unique(every, return_index=True, return_counts=True)
-    forest, links = Forest(len(members)), np.zeros(len(keys), np.int64)
-    for i, mine in enumerate(sets):
-        if not judged[i]:
-            continue
-        at = np.minimum(np.searchsorted(union, mine), len(union) - 1)
-        at = at[union[at] == mine]
-        if len(at) * 100 < percent * len(mine):  # the union holds too little of it for any member
-            continue
-        c = count[at]
-        shared = owner[np.repeat(begin[at], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
-        both = np.bincount(shared, minlength=len(members))
-        linked = np.flatnonzero(100 * both >= percent * (len(mine) + sizes - both)).tolist()
-        if own[i]:
-            linked = [j for j in linked if j < member_of[i]]
-        for j in linked:
-            links[members[j]] += 1
-        links[i] += len(linked)
-        if own[i]:
-            for j in linked:
-                forest.join(member_of[i], j)
-        else:
-            for j in {forest.root(j) for j in linked}:
-                yield keys[i], keys[members[j]], None
-            for j in linked[1:]:
-                forest.join(linked[0], j)
-    for j, i in enumerate(members):
-        if forest.root(j) != j:
-            yield keys[i], keys[members[forest.root(j)]], None
+    own = np.array(table.column("own").to_pylist(), bool)
+    members = np.flatnonzero(own)
+    # A member is compared with the members before it, any other set with all.
+    before = np.where(own, np.cumsum(own) - 1, len(members))
+    group = Group([sets[i] for i in members.tolist()])
+    asked, places = [], []
+    for i in np.flatnonzero(table.column("judged").to_numpy()).tolist():
+        at = group.places(sets[i])
+        if len(at) * 100 >= percent * len(sets[i]):  # else the union holds too little of it for any member
+            asked.append(i)
+            places.append(at)
+    # The first member of each member's component, as far as links are known.
+    first, links = np.arange(len(members)), np.zeros(len(keys), np.int64)
+    step = max(1, CELLS // (len(members) + len(group.cells)))
+    for start in range(0, len(asked), step):
+        block = np.array(asked[start : start + step])
+        both = group.overlaps(places[start : start + step])
+        # 100 * both >= percent * (size + other size - both)
+        both *= 100 + percent
+        both -= percent * group.sizes.astype(both.dtype)
+        linked = both >= np.array([percent * len(sets[i]) for i in block.tolist()], both.dtype)[:, None]
+        linked &= np.arange(len(members)) < before[block][:, None]
+        links[members] += np.add.reduce(linked, 0, np.int32)
+        links[block] += np.add.reduce(linked, 1, np.int32)
+        for row in np.flatnonzero(linked.any(1)).tolist():
+            i = block[row]
+            found = first[linked[row]]
+            if own[i]:
+                found = np.append(found, first[before[i]])
+            low = found.min()
+            if low < found.max():
+                joined = np.zeros(len(members), bool)
+                joined[found] = True
+                first[joined[first]] = low
+            if not own[i]:
+                yield keys[i], keys[members[low]], None
+    for j in np.flatnonzero(first < np.arange(len(members))).tolist():
+        yield keys[members[j]], keys[members[first[j]]], None
     for i in np.flatnonzero(links).tolist():
         yield keys[i], None, int(links[i])
 
@@ -194,7 +225,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     Sets that share a frequent prefix shingle, their leader, form a group; a large group is cut by hash. The
     token-group matrix lists the groups that hold a prefix shingle. A set opens the groups before its own that hold a
     shingle of its prefix and sets of fitting sizes; others cannot hold a partner. When opened, the overlap with the
-    union of the group's sets is a second bound; what passes is compared with all members at once. A group's queries
+    union of the group's sets is a second bound; what passes is compared with all members, many sets at once. A group's queries
     are cut by hash into tasks of bounded size. Every link is counted, and written only as far as components need it.
     """
     named = sets.filter(F.col("prefix").isNotNull())

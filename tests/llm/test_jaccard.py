@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from govlens.llm import components, jaccard
@@ -70,6 +73,74 @@ def test_equals_all_pairs(spark, percent, monkeypatch):
     assert found(df, size=3, percent=percent) == expected(rows, 3, percent)
 
 
+def verified(sets, own, percent):
+    """Components (as sets of keys) and numbers of links that opening one group gives."""
+    table = pa.table(
+        {
+            "key": [str(i).encode() for i in range(len(sets))],
+            "shingles": [x.tobytes() for x in sets],
+            "own": own,
+            "judged": [True] * len(sets),
+        }
+    )
+    up, links = list(range(len(sets))), [0] * len(sets)
+    for a, b, n in jaccard._verified(table, percent):
+        if b is None:
+            links[int(a)] += n
+        else:
+            x, y = up[int(a)], up[int(b)]
+            up = [y if z == x else z for z in up]
+    return len(set(up)), {frozenset(i for i, z in enumerate(up) if z == x) for x in up}, links
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 19])
+def test_a_group_of_near_copies(cells, monkeypatch):
+    """Shingles that most members hold, that some hold and that one holds; sets of other groups between the members."""
+    monkeypatch.setattr(jaccard, "CELLS", cells)
+    rng = np.random.default_rng(3)
+    sets = []
+    for size in (10, 30):
+        family = rng.integers(0, 1 << 63, size)
+        for _ in range(150):
+            own = rng.integers(0, 1 << 63, int(rng.integers(0, 4)))
+            sets.append(np.unique(np.concatenate([rng.permutation(family)[: size - int(rng.integers(0, 4))], own])))
+    sets = [sets[i].astype(np.uint64) for i in rng.permutation(len(sets))]
+    own = [bool(x) for x in rng.random(len(sets)) < 0.7]
+    linked = [[] for _ in sets]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if (own[i] or own[j]) and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                linked[i].append(j)
+                linked[j].append(i)
+    root = list(range(len(sets)))
+    for i, near in enumerate(linked):
+        for j in near:
+            x, y = root[i], root[j]
+            root = [y if z == x else z for z in root]
+    components = {frozenset(i for i, z in enumerate(root) if z == x) for x in root}
+    assert verified(sets, own, 80) == (len(components), components, [len(x) for x in linked])
+
+
+def test_a_large_family_takes_seconds():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 63, 18)
+    sets = [np.sort(np.append(common, rng.integers(0, 1 << 63, 2))).astype(np.uint64) for _ in range(8_000)]
+    start = time.process_time()
+    table = pa.table(
+        {
+            "key": [str(i).encode() for i in range(len(sets))],
+            "shingles": [x.tobytes() for x in sets],
+            "own": [True] * len(sets),
+            "judged": [True] * len(sets),
+        }
+    )
+    found = list(jaccard._verified(table, 80))
+    assert time.process_time() - start < 30
+    assert sorted(n for _, b, n in found if b is None) == [len(sets) - 1] * len(sets)
+    assert sum(b is not None for _, b, _ in found) == len(sets) - 1
+
+
 def test_on_documents(docs):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert found(docs, size=4, percent=85) == expected(rows, 4, 85)
