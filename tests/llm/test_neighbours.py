@@ -80,3 +80,40 @@ def test_empty_tables(spark):
     assert neighbours.nearest(df.limit(0), df).collect() == []
     assert neighbours.nearest(df, df.limit(0)).collect() == []
     assert neighbours.nearest(df, df).collect() == []
+
+
+def test_many_blocks(spark, monkeypatch):
+    """Blocks, pages and slices of small size; a third of the rows are copies of one vector, and one id repeats."""
+    for name, size in (("INDEXED_TOGETHER", 64), ("QUERIES_TOGETHER", 5), ("BLOCKS_TOGETHER", 8), ("PIVOTS", 16)):
+        monkeypatch.setattr(neighbours, name, size)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16)) * 3
+    near = centres[rng.integers(0, 12, 1_200)] + rng.normal(size=(1_200, 16)) * 0.3
+    rows = [(i, x.tolist()) for i, x in enumerate(near.astype(np.float32))]
+    rows += [(2_000 + i, rows[7][1]) for i in range(600)]
+    rows += [(7, rows[8][1])] * 30
+    df = spark.createDataFrame([(*r, "x") for r in rows], KIND).repartition(5)
+    asked = [*range(0, 1_200, 40), 7, 2_000, 2_013, 2_599]
+    got = {}
+    for r in neighbours.nearest(df, df.filter(df.vec_id.isin(asked))).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    right = brute(rows, asked, 10)
+    assert set(got) == set(right)
+    found = sum(len({i for _, i in got[q]} & {i for _, i in right[q]}) for q in right)
+    assert found >= 0.95 * sum(map(len, right.values()))
+    for q in (2_000, 2_013, 2_599):  # copies: the smallest ids, but the own
+        assert got[q] == [(0.0, i) for i in [7, *range(2_000, 2_012)] if i != q][:10]
+
+
+def test_blocks_that_cannot_collide_stay_closed(spark):
+    """A far block is not opened; one within the windows is, and a query without a home opens all of its length."""
+    here, there = np.full(4, 1.0), np.full(4, 50.0)
+    directions = neighbours._directions(4)
+    ranges = [(f"4:{i}:0", *[(x @ directions + d).tolist() for d in (-1.0, 1.0)]) for i, x in enumerate((here, there))]
+    ranges.append(("2:0:0", [0.0] * neighbours.PROJECTIONS, [1.0] * neighbours.PROJECTIONS))
+    ranges = spark.createDataFrame(ranges, "block string, low array<double>, high array<double>")
+    inf = float("inf")
+    asked = [(1, here.tolist(), "4:0:0", 0.5), (2, here.tolist(), "4:1:0", 0.5), (3, here.tolist(), None, inf)]
+    asked = spark.createDataFrame(asked, "id long, vector array<double>, home string, bound double")
+    opened = sorted((r.id, r.block) for r in neighbours._opened(asked, ranges).collect())
+    assert opened == [(2, "4:0:0"), (3, "4:0:0"), (3, "4:1:0")]
