@@ -14,9 +14,12 @@ from govlens.llm import chunks as C
 from govlens.llm.components import components
 from govlens.operators.common import stored
 
-# Shingles that the sets of one group, and the queries of one task on a group, hold together.
+# Shingles that the sets of one group, and the queries of one task on a group, hold together (a bound on memory), and
+# their numbers of sets (with both, a bound on the comparisons of a task).
 GROUP_SHINGLES = 1 << 20
 QUERY_SHINGLES = 1 << 22
+GROUP_SETS = 1 << 13
+QUERY_SETS = 1 << 14
 # Within a group: a shingle is a column of the matrix if so many members hold it, and one in so many; cells compared at once.
 LEAST_COLUMN = 64
 COLUMN_SHARE = 8
@@ -219,6 +222,11 @@ def _verified(table: pa.Table, percent: int) -> Iterator[tuple[bytes, bytes | No
         yield keys[i], None, int(links[i])
 
 
+def _cuts(shingles: int, sets: int) -> Column:
+    """Into how many pieces sets of sizes ``n`` are cut, so that a piece has so many shingles and sets on average."""
+    return F.ceil(F.greatest(F.sum("n") / F.lit(shingles), F.count(F.lit(1)) / F.lit(sets)))
+
+
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, links): pairs of linked sets that connect every component, and numbers of links (with b null).
 
@@ -233,7 +241,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     shared = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
     postings = stored(postings.join(shared, "shingle"), "postings")
     leaders = postings.groupBy("key", "n").agg(F.max(F.struct("sets", "shingle")).getField("shingle").alias("leader"))
-    cut = leaders.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(GROUP_SHINGLES)).alias("cuts"))
+    cut = leaders.groupBy("leader").agg(_cuts(GROUP_SHINGLES, GROUP_SETS).alias("cuts"))
     group = F.struct("leader", F.expr("pmod(xxhash64(key, 1), cuts)").alias("part"))
     grouped = stored(leaders.join(cut, "leader").select("key", "n", group.alias("group")), "groups")
     with_group = postings.join(grouped.select("key", "group"), "key")
@@ -247,7 +255,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         .distinct()
     )
     opened = stored(opened, "openings")
-    load = opened.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(QUERY_SHINGLES)).alias("slices"))
+    load = opened.groupBy("group").agg(_cuts(QUERY_SHINGLES, QUERY_SETS).alias("slices"))
     slices = F.greatest(F.coalesce("slices", F.lit(1)), F.lit(1))
     members = (
         grouped.join(load, "group", "left")

@@ -73,6 +73,17 @@ def test_equals_all_pairs(spark, percent, monkeypatch):
     assert found(df, size=3, percent=percent) == expected(rows, 3, percent)
 
 
+def test_groups_cut_by_sets(spark, monkeypatch):
+    """One family of short near copies, in groups of a few sets with a few queries a task: no link is lost."""
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 16)
+    monkeypatch.setattr(jaccard, "QUERY_SETS", 9)
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(24)]
+    rows = [(i, " ".join([*common[: rng.randint(20, 24)], f"x{i}"])) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(df, size=3, percent=80) == expected(rows, 3, 80)
+
+
 def verified(sets, own, percent):
     """Components (as sets of keys) and numbers of links that opening one group gives."""
     table = pa.table(
