@@ -37,6 +37,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target, fs = _path(spark, path)
+    return fs.exists(target) and fs.getFileStatus(target).isDirectory()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     target, fs = _path(spark, path)
     fs.delete(target, True)

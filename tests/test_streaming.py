@@ -169,3 +169,26 @@ def test_key_usage_over_batches(spark, sf_dir, threshold):
 def test_stream_source_equals_batch_source(spark, sf_dir):
     arriving = screening.ask_for(X.stream(spark, sf_dir, "documents", X.PROMPTS), ["pii_detection"])
     assert arriving.isStreaming and set(X.PROMPTS) < set(arriving.columns)
+
+
+@pytest.mark.parametrize(
+    "name", ["stream_conversation_stats", "stream_conversation_stats_expiring", "stream_abandoned_timers", "stream_abandoned"]
+)
+def test_streams_read_tables_that_are_folders(spark, tmp_path, name):
+    """A table of several files is a folder with the table's name."""
+    rows = [(c, t, ("system", "user", "assistant")[min(t, 1 + t % 2)], f"text {t}") for c in range(1, 6) for t in range(4)]
+    rows += [(40_000 + 1_000 - 1, 1, "user", "late")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    import workload
+
+    workload.load()
+    got = workload.QUERIES[name](spark, str(tmp_path)).collect()
+    turns = X.turns(spark, str(tmp_path))
+    if name.startswith("stream_conversation_stats"):
+        assert sorted(map(tuple, got)) == sorted(map(tuple, C.session_counters(turns).collect()))
+    elif name == "stream_abandoned_timers":
+        counts = {r.session_id: r.message_count for r in C.session_counters(turns).collect()}
+        assert {r.session_id: r.n_messages for r in got} == counts
+    else:
+        assert {r.session_id for r in got} == {f"sess-{c}" for c in range(1, 6)}
