@@ -6,10 +6,12 @@ a timer, or by a time to live. Rows reach the Python side as Arrow batches, grou
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ from govlens.operators.access_history import CHANGE_SCHEMA
 from govlens.schemas import END_STATUSES
 from govlens.streaming.jobs import update_writer
 
+# Processors travel with their class: the Python workers, one of them beside the driver, need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ABANDONED = END_STATUSES[1]
 # Pieces that the accesses of one key are spread over; the changes of a key go to all of them.
 KEY_SALTS = 8
@@ -287,13 +292,18 @@ def state_rows(query: StreamingQuery) -> int | None:
 
 
 def _run_until(writer: DataStreamWriter, checkpoint: str, every: str, done: Callable[[StreamingQuery], bool], at_most: timedelta) -> None:
-    """Run a query whose timers need a trigger on the clock, until ``done`` holds or the time is over."""
+    """Run a query whose timers need a trigger on the clock, until ``done`` holds.
+
+    It may take ``at_most`` from the last moment on at which it worked on new input, however long that took.
+    """
     query = writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
-    until = time.monotonic() + at_most.total_seconds()
+    fed = time.monotonic()
     try:
         while query.isActive and not done(query):
-            if time.monotonic() > until:
-                raise TimeoutError(f"the stream did not come to its end in {at_most}")
+            if query.status["isDataAvailable"]:
+                fed = time.monotonic()
+            if time.monotonic() > fed + at_most.total_seconds():
+                raise TimeoutError(f"the stream did not come to its end in {at_most} after its input")
             time.sleep(0.2)
     finally:
         query.stop()

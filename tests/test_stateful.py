@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from govlens.operators import access_history as H
@@ -207,3 +211,14 @@ def test_stream_equals_the_batch_join(spark, threshold):
     jobs.run_append(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     got = spark.read.parquet(f"{root}/out").filter(F.col("event_id") != "-1").collect()
     assert {int(r.event_id): (r.status, r.key_id, r.agent_id) for r in got} == plain
+
+
+def test_processors_load_where_the_package_is_missing(tmp_path):
+    """As in a Python worker that does not find govlens."""
+    made = [stateful.Silence(timedelta(seconds=2)), stateful.Counters(timedelta(days=2))]
+    made.append(stateful.InOrder(stateful._next_turn, None, "turn long", [], timedelta(days=1)))
+    (tmp_path / "made").write_bytes(cloudpickle.dumps(made))
+    code = "import sys; from pyspark import cloudpickle; print(len(cloudpickle.load(open('made', 'rb'))), 'govlens' in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=60)
+    assert said.stdout.strip() == "3 False", said.stderr
