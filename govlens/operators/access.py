@@ -51,7 +51,7 @@ def attribute_access(access: DataFrame, keys: DataFrame) -> DataFrame:
         "key_hash", "key_id", "agent_id", "expires_at", "is_active"
     )
     hashed = access.withColumn("key_hash", key_hash(F.col("presented_key"))).drop("presented_key")
-    return join_dimension(hashed, known, "key_hash", salt_by=hashed.columns)
+    return join_dimension(hashed, known, "key_hash", salt_by=hashed.columns, large=True)
 
 
 def access_status(at: str = "ts") -> Column:

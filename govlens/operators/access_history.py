@@ -79,7 +79,7 @@ def access_as_of(access: DataFrame, changes: DataFrame, at: str = "ts", length:
         .agg(F.sort_array(F.collect_set("_state")).alias("_states"))
     )
     placed = hashed.withColumn("_place", F.when(F.col("key_hash").isNotNull() & F.col("_range").isNotNull(), place))
-    joined = join_dimension(placed, stored(states, "key_states"), "_place", salt_by=hashed.columns)
+    joined = join_dimension(placed, stored(states, "key_states"), "_place", salt_by=hashed.columns, large=True)
     past = F.filter("_states", lambda s: s["valid_from"] <= F.col(at))
     matched = joined.withColumn("_then", F.element_at(F.when(F.size(past) > 0, past), -1)).withColumns(
         {c: F.col("_then")[c] for c in ("key_id", "agent_id", "expires_at", "is_active")}

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from govlens.operators import access as A
+from govlens.operators import access_history, common
 
 T0 = datetime(2024, 1, 1)
 
@@ -92,3 +93,40 @@ def test_inventory_hides_hashes_and_revocation(spark, keys):
 
 def test_presented_keys_do_not_leave_the_join(keys, access):
     assert "presented_key" not in A.attribute_access(access, keys).columns
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_large_dimensions_are_copied_for_hot_keys_only(spark, how):
+    """Of 5,000 keys one has half of the facts: 31 copies of its row, and of what few share its range of hashes."""
+    facts = spark.range(20_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 101 = 0 THEN NULL ELSE concat('k', id) END AS k")
+    dimension = spark.range(5_000).selectExpr("CASE WHEN id = 0 THEN 'hot' ELSE concat('k', id * 2) END AS k", "id AS v")
+    dimension = dimension.unionByName(spark.range(1_000).selectExpr("concat('k', id * 2 + 1) AS k", "id AS v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hot = common.hot_ranges(facts, "k")
+        assert 1 <= len(hot) <= 1 / common.HOT
+        rows, copies = common._salted(facts, dimension, "k", ["id"], hot)
+        assert dimension.count() + 31 <= copies.count() < dimension.count() * 2
+        assert rows.filter("k = 'hot'").select("_salt").distinct().count() == common.SALTS
+        out = common.join_dimension(facts, dimension, "k", ["id"], how, large=True)
+        assert sorted(map(str, out.collect())) == sorted(map(str, facts.join(dimension, "k", how).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("history", [False, True])
+def test_key_rows_are_not_copied_for_every_salt(spark, history):
+    """Classification with as many keys as accesses makes about as many rows as it reads."""
+    keys = spark.range(3_000).selectExpr(
+        "concat('k', id) AS key_id", "'a' AS agent_id", "sha2(concat('p', id), 256) AS key_hash",
+        "timestamp '2024-01-01' AS valid_from", "timestamp '2025-01-01' AS expires_at", "id % 3 <> 0 AS is_active",
+    )
+    access = spark.range(3_000).selectExpr("id AS event_id", "concat('p', id) AS presented_key", "timestamp '2024-02-01' AS ts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = access_history.access_as_of(access, keys) if history else A.classify_access(access, keys)
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert "_salt" in plan and "sequence(0, 31" in plan and "CASE WHEN" in plan.split("sequence(0, 31")[0].rsplit("explode(", 1)[-1]
+        assert sorted((r.event_id, r.status) for r in out.collect()) == [(i, "valid" if i % 3 else "inactive") for i in range(3_000)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
