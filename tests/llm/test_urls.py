@@ -97,3 +97,32 @@ def test_the_ratio_separates_what_rules_do(spark):
     flipped = only.selectExpr("url", "'block' AS verdict")
     assert np.all(urls.fit(flipped, "url", "verdict").differences(pa.array(["x", None])) < 0)
     assert np.all(urls.fit(only.limit(0), "url", "verdict").differences(pa.array(["x", None])) > 0)
+
+
+def test_every_url_counts(spark, monkeypatch):
+    """More URLs than any sample: all but those set apart are counted, also with shortened contexts."""
+    rows = spark.range(50_000).selectExpr(
+        "concat('http://site', id % 25000, '.org/', id % 7) AS url", "if(id % 25000 < 24000, 'allow', 'block') AS verdict"
+    )
+    distinct = Counter(r.verdict for r in rows.distinct().collect())
+
+    def learned(ratio, model):
+        entry, count, *_ = getattr(ratio, model).tables[0]
+        return count[entry == urls.END].sum()
+
+    whole = urls.fit(rows, "url", "verdict")
+    for model, verdict in (("accepted", "allow"), ("rejected", "block")):
+        assert 0.78 * distinct[verdict] < learned(whole, model) < 0.82 * distinct[verdict]
+    assert whole.accepted.order == urls.ORDER
+    monkeypatch.setattr(urls, "MOST_ENTRIES", 1_000)
+    short = urls.fit(rows, "url", "verdict")
+    assert 0 < short.accepted.order < urls.ORDER and learned(short, "accepted") == learned(whole, "accepted")
+    for got, same in zip(short.accepted.tables, whole.accepted.tables, strict=False):
+        assert all(np.array_equal(a, b) for a, b in zip(got, same, strict=True))
+
+
+def test_threshold_separates_with_few_urls(spark):
+    rows = [("http://a.org/1", "allow"), ("http://b.casino.org/x", "block"), ("http://b.casino.org/y", "block"), ("no", None)]
+    ratio = urls.fit(spark.createDataFrame(rows, "url string, verdict string"), "url", "verdict")
+    score = ratio.differences(pa.array([u for u, _ in rows[:3]])) - ratio.threshold
+    assert score[0] > 0 > score[1] and score[2] < 0
