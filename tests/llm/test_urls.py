@@ -112,11 +112,14 @@ def test_every_url_counts(spark, monkeypatch):
 
     whole = urls.fit(rows, "url", "verdict")
     for model, verdict in (("accepted", "allow"), ("rejected", "block")):
-        assert 0.78 * distinct[verdict] < learned(whole, model) < 0.82 * distinct[verdict]
+        assert learned(whole, model) == distinct[verdict] - -(-distinct[verdict] // urls.APART)
     assert whole.accepted.order == urls.ORDER
     monkeypatch.setattr(urls, "MOST_ENTRIES", 1_000)
     short = urls.fit(rows, "url", "verdict")
     assert 0 < short.accepted.order < urls.ORDER and learned(short, "accepted") == learned(whole, "accepted")
+    exact = urls._threshold(short, rows.distinct())
+    monkeypatch.setattr(urls, "MOST_ENTRIES", 10)
+    assert urls._threshold(short, rows.distinct()) == pytest.approx(exact, abs=2 / urls.STEPS)
     for got, same in zip(short.accepted.tables, whole.accepted.tables, strict=False):
         assert all(np.array_equal(a, b) for a, b in zip(got, same, strict=True))
 
