@@ -1,7 +1,7 @@
 """Streaming jobs that keep state of their own: sessions that end by a timer, counters that expire, rows taken in order.
 
-State lives in RocksDB, an entry per session or key and the rows of a key that wait, and each job empties it by itself: by
-a timer, or by a time to live. Rows reach the Python side as Arrow batches, grouped by key.
+State lives in RocksDB, an entry per session (for keys: per bucket of them) and the rows that wait, and each job empties it
+by itself: by a timer, or by a time to live. Rows reach the Python side as Arrow batches, grouped by key.
 """
 
 from __future__ import annotations
@@ -11,11 +11,15 @@ import time
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ListState
 
 from govlens.operators.access import access_status, key_hash
 from govlens.operators.access_history import CHANGE_SCHEMA
@@ -26,8 +30,10 @@ from govlens.streaming.jobs import update_writer
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ABANDONED = END_STATUSES[1]
-# Pieces that the accesses of one key are spread over; the changes of a key go to all of them.
-KEY_SALTS = 8
+# Groups that keys are dealt to by a hash. What a group costs beside its rows is paid so many times per batch at most.
+KEY_BUCKETS = 1024
+# Rows of a bucket that are kept as one value.
+ROWS_PER_PIECE = 10_000
 
 
 def _ms(length: timedelta) -> int:
@@ -240,12 +246,170 @@ def streamed_turn_numbers(
     return in_order(rows, ["session_id"], "seq", _next_turn, "turn long", out, late, idle)
 
 
-def _judge_access(state: tuple | None, row: Row) -> tuple[tuple | None, tuple | None]:
-    """A change of a key becomes its state; an access is judged by the state at its time."""
-    if row.kind == 0:
-        return (row.key_id, row.agent_id, row.expires_at, row.is_active), None
-    key_id, agent_id, expires_at, is_active = state or (None, None, None, None)
-    return state, (row.event_id, row.at, key_id, agent_id, expires_at, is_active)
+def _packed(frame: pd.DataFrame) -> bytes:
+    """Rows as one value of the state."""
+    batch, out = pa.RecordBatch.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> pd.DataFrame:
+    with pa.ipc.open_stream(packed) as reader:
+        return reader.read_pandas()
+
+
+class Later:
+    """Rows that wait on, packed in pieces, and the time of the earliest one."""
+
+    def __init__(self):
+        self.first: int | None = None
+        self.pieces: list[bytes] = []
+        self.open: list[pd.DataFrame] = []
+
+    def add(self, frame: pd.DataFrame) -> None:
+        at_ms = int(frame["at_ms"].min())
+        self.first = at_ms if self.first is None else min(self.first, at_ms)
+        self.open.append(frame)
+        if sum(map(len, self.open)) >= ROWS_PER_PIECE:
+            self.close()
+
+    def close(self) -> None:
+        if self.open:
+            self.pieces.append(_packed(pd.concat(self.open, ignore_index=True)))
+            self.open = []
+
+    def put(self, waiting: ListState) -> None:
+        """In place of what waited."""
+        self.close()
+        if self.pieces:
+            waiting.put([(packed,) for packed in self.pieces])
+        elif waiting.exists():
+            waiting.clear()
+
+
+class States:
+    """What keys were at any time: ``known`` (key_hash, state) from the start on, and the ``changes`` after that.
+
+    Of several changes of a key at one moment the one with the largest state counts.
+    """
+
+    def __init__(self, known: pd.DataFrame, changes: pd.DataFrame):
+        changes = changes.sort_values(["at", "state"], kind="stable")
+        code, keys = pd.factorize(np.concatenate([known["key_hash"], changes["key_hash"]]))
+        self.keys = pd.Index(keys, dtype=object)
+        self.moments = np.unique(changes["at_ms"])
+        rank = np.concatenate([np.zeros(len(known), np.int64), self._rank(changes["at_ms"])])
+        by_key = np.argsort(code, kind="stable")
+        self.states = np.concatenate([known["state"], changes["state"], [None]])
+        self.order = np.append(by_key, len(code))  # the last place holds no state
+        self.code = np.append(code[by_key], -1)
+        self.place = self.code[:-1] * (len(self.moments) + 1) + rank[by_key]
+
+    def _rank(self, at_ms: np.ndarray) -> np.ndarray:
+        """How many moments of change have come."""
+        return np.searchsorted(self.moments, at_ms, side="right")
+
+    def codes(self, key_hash: np.ndarray) -> np.ndarray:
+        """The numbers of keys; -1 for a key without any state."""
+        return self.keys.get_indexer(key_hash)
+
+    def at(self, code: np.ndarray, at_ms: np.ndarray) -> np.ndarray:
+        """The state of each key at a time, that of the same millisecond included; None before its first one."""
+        found = np.searchsorted(self.place, code * (len(self.moments) + 1) + self._rank(at_ms), side="right") - 1
+        return self.states[self.order[np.where((code >= 0) & (self.code[found] == code), found, len(self.place))]]
+
+    def latest(self) -> pd.DataFrame:
+        """(key_hash, state) in the order of the codes."""
+        ends = np.flatnonzero(np.diff(self.code))
+        return pd.DataFrame({"key_hash": self.keys, "state": self.states[self.order[ends]]})
+
+
+class AccessInTime(StatefulProcessor):
+    """Holds the accesses and changes of a bucket of keys until the watermark has passed them, then judges the accesses.
+
+    The rows of all keys of a bucket are kept and judged as columns, so no key and no row costs a call of its own. A
+    bucket has one timer, for the earliest row that waits, or for the first key that will have been idle for ``idle``.
+    Accesses are judged piece by piece; only the changes of a bucket and the states of its keys are in memory at once.
+    """
+
+    CHANGE, ACCESS = ["key_hash", "at_ms", "at", "state"], ["key_hash", "at_ms", "at", "event_id"]
+
+    def __init__(self, idle: timedelta):
+        self.idle = _ms(idle)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.changes = handle.getListState("changes", "rows binary")
+        self.accesses = handle.getListState("accesses", "rows binary")
+        self.known = handle.getValueState("known", "rows binary")
+        # When each known key was last seen: moves with every access, unlike what is known of it.
+        self.seen = handle.getValueState("seen", "at_ms binary")
+        self.timer = handle.getValueState("timer", "due long")
+
+    def _due(self, due: int | None) -> None:
+        before = self.timer.get()
+        if before is not None and before[0] != due:
+            self.handle.deleteTimer(before[0])
+        if due is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = (self.timer.get() or (None,))[0]
+        for frame in rows:
+            for kind, waiting, columns in ((0, self.changes, self.CHANGE), (1, self.accesses, self.ACCESS)):
+                part = frame.loc[frame["kind"] == kind, columns]
+                if len(part):
+                    waiting.appendValue((_packed(part),))
+                    at_ms = int(part["at_ms"].min())
+                    first = at_ms if first is None else min(first, at_ms)
+        self._due(first)
+        return iter(())
+
+    @staticmethod
+    def _passed(waiting: ListState, now: int, later: Later) -> Iterator[pd.DataFrame]:
+        """The rows that the watermark has passed, piece by piece; the others are added to ``later``."""
+        for (packed,) in waiting.get() if waiting.exists() else ():
+            frame = _unpacked(packed)
+            due = frame["at_ms"] <= now
+            if due.any():
+                yield frame[due]
+            if not due.all():
+                later.add(frame[~due])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        later_changes, later_accesses = Later(), Later()
+        none = pd.DataFrame({c: pd.Series(dtype="int64" if c.startswith("at") else object) for c in self.CHANGE})
+        changes = pd.concat([none, *self._passed(self.changes, now, later_changes)], ignore_index=True)
+        known = _unpacked(self.known.get()[0]) if self.known.exists() else none[["key_hash", "state"]]
+        states = States(known, changes)
+        seen = np.full(len(states.keys), np.iinfo(np.int64).min)
+        if len(known):
+            seen[: len(known)] = np.frombuffer(self.seen.get()[0], np.int64)
+        np.maximum.at(seen, states.codes(changes["key_hash"]), changes["at_ms"])
+        for frame in self._passed(self.accesses, now, later_accesses):
+            code, at_ms = states.codes(frame["key_hash"]), frame["at_ms"].to_numpy()
+            np.maximum.at(seen, code[code >= 0], at_ms[code >= 0])
+            yield pd.DataFrame({"event_id": frame["event_id"], "at": frame["at"], "state": states.at(code, at_ms)})
+        later_changes.put(self.changes)
+        later_accesses.put(self.accesses)
+        stays = seen + self.idle > now
+        if not stays.any():
+            self.known.clear()
+            self.seen.clear()
+        else:
+            if len(changes) or not stays.all():
+                self.known.update((_packed(states.latest()[stays]),))
+            self.seen.update((seen[stays].tobytes(),))
+        times = [later.first for later in (later_changes, later_accesses) if later.first is not None]
+        self._due(min([*times, *(seen[stays] + self.idle).tolist()], default=None))
+
+    def close(self) -> None:
+        pass
 
 
 def streamed_access(
@@ -255,28 +419,37 @@ def streamed_access(
 
     ``access``: (event_id, presented_key, ts); ``changes``: the columns of ``key_changes``, as a stream of their own. Both
     are one stream in the order of time, so a key that is made, revoked or restored while the stream runs counts from its
-    moment on. A change must arrive within ``late`` of the newest event, like the accesses. The accesses of one key are
-    spread over several tasks, to each of which its changes go.
+    moment on. A change must arrive within ``late`` of the newest event, like the accesses. What a key was is kept until it
+    has been idle for ``idle`` (event time). Keys are dealt to ``KEY_BUCKETS`` groups; the accesses of a hot key go through
+    its group in pieces. Of several changes of a key at one moment a revocation counts.
     """
-    salt = F.pmod(F.xxhash64("event_id", "ts"), F.lit(KEY_SALTS)).cast("int")
     none = lambda kind: F.lit(None).cast(kind)
     events = access.select(
-        key_hash(F.col("presented_key")).alias("key_hash"), salt.alias("salt"), F.col("ts").alias("timestamp"),
-        F.lit(1).alias("kind"), F.col("event_id").cast("string").alias("event_id"), F.unix_micros("ts").alias("at"),
-        none("string").alias("key_id"), none("string").alias("agent_id"), none("long").alias("expires_at"),
-        none("boolean").alias("is_active"),
+        key_hash(F.col("presented_key")).alias("key_hash"), F.col("ts").alias("timestamp"), F.lit(1).alias("kind"),
+        F.col("event_id").cast("string").alias("event_id"), F.unix_micros("ts").alias("at"), none("string").alias("state"),
     )
-    known = changes.select(*T.StructType.fromDDL(CHANGE_SCHEMA).names).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(KEY_SALTS - 1)))
+    state = "key_id string, agent_id string, inactive boolean, expires_us long"
+    values = F.struct(
+        "key_id", "agent_id", (~F.col("is_active")).alias("inactive"), F.unix_micros("expires_at").alias("expires_us")
     )
-    keys = known.select(
-        "key_hash", "salt", F.col("valid_from").alias("timestamp"), F.lit(0).alias("kind"), none("string").alias("event_id"),
-        F.unix_micros("valid_from").alias("at"), "key_id", "agent_id", F.unix_micros("expires_at").alias("expires_at"), "is_active",
+    keys = changes.select(
+        "key_hash", F.col("valid_from").alias("timestamp"), F.lit(0).alias("kind"), none("string").alias("event_id"),
+        F.unix_micros("valid_from").alias("at"), F.to_json(values).alias("state"),
     )
-    out = "event_id string, at long, key_id string, agent_id string, expires_us long, is_active boolean"
-    both = events.unionByName(keys)
-    judged = in_order(both, ["key_hash", "salt"], "kind", _judge_access, "key_id string, agent_id string, expires_at long, is_active boolean", out, late, idle)
-    judged = judged.withColumns({"ts": F.timestamp_micros("at"), "expires_at": F.timestamp_micros("expires_us")})
+    both = events.unionByName(keys).filter(F.col("timestamp").isNotNull()).withColumns(
+        {"key_hash": F.coalesce("key_hash", F.lit("")), "at_ms": F.unix_millis("timestamp")}
+    )
+    bucket = F.pmod(F.xxhash64("key_hash"), F.lit(KEY_BUCKETS)).cast("int")
+    judged = (
+        both.withColumn("bucket", bucket)
+        .withWatermark("timestamp", late)
+        .groupBy("bucket")
+        .transformWithStateInPandas(AccessInTime(idle), "event_id string, at long, state string", "append", "eventTime")
+    )
+    judged = judged.withColumn("state", F.from_json("state", state)).select("event_id", "at", "state.*")
+    judged = judged.withColumns(
+        {"ts": F.timestamp_micros("at"), "expires_at": F.timestamp_micros("expires_us"), "is_active": ~F.col("inactive")}
+    )
     judged = judged.withColumn("status", access_status("ts"))
     valid = F.col("status") == "valid"
     return judged.select(

@@ -213,6 +213,52 @@ def test_stream_equals_the_batch_join(spark, threshold):
     assert {int(r.event_id): (r.status, r.key_id, r.agent_id) for r in got} == plain
 
 
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_keys_share_the_state_of_their_bucket(spark, monkeypatch, buckets):
+    """However many keys there are: a timer per bucket, pieces that are cut anew while rows wait, and a restart."""
+    monkeypatch.setattr(stateful, "KEY_BUCKETS", buckets)
+    monkeypatch.setattr(stateful, "ROWS_PER_PIECE", 70)
+    draw, names = random.Random(5), [f"k{i}" for i in range(300)]
+    change = lambda k, minutes, active: (hashed(k), f"id-{k}", "agent", at(minutes), at(10**6), active)
+    changes = [change(k, i % 40, True) for i, k in enumerate(names)]
+    # Of two changes at one moment the revocation counts, whichever comes first.
+    changes += [change(k, 60, active) for i, k in enumerate(names) for active in ((True, False) if i % 2 else (False, True))]
+    accesses = [(i * 3 + j, k, at(minutes)) for i, k in enumerate(names) for j, minutes in enumerate((20, 45, 70))]
+    accesses.append((-1, "none", at(33)))
+    draw.shuffle(accesses)
+    keys, events, root = folder(spark), folder(spark), scratch_dir(spark, "buckets")
+    add(spark, keys, changes, H.CHANGE_SCHEMA)
+    for part in (accesses[:400], accesses[400:], [(-2, "end", at(30))], [(-3, "end", at(200))]):
+        add(spark, events, part, ACCESS)
+        stream = stateful.streamed_access(arriving(spark, events, ACCESS), arriving(spark, keys, H.CHANGE_SCHEMA), "100 minutes")
+        query = jobs.run_append(stream, f"{root}/out", f"{root}/checkpoint")
+        query.awaitTermination()
+        timers = [o["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress for o in p["stateOperators"]]
+        assert max(timers) <= buckets
+    got = {int(r.event_id): r.status for r in spark.read.parquet(f"{root}/out").collect()}
+    plain = {i * 3 + j: s for i in range(300) for j, s in enumerate(("valid" if i % 40 <= 20 else "unknown", "valid", "inactive"))}
+    assert got == {**plain, -1: "unknown", -2: "unknown"}
+    # A known key is one row among those of its bucket.
+    assert stateful.state_rows(query) <= 6 * buckets
+
+
+def test_idle_keys_leave_the_state(spark):
+    change = lambda k, minutes: (hashed(k), f"id-{k}", "agent", at(minutes), at(10**6), True)
+    keys, events, root = folder(spark), folder(spark), scratch_dir(spark, "idle-keys")
+    add(spark, keys, [change("a", 0), change("b", 0)], H.CHANGE_SCHEMA)
+    for part in ([(1, "a", at(10)), (2, "b", at(50)), (3, "a", at(70))], [(4, "end", at(130))], [(5, "a", at(135)), (6, "b", at(140)), (7, "end", at(400))]):
+        add(spark, events, part, ACCESS)
+        stream = stateful.streamed_access(
+            arriving(spark, events, ACCESS), arriving(spark, keys, H.CHANGE_SCHEMA), "1 minute", timedelta(hours=1)
+        )
+        query = jobs.run_append(stream, f"{root}/out", f"{root}/checkpoint")
+        query.awaitTermination()
+    got = {int(r.event_id): r.status for r in spark.read.parquet(f"{root}/out").collect()}
+    # Not idle for an hour before 129 minutes, where the watermark is then: a alone.
+    assert got == {1: "valid", 2: "valid", 3: "valid", 4: "unknown", 5: "valid", 6: "unknown"}
+    assert stateful.state_rows(query) <= 3  # the last access and its timer
+
+
 def test_processors_load_where_the_package_is_missing(tmp_path):
     """As in a Python worker that does not find govlens."""
     made = [stateful.Silence(timedelta(seconds=2)), stateful.Counters(timedelta(days=2))]
