@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -34,6 +34,8 @@ ABANDONED = END_STATUSES[1]
 KEY_BUCKETS = 1024
 # Rows of a bucket that are kept as one value.
 ROWS_PER_PIECE = 10_000
+# The times of pandas end in 2262: for the watermark, what lies after this one is divided. What lies before 1970 is late.
+EXACT, DIVISOR = "2250-01-01", 1 << 15
 
 
 def _ms(length: timedelta) -> int:
@@ -268,8 +270,8 @@ class Later:
         self.open: list[pd.DataFrame] = []
 
     def add(self, frame: pd.DataFrame) -> None:
-        at_ms = int(frame["at_ms"].min())
-        self.first = at_ms if self.first is None else min(self.first, at_ms)
+        due_ms = int(frame["due_ms"].min())
+        self.first = due_ms if self.first is None else min(self.first, due_ms)
         self.open.append(frame)
         if sum(map(len, self.open)) >= ROWS_PER_PIECE:
             self.close()
@@ -298,25 +300,25 @@ class States:
         changes = changes.sort_values(["at", "state"], kind="stable")
         code, keys = pd.factorize(np.concatenate([known["key_hash"], changes["key_hash"]]))
         self.keys = pd.Index(keys, dtype=object)
-        self.moments = np.unique(changes["at_ms"])
-        rank = np.concatenate([np.zeros(len(known), np.int64), self._rank(changes["at_ms"])])
+        self.moments = np.unique(changes["at"] // 1000)
+        rank = np.concatenate([np.zeros(len(known), np.int64), self._rank(changes["at"])])
         by_key = np.argsort(code, kind="stable")
         self.states = np.concatenate([known["state"], changes["state"], [None]])
         self.order = np.append(by_key, len(code))  # the last place holds no state
         self.code = np.append(code[by_key], -1)
         self.place = self.code[:-1] * (len(self.moments) + 1) + rank[by_key]
 
-    def _rank(self, at_ms: np.ndarray) -> np.ndarray:
-        """How many moments of change have come."""
-        return np.searchsorted(self.moments, at_ms, side="right")
+    def _rank(self, at: pd.Series) -> np.ndarray:
+        """How many moments (milliseconds) of change have come."""
+        return np.searchsorted(self.moments, at // 1000, side="right")
 
     def codes(self, key_hash: np.ndarray) -> np.ndarray:
         """The numbers of keys; -1 for a key without any state."""
         return self.keys.get_indexer(key_hash)
 
-    def at(self, code: np.ndarray, at_ms: np.ndarray) -> np.ndarray:
+    def at(self, code: np.ndarray, at: pd.Series) -> np.ndarray:
         """The state of each key at a time, that of the same millisecond included; None before its first one."""
-        found = np.searchsorted(self.place, code * (len(self.moments) + 1) + self._rank(at_ms), side="right") - 1
+        found = np.searchsorted(self.place, code * (len(self.moments) + 1) + self._rank(at), side="right") - 1
         return self.states[self.order[np.where((code >= 0) & (self.code[found] == code), found, len(self.place))]]
 
     def latest(self) -> pd.DataFrame:
@@ -333,7 +335,7 @@ class AccessInTime(StatefulProcessor):
     Accesses are judged piece by piece; only the changes of a bucket and the states of its keys are in memory at once.
     """
 
-    CHANGE, ACCESS = ["key_hash", "at_ms", "at", "state"], ["key_hash", "at_ms", "at", "event_id"]
+    CHANGE, ACCESS = ["key_hash", "due_ms", "at", "state"], ["key_hash", "due_ms", "at", "event_id"]
 
     def __init__(self, idle: timedelta):
         self.idle = _ms(idle)
@@ -344,7 +346,7 @@ class AccessInTime(StatefulProcessor):
         self.accesses = handle.getListState("accesses", "rows binary")
         self.known = handle.getValueState("known", "rows binary")
         # When each known key was last seen: moves with every access, unlike what is known of it.
-        self.seen = handle.getValueState("seen", "at_ms binary")
+        self.seen = handle.getValueState("seen", "due_ms binary")
         self.timer = handle.getValueState("timer", "due long")
 
     def _due(self, due: int | None) -> None:
@@ -364,8 +366,8 @@ class AccessInTime(StatefulProcessor):
                 part = frame.loc[frame["kind"] == kind, columns]
                 if len(part):
                     waiting.appendValue((_packed(part),))
-                    at_ms = int(part["at_ms"].min())
-                    first = at_ms if first is None else min(first, at_ms)
+                    due_ms = int(part["due_ms"].min())
+                    first = due_ms if first is None else min(first, due_ms)
         self._due(first)
         return iter(())
 
@@ -374,7 +376,7 @@ class AccessInTime(StatefulProcessor):
         """The rows that the watermark has passed, piece by piece; the others are added to ``later``."""
         for (packed,) in waiting.get() if waiting.exists() else ():
             frame = _unpacked(packed)
-            due = frame["at_ms"] <= now
+            due = frame["due_ms"] <= now
             if due.any():
                 yield frame[due]
             if not due.all():
@@ -383,18 +385,18 @@ class AccessInTime(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         later_changes, later_accesses = Later(), Later()
-        none = pd.DataFrame({c: pd.Series(dtype="int64" if c.startswith("at") else object) for c in self.CHANGE})
+        none = pd.DataFrame({c: pd.Series(dtype="int64" if c in ("due_ms", "at") else object) for c in self.CHANGE})
         changes = pd.concat([none, *self._passed(self.changes, now, later_changes)], ignore_index=True)
         known = _unpacked(self.known.get()[0]) if self.known.exists() else none[["key_hash", "state"]]
         states = States(known, changes)
         seen = np.full(len(states.keys), np.iinfo(np.int64).min)
         if len(known):
             seen[: len(known)] = np.frombuffer(self.seen.get()[0], np.int64)
-        np.maximum.at(seen, states.codes(changes["key_hash"]), changes["at_ms"])
+        np.maximum.at(seen, states.codes(changes["key_hash"]), changes["due_ms"])
         for frame in self._passed(self.accesses, now, later_accesses):
-            code, at_ms = states.codes(frame["key_hash"]), frame["at_ms"].to_numpy()
-            np.maximum.at(seen, code[code >= 0], at_ms[code >= 0])
-            yield pd.DataFrame({"event_id": frame["event_id"], "at": frame["at"], "state": states.at(code, at_ms)})
+            code = states.codes(frame["key_hash"])
+            np.maximum.at(seen, code[code >= 0], frame["due_ms"].to_numpy()[code >= 0])
+            yield pd.DataFrame({"event_id": frame["event_id"], "at": frame["at"], "state": states.at(code, frame["at"])})
         later_changes.put(self.changes)
         later_accesses.put(self.accesses)
         stays = seen + self.idle > now
@@ -412,6 +414,12 @@ class AccessInTime(StatefulProcessor):
         pass
 
 
+def _near(at: Column) -> Column:
+    """Times in microseconds, those after ``EXACT`` closer to it, in the same order."""
+    last = F.unix_micros(F.lit(EXACT).cast("timestamp"))
+    return F.when(at > last, last + F.floor((at - last) / F.lit(DIVISOR))).otherwise(at)
+
+
 def streamed_access(
     access: DataFrame, changes: DataFrame, late: str = "1 hour", idle: timedelta = timedelta(days=400)
 ) -> DataFrame:
@@ -421,11 +429,12 @@ def streamed_access(
     are one stream in the order of time, so a key that is made, revoked or restored while the stream runs counts from its
     moment on. A change must arrive within ``late`` of the newest event, like the accesses. What a key was is kept until it
     has been idle for ``idle`` (event time). Keys are dealt to ``KEY_BUCKETS`` groups; the accesses of a hot key go through
-    its group in pieces. Of several changes of a key at one moment a revocation counts.
+    its group in pieces. Of several changes of a key at one moment a revocation counts. From 2250 on an access may wait
+    for events up to ``late`` * ``DIVISOR`` after it.
     """
     none = lambda kind: F.lit(None).cast(kind)
     events = access.select(
-        key_hash(F.col("presented_key")).alias("key_hash"), F.col("ts").alias("timestamp"), F.lit(1).alias("kind"),
+        key_hash(F.col("presented_key")).alias("key_hash"), F.lit(1).alias("kind"),
         F.col("event_id").cast("string").alias("event_id"), F.unix_micros("ts").alias("at"), none("string").alias("state"),
     )
     state = "key_id string, agent_id string, inactive boolean, expires_us long"
@@ -433,12 +442,13 @@ def streamed_access(
         "key_id", "agent_id", (~F.col("is_active")).alias("inactive"), F.unix_micros("expires_at").alias("expires_us")
     )
     keys = changes.select(
-        "key_hash", F.col("valid_from").alias("timestamp"), F.lit(0).alias("kind"), none("string").alias("event_id"),
+        "key_hash", F.lit(0).alias("kind"), none("string").alias("event_id"),
         F.unix_micros("valid_from").alias("at"), F.to_json(values).alias("state"),
     )
-    both = events.unionByName(keys).filter(F.col("timestamp").isNotNull()).withColumns(
-        {"key_hash": F.coalesce("key_hash", F.lit("")), "at_ms": F.unix_millis("timestamp")}
+    both = events.unionByName(keys).filter(F.col("at").isNotNull()).withColumns(
+        {"key_hash": F.coalesce("key_hash", F.lit("")), "timestamp": F.timestamp_micros(_near(F.col("at")))}
     )
+    both = both.withColumn("due_ms", F.unix_millis("timestamp"))
     bucket = F.pmod(F.xxhash64("key_hash"), F.lit(KEY_BUCKETS)).cast("int")
     judged = (
         both.withColumn("bucket", bucket)

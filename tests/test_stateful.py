@@ -259,6 +259,25 @@ def test_idle_keys_leave_the_state(spark):
     assert stateful.state_rows(query) <= 3  # the last access and its timer
 
 
+def test_accesses_of_any_year(spark):
+    """A key that is made after the times pandas can hold, and accesses before and after that."""
+    years = lambda n: T0.replace(year=n)
+    changes = [(hashed(k), f"id-{k}", "agent", years(made), years(9000), True) for k, made in (("a", 2024), ("b", 2639))]
+    accesses = [(1, "a", years(2025)), (2, "b", years(2025)), (3, "b", years(2640)), (4, "a", years(2640))]
+    keys, events, root = folder(spark), folder(spark), scratch_dir(spark, "years")
+    add(spark, keys, changes, H.CHANGE_SCHEMA)
+    add(spark, events, accesses, ACCESS)
+    for end in (2700, None):
+        stream = stateful.streamed_access(spark.readStream.schema(ACCESS).parquet(events), spark.readStream.schema(H.CHANGE_SCHEMA).parquet(keys))
+        jobs.run_append(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        if end:
+            add(spark, events, [(5, "end", years(end))], ACCESS)
+    got = {int(r.event_id): (r.status, r.ts) for r in spark.read.parquet(f"{root}/out").collect()}
+    # Key a has been idle for long in 2640.
+    plain = {1: "valid", 2: "unknown", 3: "valid", 4: "unknown"}
+    assert got == {n: (status, accesses[n - 1][2]) for n, status in plain.items()}
+
+
 def test_processors_load_where_the_package_is_missing(tmp_path):
     """As in a Python worker that does not find govlens."""
     made = [stateful.Silence(timedelta(seconds=2)), stateful.Counters(timedelta(days=2))]
